@@ -119,3 +119,13 @@ def recency_label(days: Column) -> Column:
         [(days <= 30, "Active"), (days.between(31, 90), "At Risk"), (days.between(91, 180), "Lapsed")],
         "Churned",
     )
+
+
+def round_half_up(x: Column, digits: int) -> Column:
+    """Round a DOUBLE half up on its binary value: ``floor(x * 10^d + 0.5) / 10^d``.
+
+    Spelled out because engines differ on halfway cases of ``round`` for
+    doubles (some round the shortest decimal text, others the binary value);
+    this form gives identical results in every IEEE engine."""
+    scale = float(10**digits)
+    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)

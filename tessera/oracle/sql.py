@@ -134,10 +134,10 @@ SELECT product_category,
   cast(sum(total_revenue_returned) AS DECIMAL(38,4)) AS category_revenue_returned,
   cast(sum(unique_customers) AS BIGINT) AS category_unique_customers,
   cast(sum(transaction_count) AS BIGINT) AS category_transaction_count,
-  round(avg(avg_quantity_per_transaction), 6) AS category_avg_quantity,
-  round(avg(avg_revenue_per_transaction), 6) AS category_avg_revenue,
+  floor(avg(avg_quantity_per_transaction) * 1000000 + 0.5) / 1000000 AS category_avg_quantity,
+  floor(avg(avg_revenue_per_transaction) * 1000000 + 0.5) / 1000000 AS category_avg_revenue,
   cast(sum(total_quantity_returned) AS DOUBLE) / cast(sum(total_quantity_sold) AS DOUBLE) AS category_return_rate,
-  round(quantile_cont(avg_revenue_per_transaction, 0.5), 6) AS median_revenue_per_transaction
+  floor(quantile_cont(avg_revenue_per_transaction, 0.5) * 1000000 + 0.5) / 1000000 AS median_revenue_per_transaction
 FROM pm GROUP BY product_category
 """
 
@@ -166,11 +166,12 @@ LEFT JOIN ({mode_sql('seq', ['user_id'], 'next_category', 'most_common_next_cate
 
 COHORTS = """
 SELECT g.cohort_month, s.cohort_size, g.months_since_cohort, g.retained_users,
-  round(g.retained_users / s.cohort_size * 100, 2) AS retention_rate,
+  floor((g.retained_users / s.cohort_size * 100) * 100 + 0.5) / 100 AS retention_rate,
   g.total_spend,
-  round(cast(g.total_spend AS DOUBLE) / s.cohort_size, 2) AS avg_spend_per_user,
+  cast(cast((cast(g.total_spend * 10000 AS HUGEINT) * 2 + s.cohort_size * 100) // (s.cohort_size * 200)
+            AS DECIMAL(18,0)) * 0.01 AS DECIMAL(38,2)) AS avg_spend_per_user,
   g.total_orders,
-  round(g.total_orders / s.cohort_size, 2) AS avg_orders_per_user
+  floor((g.total_orders / s.cohort_size) * 100 + 0.5) / 100 AS avg_orders_per_user
 FROM (
   SELECT c.cohort_month,
     cast((year(r.transaction_time) * 12 + month(r.transaction_time))
@@ -408,7 +409,7 @@ FROM (
     cast(sum(i.gross_item_amount) AS DECIMAL(38,2)) AS gross_revenue,
     cast(sum(i.net_item_amount) AS DECIMAL(38,4)) AS net_revenue,
     cast(sum(i.item_profit) AS DECIMAL(38,4)) AS total_profit,
-    round(avg(i.profit_margin_percentage), 6) AS average_profit_margin,
+    floor(avg(i.profit_margin_percentage) * 1000000 + 0.5) / 1000000 AS average_profit_margin,
     count(DISTINCT o.customer_id) AS unique_customers
   FROM oid i JOIN oh o ON i.order_id = o.order_id
   GROUP BY i.product_id, i.product_name, i.category_id, i.category_name, i.subcategory_id, i.subcategory_name,
@@ -559,7 +560,7 @@ ORACLE_SQL: dict[str, str] = {
     "category_metrics": _with(TX, C1_PM + [("cm", CM)], "SELECT * FROM cm"),
     "product_global_median": _with(
         TX, C1_PM,
-        """SELECT pm.*, round((SELECT quantile_cont(avg_revenue_per_transaction, 0.5) FROM pm), 6)
+        """SELECT pm.*, floor((SELECT quantile_cont(avg_revenue_per_transaction, 0.5) FROM pm) * 1000000 + 0.5) / 1000000
                   AS median_revenue_per_transaction FROM pm""",
     ),
     "time_analysis": _with(

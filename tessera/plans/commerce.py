@@ -204,13 +204,13 @@ def category_metrics(pm: DataFrame) -> DataFrame:
         F.sum("total_revenue_returned").cast(MONEY).alias("category_revenue_returned"),
         F.sum("unique_customers").cast("long").alias("category_unique_customers"),
         F.sum("transaction_count").cast("long").alias("category_transaction_count"),
-        F.round(F.avg("avg_quantity_per_transaction"), 6).alias("category_avg_quantity"),
-        F.round(F.avg("avg_revenue_per_transaction"), 6).alias("category_avg_revenue"),
+        rules.round_half_up(F.avg("avg_quantity_per_transaction"), 6).alias("category_avg_quantity"),
+        rules.round_half_up(F.avg("avg_revenue_per_transaction"), 6).alias("category_avg_revenue"),
         _ratio(F.sum("total_quantity_returned"), F.sum("total_quantity_sold")).alias("category_return_rate"),
     )
     medians = group_percentile_cont(
         pm, ["product_category"], "avg_revenue_per_transaction", 0.5, "median_revenue_per_transaction"
-    ).withColumn("median_revenue_per_transaction", F.round("median_revenue_per_transaction", 6))
+    ).withColumn("median_revenue_per_transaction", rules.round_half_up(F.col("median_revenue_per_transaction"), 6))
     return sums.join(medians, "product_category", "left")
 
 
@@ -220,7 +220,7 @@ def product_global_median(pm: DataFrame) -> DataFrame:
     The median is one value computed by a distributed sort and attached as a
     scalar subquery - not a window over a single partition."""
     median = group_percentile_cont(pm, [], "avg_revenue_per_transaction", 0.5, "m")
-    return pm.withColumn("median_revenue_per_transaction", F.round(median.scalar(), 6))
+    return pm.withColumn("median_revenue_per_transaction", rules.round_half_up(median.scalar(), 6))
 
 
 # --------------------------------------------------------------------- J8
@@ -326,11 +326,12 @@ def monthly_cohorts(tx: DataFrame, meta: DataFrame) -> DataFrame:
         "cohort_size",
         "months_since_cohort",
         "retained_users",
-        F.round(F.col("retained_users") / size * 100, 2).alias("retention_rate"),
+        rules.round_half_up(F.col("retained_users") / size * 100, 2).alias("retention_rate"),
         "total_spend",
-        F.round(F.col("total_spend").cast("double") / size, 2).alias("avg_spend_per_user"),
+        # money: exact decimal division, rounded half up
+        F.round(F.col("total_spend") / size, 2).cast("decimal(38,2)").alias("avg_spend_per_user"),
         "total_orders",
-        F.round(F.col("total_orders") / size, 2).alias("avg_orders_per_user"),
+        rules.round_half_up(F.col("total_orders") / size, 2).alias("avg_orders_per_user"),
     )
 
 

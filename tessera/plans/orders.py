@@ -228,7 +228,7 @@ def product_performance(
         F.sum("gross_item_amount").cast(MONEY2).alias("gross_revenue"),
         F.sum("net_item_amount").cast(MONEY4).alias("net_revenue"),
         F.sum("item_profit").cast(MONEY4).alias("total_profit"),
-        F.round(F.avg("profit_margin_percentage"), 6).alias("average_profit_margin"),
+        rules.round_half_up(F.avg("profit_margin_percentage"), 6).alias("average_profit_margin"),
         F.countDistinct("customer_id").alias("unique_customers"),
     )
     rated = (
