@@ -26,6 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.strategy import fits_one_task
 from tessera.session import shuffle_partitions
 
 _PID = "__pid"
@@ -129,8 +130,13 @@ def ntile_expr(rn: Column, total: Column, tiles: int) -> Column:
     )
 
 
-def global_ntile(df: DataFrame, order: Sequence[Column | str], tiles: int, name: str) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY order)`` without a single-task window."""
+def global_ntile(
+    df: DataFrame, order: Sequence[Column | str], tiles: int, name: str, bound: DataFrame | None = None
+) -> DataFrame:
+    """``NTILE(tiles) OVER (ORDER BY order)``; distributed unless the input is
+    checked to fit one task (see ``strategy``)."""
+    if fits_one_task(df, bound):
+        return df.withColumn(name, F.ntile(tiles).over(Window.orderBy(*_cols(order))))
     numbered = global_row_number(df, order, name="__rn", total="__n")
     return numbered.withColumn(name, ntile_expr(F.col("__rn"), F.col("__n"), tiles)).drop("__rn", "__n")
 
@@ -144,13 +150,28 @@ def ranked(
     rank: str | None = None,
     percent_rank: str | None = None,
     row_number: str | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """RANK / PERCENT_RANK / ROW_NUMBER over (``partition_by``, ``value_order``).
 
     ``value_cols`` are the columns behind ``value_order`` (ties are rows equal
     on them). ``tiebreak`` makes the row numbering total. Without
-    ``partition_by`` the ranking is over the whole DataFrame.
+    ``partition_by`` the ranking is over the whole DataFrame. Built-in windows
+    are used when the input is checked to fit one task.
     """
+    if fits_one_task(df, bound):
+        w = Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()
+        by_value = w.orderBy(*value_order)
+        extra = []
+        if rank:
+            extra.append(F.rank().over(by_value).cast("int").alias(rank))
+        if percent_rank:
+            extra.append(F.percent_rank().over(by_value).alias(percent_rank))
+        if row_number:
+            extra.append(
+                F.row_number().over(w.orderBy(*value_order, *_cols(tiebreak))).cast("long").alias(row_number)
+            )
+        return df.select("*", *extra)
     order = [F.col(c).asc_nulls_first() for c in partition_by] + list(value_order) + _cols(tiebreak)
     out = global_row_number(df, order, name="__rn", total="__n")
     keep = list(df.columns)
@@ -181,16 +202,19 @@ def ranked(
 
 
 def group_percentile_cont(
-    df: DataFrame, group_by: Sequence[str], value: str, q: float, name: str
+    df: DataFrame, group_by: Sequence[str], value: str, q: float, name: str, bound: DataFrame | None = None
 ) -> DataFrame:
-    """Exact ``PERCENTILE_CONT(value, q)`` per group (or overall) by sorting.
+    """Exact ``PERCENTILE_CONT(value, q)`` per group (or overall).
 
-    Unlike the ``percentile`` aggregate, no group's values are held in one
-    buffer: rows are numbered within their group over a global sort, and only
-    the (at most two) rows around the requested position are kept.
+    When the input is checked to fit one task the exact ``percentile``
+    aggregate is used. Otherwise no group's values are held in one buffer:
+    rows are numbered within their group over a global sort, and only the (at
+    most two) rows around the requested position are kept.
     Returns one row per group with columns ``group_by + [name]``.
     """
     base = df.select(*group_by, value).filter(F.col(value).isNotNull())
+    if fits_one_task(df, bound):
+        return base.groupBy(*group_by).agg(F.percentile(F.col(value).cast("double"), q).alias(name))
     order = [F.col(c).asc_nulls_first() for c in group_by] + [F.col(value).asc()]
     numbered = global_row_number(base, order, name="__rn", total="__cnt")
     if group_by:

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import global_row_number, join_group_values
+from tessera.operators.strategy import fits_one_task
 
 
 def lead_within(
@@ -23,14 +24,21 @@ def lead_within(
     order: Sequence[Column],
     lead_cols: dict[str, str],
     position: str | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``LEAD(src) OVER (PARTITION BY keys ORDER BY order)`` columns.
 
     ``lead_cols`` maps output name -> source column. ``order`` should be a
     total order within each key. ``position`` optionally names a 1-based
-    ``ROW_NUMBER()`` within the key.
+    ``ROW_NUMBER()`` within the key. The built-in window is used when the
+    input is checked to fit one task (no key can then be larger).
     """
     keys = list(keys)
+    if fits_one_task(df, bound):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        leads = [F.lead(src).over(w).alias(out) for out, src in lead_cols.items()]
+        pos = [F.row_number().over(w).cast("long").alias(position)] if position else []
+        return df.select("*", *leads, *pos)
     full_order = [F.col(k).asc_nulls_first() for k in keys] + list(order)
     numbered = global_row_number(df, full_order, name="__rn")
     following = numbered.select(
@@ -51,9 +59,14 @@ def lead_within(
     return out.select(*df.columns, *lead_cols, *([position] if position else []))
 
 
-def position_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` on a global sort."""
+def position_within(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, bound: DataFrame | None = None
+) -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)``; on a global
+    sort unless the input is checked to fit one task."""
     keys = list(keys)
+    if fits_one_task(df, bound):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     full_order = [F.col(k).asc_nulls_first() for k in keys] + list(order)
     numbered = global_row_number(df, full_order, name="__rn")
     out = join_group_values(numbered, keys, F.min("__rn").alias("__first"))

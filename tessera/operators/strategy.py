@@ -1,0 +1,36 @@
+"""Choosing between a one-task plan and the distributed plan by checked size.
+
+A window (``PARTITION BY k``, or none) or an exact per-group aggregate holds a
+whole group in one task. That is fine - and cheapest, one shuffle - when the
+group is known to be small. The only bound that needs no assumption about key
+distribution is the row count of the input (or of any DataFrame known to have
+at least as many rows): no group can be larger. Above the limit the
+distributed helpers (global sort with prefix offsets) are used instead, and
+they return the same result.
+
+The limit is the session setting ``tessera.singleTask.maxRows`` (default
+2,000,000 rows, about one default-sized task); ``0`` always takes the
+distributed path.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+CONF_KEY = "tessera.singleTask.maxRows"
+DEFAULT_MAX_ROWS = 2_000_000
+
+
+def single_task_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(CONF_KEY, str(DEFAULT_MAX_ROWS)))
+
+
+def fits_one_task(df: DataFrame, bound: DataFrame | None = None) -> bool:
+    """True when ``bound`` (default ``df``) has at most the configured rows.
+
+    ``bound`` must have at least as many rows as ``df``; passing a staged
+    parquet input keeps the check to a metadata-cheap count."""
+    limit = single_task_limit(df)
+    if limit <= 0:
+        return False
+    return (bound if bound is not None else df).count() <= limit

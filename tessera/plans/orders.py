@@ -195,8 +195,13 @@ def customer_order_patterns(oh: DataFrame, oid: DataFrame, as_of: dt.date, tiles
         F.coalesce(F.col("unique_categories_purchased"), F.lit(0)).alias("unique_categories_purchased"),
         rules.recency_label(F.col("__days")).alias("recency_segment"),
     )
-    out = global_ntile(out, [F.col("total_spent").asc(), F.col("customer_id").asc()], tiles, "monetary_segment")
-    out = global_ntile(out, [F.col("total_orders").asc(), F.col("customer_id").asc()], tiles, "frequency_segment")
+    # order history has at least one row per customer: a cheap bound for the check
+    out = global_ntile(
+        out, [F.col("total_spent").asc(), F.col("customer_id").asc()], tiles, "monetary_segment", bound=oh
+    )
+    out = global_ntile(
+        out, [F.col("total_orders").asc(), F.col("customer_id").asc()], tiles, "frequency_segment", bound=oh
+    )
     return out
 
 
@@ -252,11 +257,14 @@ def product_performance(
         .withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0)))
     )
     desc = [F.col("net_revenue").desc()]
+    # every product has at least one order line: the lines bound the product count
     out = ranked(
         joined, desc, ["net_revenue"], tiebreak=["product_id"], partition_by=["category_id"],
-        rank="category_revenue_rank",
+        rank="category_revenue_rank", bound=oid,
+    )
+    out = ranked(
+        out, desc, ["net_revenue"], tiebreak=["product_id"], percent_rank="overall_revenue_percentile", bound=oid
     )
-    out = ranked(out, desc, ["net_revenue"], tiebreak=["product_id"], percent_rank="overall_revenue_percentile")
     return out
 
 

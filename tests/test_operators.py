@@ -16,12 +16,22 @@ from pyspark.sql import functions as F
 from tessera.operators.lookback import lookback_distinct_count
 from tessera.operators.ranking import global_ntile, global_row_number, group_percentile_cont, ranked
 from tessera.operators.sequence import lead_within, position_within
+from tessera.operators.strategy import CONF_KEY
 from tessera.operators.subquery import scalar_subquery_filter
 from tessera.operators.topvalue import top_values
 
 from .conftest import rows
 
 
+@pytest.fixture(params=["distributed", "one_task"], autouse=True)
+def strategy(request, spark):
+    """Run every test on both plans: the global-sort one and the checked
+    single-task one."""
+    spark.conf.set(CONF_KEY, "0" if request.param == "distributed" else "100000000")
+    yield request.param
+    spark.conf.unset(CONF_KEY)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rnd = random.Random(7)

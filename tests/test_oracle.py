@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators.strategy import CONF_KEY
 from tessera.oracle.harness import compare, duckdb_connection
 
 from .conftest import SMALL
@@ -41,3 +42,28 @@ def test_approximate_modes_agree_with_exact_on_small_data(spark):
     approx = q["customer_modes_approx"](spark, SMALL)
     exact = q["customer_metadata"](spark, SMALL)
     assert approx.count() == exact.count()
+
+
+# Jobs whose plan changes with the size check: force the distributed plan.
+DISTRIBUTED_KEYS = [
+    "category_metrics", "product_global_median", "purchase_history", "purchase_sequence", "purchase_patterns",
+    "order_history", "customer_order_patterns", "product_performance", "customer_rfm",
+]
+
+
+@pytest.mark.parametrize("key", DISTRIBUTED_KEYS)
+def test_distributed_plan_matches_oracle(spark, con, key):
+    from tessera.operators.staging import clear_memo
+    from tessera.plans.registry import _RUNS
+
+    spark.conf.set(CONF_KEY, "0")
+    _RUNS.clear()  # recompute every intermediate on the distributed plan
+    clear_memo()
+    try:
+        df = entry.queries()[key](spark, SMALL)
+        result = compare(key, df, con, entry.oracle_sql()[key])
+    finally:
+        spark.conf.unset(CONF_KEY)
+        _RUNS.clear()
+        clear_memo()
+    assert result.ok, result.summary()
