@@ -39,7 +39,7 @@ SELECT {k}, v AS {out} FROM (
 ) ranked WHERE rn = 1"""
 
 
-# ---------------------------------------------------------------- complex1
+# ---------------------------------------------------------------- customer-360 model
 RAW = f"""
 SELECT transaction_id, user_id,
   strptime(transaction_time, '%Y-%m-%d %H:%M:%S') AS transaction_time,
@@ -306,7 +306,7 @@ LEFT JOIN ({mode_sql('days', ['transaction_date'], 'product_category', 'top_cate
 LEFT JOIN ({mode_sql('days', ['transaction_date'], 'payment_method', 'top_payment_method')}) b USING (transaction_date)
 """
 
-# ---------------------------------------------------------------- complex2
+# ---------------------------------------------------------------- order model
 CB = f"""
 SELECT c.customer_id, c.first_name, c.last_name, c.email, c.registration_date, c.country, c.city, c.postal_code,
   cast(date_diff('day', c.registration_date, {AS_OF}) AS INTEGER) AS customer_tenure_days,

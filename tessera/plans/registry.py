@@ -38,7 +38,7 @@ class Run:
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage(df, (name, self.sf_dir, self.p.key()), enabled=self.staged)
 
-    # -- complex1: transactions ---------------------------------------------
+    # -- customer-360 model: transactions ------------------------------------
     @cached_property
     def tx(self) -> DataFrame:
         cleaned = commerce.clean_transactions(self.table("transactions"), self.p.tx_start, self.p.tx_end_exclusive)
@@ -82,7 +82,7 @@ class Run:
             commerce.primary_products(self.tx), self.p.as_of, self.p.top_limit,
         )
 
-    # -- complex2: orders ---------------------------------------------------
+    # -- order model: orders, items, customers -------------------------------
     @cached_property
     def customer_base(self) -> DataFrame:
         return orders.customer_base(self.table("customers"), self.table("customer_subscriptions"), self.p.as_of)
@@ -141,10 +141,10 @@ def _q(fn: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    # query.sql / cvtest.sql
+    # scalar-subquery filter, finest regional level
     "scalar_subquery_filter": lambda spark, sf: lookup.latest_orders(spark, sf),
     "leaf_level_extract": lambda spark, sf: region.leaf_level_extract(adapters.load(spark, sf, "covid19_open_data")),
-    # complex1.sql
+    # customer-360 model
     "clean_transactions": _q(lambda r: r.tx),
     "customer_metadata": _q(lambda r: r.meta),
     "customer_modes_approx": _q(lambda r: commerce.customer_modes_approx(r.tx)),
@@ -161,7 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predictive_metrics": _q(lambda r: r.predictive),
     "user_products": _q(lambda r: commerce.user_products(r.tx, r.pm)),
     "customer_360": _q(lambda r: r.customer_360()),
-    # complex2.sql
+    # order model
     "customer_base": _q(lambda r: r.customer_base),
     "order_history": _q(lambda r: r.order_history),
     "order_items_detail": _q(lambda r: r.order_items_detail),

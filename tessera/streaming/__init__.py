@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference queries contain no stream, watermark, window-over-time or
+state construct - its only "sessions" are a table read by a batch look-back
+(``tessera.operators.lookback``) - so this package is empty on purpose.
+"""

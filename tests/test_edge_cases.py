@@ -135,7 +135,7 @@ def test_customer_360_same_day_rate_and_safe_division(spark):
     assert len(out[1]) == 63
 
 
-# ------------------------------------------------------------- complex2
+# ------------------------------------------------------------- order model
 CUST = ("customer_id long, first_name string, last_name string, email string, registration_date date, "
         "country string, city string, postal_code string")
 SUBS = ("customer_id long, subscription_tier string, subscription_start_date date, "
