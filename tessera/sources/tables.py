@@ -28,7 +28,7 @@ BASE_TABLES = (
 
 # Spread only tables at least this large: below it the extra shuffle costs
 # more than the parallelism it buys.
-SPREAD_MIN_BYTES = 4 << 20
+SPREAD_MIN_BYTES = 1 << 20
 
 
 def _total_bytes(spark: SparkSession, path: str) -> int:
