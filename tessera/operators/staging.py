@@ -25,7 +25,7 @@ def stage(df: DataFrame, key: tuple, enabled: bool = True) -> DataFrame:
     if not enabled:
         return df
     spark: SparkSession = df.sparkSession
-    memo = (id(spark), spark.sparkContext.applicationId) + tuple(key)
+    memo = (id(spark), spark.conf.get("spark.app.id", "")) + tuple(key)
     if memo in _STAGED:
         return _STAGED[memo]
     path = f"{checkpoint_dir(spark)}/tessera-stage/{'-'.join(map(str, key[:1]))}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ class Run:
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> "Run":
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), params.key())
+        key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"), params.key())
         if key not in _RUNS:
             _RUNS[key] = cls(spark, sf_dir, params)
         return _RUNS[key]

@@ -63,7 +63,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     directory). Only when neither is set - local tests - a private folder is
     made and registered, so later calls agree on it.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no JVM context
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(path)

@@ -41,10 +41,12 @@ def _total_bytes(spark: SparkSession, path: str) -> int:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores and _total_bytes(spark, path) >= SPREAD_MIN_BYTES:
-        df = df.repartition(cores)
-    return df
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        spread = len(df.inputFiles()) < cores and _total_bytes(spark, path) >= SPREAD_MIN_BYTES
+    except Exception:  # no JVM context (e.g. a remote session): read as is
+        spread = False
+    return df.repartition(cores) if spread else df
 
 
 def read_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, DataFrame]:
