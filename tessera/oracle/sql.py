@@ -603,3 +603,39 @@ ORACLE_SQL: dict[str, str] = {
         CRFM,
     ),
 }
+
+
+# Money is reported as DOUBLE (summed exactly as DECIMAL first), as in the
+# registered Spark results: the DECIMAL output columns of each statement.
+MONEY_COLUMNS: dict[str, list[str]] = {
+    "clean_transactions": ["unit_price", "total_price"],
+    "customer_metadata": ["total_spend"],
+    "rfm_scores": ["monetary"],
+    "customer_segments": ["monetary", "total_spend"],
+    "product_metrics": ["total_revenue", "total_revenue_returned"],
+    "category_metrics": ["category_revenue", "category_revenue_returned"],
+    "product_global_median": ["total_revenue", "total_revenue_returned"],
+    "time_analysis": ["daily_revenue", "daily_net_revenue", "daily_returns"],
+    "purchase_history": ["total_price"],
+    "monthly_cohorts": ["total_spend", "avg_spend_per_user"],
+    "predictive_metrics": ["total_spend", "projected_lifetime_value"],
+    "user_products": ["total_revenue"],
+    "customer_360": [
+        "total_spend", "monetary", "products_total_revenue", "products_total_revenue_returned", "category_revenue",
+        "category_revenue_returned", "cohort_total_spend", "avg_spend_per_user", "projected_lifetime_value",
+    ],
+    "customer_base": ["subscription_monthly_fee"],
+    "order_history": ["total_amount", "discount_amount", "shipping_cost", "tax_amount", "final_amount"],
+    "order_items_detail": [
+        "unit_price", "gross_item_amount", "net_item_amount", "unit_cost", "item_profit", "total_weight_kg",
+    ],
+    "customer_order_patterns": ["total_spent"],
+    "product_performance": ["gross_revenue", "net_revenue", "total_profit"],
+    "time_based_sales": ["monthly_revenue", "monthly_profit", "prev_month_revenue", "cumulative_revenue"],
+    "geographic_sales": ["total_revenue", "total_shipping_cost"],
+    "customer_rfm": ["total_spent"],
+}
+
+for _key, _cols in MONEY_COLUMNS.items():
+    _casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _cols)
+    ORACLE_SQL[_key] = f"SELECT * REPLACE ({_casts}) FROM (\n{ORACLE_SQL[_key]}\n) reported"

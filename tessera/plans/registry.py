@@ -12,6 +12,8 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tessera.operators.staging import stage
 from tessera.plans import commerce, lookup, orders, region
@@ -138,9 +140,19 @@ class Run:
         )
 
 
+def report(df: DataFrame) -> DataFrame:
+    """Money is summed as DECIMAL inside the jobs (exact), and reported as
+    DOUBLE: every top-level DECIMAL column of a registered result is cast."""
+    casts = [
+        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f.name)
+        for f in df.schema.fields
+    ]
+    return df.select(*casts)
+
+
 def _q(fn: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Run.get(spark, sf_dir))
+        return report(fn(Run.get(spark, sf_dir)))
 
     run.__name__ = getattr(fn, "__name__", "query")
     return run
@@ -148,7 +160,7 @@ def _q(fn: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # scalar-subquery filter, finest regional level
-    "scalar_subquery_filter": lambda spark, sf: lookup.latest_orders(spark, sf),
+    "scalar_subquery_filter": lambda spark, sf: report(lookup.latest_orders(spark, sf)),
     "leaf_level_extract": _q(lambda r: region.leaf_level_extract(r.covid)),
     # customer-360 model
     "clean_transactions": _q(lambda r: r.tx),

@@ -7,6 +7,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.plans import commerce, orders
+from tessera.plans.registry import Run
 
 from .conftest import SMALL
 
@@ -24,13 +26,16 @@ def test_ntile_buckets_differ_by_at_most_one(spark):
 
 
 def test_daily_revenue_adds_up_to_product_revenue(spark):
-    daily = q(spark, "time_analysis").agg(F.sum("daily_revenue")).first()[0]
-    products = q(spark, "product_metrics").agg(F.sum("total_revenue")).first()[0]
+    # on the jobs' exact DECIMAL outputs (registered results report DOUBLE)
+    run = Run.get(spark, SMALL)
+    daily = commerce.time_analysis(run.tx).agg(F.sum("daily_revenue")).first()[0]
+    products = run.pm.agg(F.sum("total_revenue")).first()[0]
     assert daily == products
 
 
 def test_cumulative_revenue_ends_at_category_total(spark):
-    tbs = q(spark, "time_based_sales")
+    run = Run.get(spark, SMALL)
+    tbs = orders.time_based_sales(run.order_history, run.order_items_detail)
     last = {r["category_id"]: r["cumulative_revenue"] for r in
             tbs.orderBy("month").collect()}
     totals = {r["category_id"]: r["t"] for r in tbs.groupBy("category_id").agg(F.sum("monthly_revenue").alias("t"))
