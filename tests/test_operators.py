@@ -152,3 +152,24 @@ def test_scalar_subquery_filter(spark):
     two = spark.createDataFrame([(1,), (2,)], "a long")
     with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS|more than one row"):
         scalar_subquery_filter(df, "a", two).collect()
+
+
+def test_hot_key_is_spread_over_range_partitions(spark, strategy):
+    """The global sort behind the distributed plans splits a key holding 90%
+    of the rows over many tasks, where PARTITION BY k would give it one."""
+    if strategy != "distributed":
+        pytest.skip("property of the distributed plan")
+    n = 20_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(0)).alias("k"), (F.col("id") * 7 % 1000).alias("v"),
+        "id",
+    )
+    order = [F.col("k").asc(), F.col("v").asc(), F.col("id").asc()]
+    sizes = [
+        r[1] for r in df.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()
+    ]
+    assert max(sizes) < 0.3 * n  # the hot key alone is 0.9 * n
+    out = lead_within(df, ["k"], [F.col("v").asc(), F.col("id").asc()], {"nv": "v"}, position="pos")
+    hot = out.filter(F.col("k") == 0)
+    assert hot.agg(F.max("pos")).first()[0] == int(0.9 * n) + 1  # id 0 also has k = 0
+    assert hot.filter(F.col("nv").isNull()).count() == 1
