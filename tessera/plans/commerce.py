@@ -396,6 +396,25 @@ def primary_products(tx: DataFrame) -> DataFrame:
     )
 
 
+def top_candidates(users: DataFrame, lead: str, k: int, accuracy: int = 10000) -> DataFrame:
+    """Rows that can be among the top ``k`` by ``lead`` descending (then any
+    tie-break): those with ``lead >= t``, where at least ``k`` rows reach ``t``.
+
+    ``t`` is an approximate quantile (one sketch aggregation), placed low
+    enough to cover the quantile's rank error, and a count verifies the
+    cover - if it fails, all rows are kept - so the final top-k is exact. The
+    expensive joins of a report then run on about ``k`` rows instead of all,
+    and the last ORDER BY ... LIMIT merges a small input instead of ``k``
+    rows from every partition."""
+    n = users.count()
+    if n <= k:
+        return users
+    q = max(0.0, 1.0 - k / n - 2.0 / accuracy)
+    t = users.agg(F.percentile_approx(lead, q, accuracy).alias("t")).first()["t"]
+    candidates = users.filter(F.col(lead) >= F.lit(t))
+    return candidates if candidates.count() >= k else users
+
+
 def customer_360(
     segments: DataFrame,
     pm: DataFrame,
@@ -441,6 +460,8 @@ def customer_360(
         F.col("total_orders").alias("cohort_total_orders"),
         "avg_orders_per_user",
     )
+    if limit:
+        segments = top_candidates(segments, "total_spend", limit)
     first_day, last_day = F.to_date("first_purchase_date"), F.to_date("last_purchase_date")
     users = segments.withColumn("cohort_month", F.trunc(first_day, "MM")).withColumn(
         "months_since_cohort", (_month_index(last_day) - _month_index(F.col("cohort_month"))).cast("int")

@@ -173,3 +173,14 @@ def test_hot_key_is_spread_over_range_partitions(spark, strategy):
     hot = out.filter(F.col("k") == 0)
     assert hot.agg(F.max("pos")).first()[0] == int(0.9 * n) + 1  # id 0 also has k = 0
     assert hot.filter(F.col("nv").isNull()).count() == 1
+
+
+def test_top_candidates_keep_every_possible_top_row(spark):
+    from tessera.plans.commerce import top_candidates
+
+    df = spark.range(3000).select((F.col("id") % 37).alias("v"), "id")  # heavy ties
+    for k in (1, 10, 100, 2999):
+        cand = top_candidates(df, "v", k)
+        top = df.orderBy(F.col("v").desc(), "id").limit(k)
+        assert top.subtract(cand).count() == 0
+        assert cand.count() >= k

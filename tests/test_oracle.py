@@ -67,3 +67,17 @@ def test_distributed_plan_matches_oracle(spark, con, key):
         _RUNS.clear()
         clear_memo()
     assert result.ok, result.summary()
+
+
+@pytest.mark.parametrize("k", [7, 60])
+def test_customer_360_small_limit_matches_oracle(spark, con, k):
+    from tessera.plans import commerce
+    from tessera.plans.registry import Run, report
+
+    r = Run.get(spark, SMALL)
+    df = commerce.customer_360(
+        r.segments, r.pm, r.cm, r.patterns, r.cohorts, r.predictive, commerce.primary_products(r.tx), r.p.as_of, k
+    )
+    sql = entry.oracle_sql()["customer_360"].replace("LIMIT 10000", f"LIMIT {k}")
+    result = compare("customer_360", report(df), con, sql)
+    assert result.ok, result.summary()
