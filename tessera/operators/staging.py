@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.session import checkpoint_dir
 
 _STAGED: dict[tuple, DataFrame] = {}
+_PATHS: dict[tuple, str] = {}
 
 
 def stage(df: DataFrame, key: tuple, enabled: bool = True) -> DataFrame:
@@ -32,8 +33,30 @@ def stage(df: DataFrame, key: tuple, enabled: bool = True) -> DataFrame:
     df.write.mode("error").parquet(path)
     staged = spark.read.parquet(path)
     _STAGED[memo] = staged
+    _PATHS[memo] = path
     return staged
 
 
 def clear_memo() -> None:
+    """Forget staged tables (their files stay)."""
     _STAGED.clear()
+    _PATHS.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """End of a run: delete the tables this session staged and unpersist the
+    numbered intermediates of the global sorts. Shared storage then does not
+    keep a copy of every run's intermediates."""
+    from tessera.operators import ranking
+
+    app = (id(spark), spark.conf.get("spark.app.id", ""))
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for memo, path in list(_PATHS.items()):
+        if memo[:2] != app:
+            continue
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(conf).delete(hpath, True)
+        _PATHS.pop(memo, None)
+        _STAGED.pop(memo, None)
+    ranking.release()

@@ -27,6 +27,15 @@ class Run:
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DEFAULT, staged: bool = True):
         self.spark, self.sf_dir, self.p, self.staged = spark, sf_dir.rstrip("/"), params, staged
 
+    @classmethod
+    def release(cls, spark: SparkSession) -> None:
+        """Forget this session's runs and delete their staged tables."""
+        from tessera.operators.staging import release
+
+        for key in [k for k in _RUNS if k[0] == id(spark)]:
+            del _RUNS[key]
+        release(spark)
+
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> "Run":
         key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"), params.key())

@@ -43,7 +43,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(path)
     try:
         cores = spark.sparkContext.defaultParallelism
-        spread = len(df.inputFiles()) < cores and _total_bytes(spark, path) >= SPREAD_MIN_BYTES
+        # planned scan splits (no job, no file list through the driver);
+        # sizes are looked up only for the few-split case
+        spread = df.rdd.getNumPartitions() < cores and _total_bytes(spark, path) >= SPREAD_MIN_BYTES
     except Exception:  # no JVM context (e.g. a remote session): read as is
         spread = False
     return df.repartition(cores) if spread else df

@@ -184,3 +184,18 @@ def test_top_candidates_keep_every_possible_top_row(spark):
         top = df.orderBy(F.col("v").desc(), "id").limit(k)
         assert top.subtract(cand).count() == 0
         assert cand.count() >= k
+
+
+def test_release_deletes_staged_tables(spark, strategy):
+    import os
+
+    from tessera.operators.staging import _PATHS, stage
+    from tessera.plans.registry import Run
+
+    if strategy != "one_task":
+        pytest.skip("independent of the plan choice")
+    staged = stage(spark.range(10), ("release-test", strategy))
+    path = [p for m, p in _PATHS.items() if m[-2:] == ("release-test", strategy)][0]
+    assert staged.count() == 10 and os.path.exists(path.replace("file:", ""))
+    Run.release(spark)  # forgets cached runs too, so none points at deleted files
+    assert not os.path.exists(path.replace("file:", ""))
