@@ -38,8 +38,21 @@ def _total_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hpath).getLength()
 
 
+_READ: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy DataFrame over one table. Memoised per session: a DataFrame is
+    immutable, and reading the parquet footers for the schema again for
+    every adapter that uses the table would cost a round trip each time."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    memo = (id(spark), spark.conf.get("spark.app.id", ""), path)
+    if memo not in _READ:
+        _READ[memo] = _read(spark, path)
+    return _READ[memo]
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     try:
         cores = spark.sparkContext.defaultParallelism

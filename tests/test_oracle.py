@@ -69,7 +69,7 @@ def test_distributed_plan_matches_oracle(spark, con, key):
     assert result.ok, result.summary()
 
 
-@pytest.mark.parametrize("k", [7, 60])
+@pytest.mark.parametrize("k", [7, 30])
 def test_customer_360_small_limit_matches_oracle(spark, con, k):
     from tessera.plans import commerce
     from tessera.plans.registry import Run, report
