@@ -87,11 +87,11 @@ class Run:
 
     @cached_property
     def cohorts(self) -> DataFrame:
-        return commerce.monthly_cohorts(self.tx, self.meta)
+        return self._stage(commerce.monthly_cohorts(self.tx, self.meta), "cohorts")
 
     @cached_property
     def predictive(self) -> DataFrame:
-        return commerce.predictive_metrics(self.segments, self.patterns, self.tx, self.p.as_of)
+        return self._stage(commerce.predictive_metrics(self.segments, self.patterns, self.tx, self.p.as_of), "pred")
 
     def customer_360(self) -> DataFrame:
         return commerce.customer_360(
