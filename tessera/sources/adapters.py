@@ -245,17 +245,7 @@ WHERE event_type = 'error'
 # The epidemiology table: one row per (month, country[, segment[, priority]]),
 # at three aggregation levels. Level 1 exists for nations with key % 3 >= 1,
 # level 2 for key % 3 = 2, so the finest level differs between countries.
-_COVID_LEVEL = """
-  SELECT cast(date_trunc('month', o_orderdate) as date) AS date,
-         n_nationkey AS nation_key, n_regionkey AS region_key, n_name AS country_name,
-         {sub1} AS sub1, {sub2} AS sub2, {level} AS aggregation_level, count(*) AS n
-  FROM {{orders}}
-  JOIN {{customer}} ON o_custkey = c_custkey
-  JOIN {{nation}} ON c_nationkey = n_nationkey
-  {where}
-  GROUP BY cast(date_trunc('month', o_orderdate) as date), n_nationkey, n_regionkey, n_name{group}
-"""
-
+# One join and one aggregation over grouping sets make all three levels.
 _register(
     "covid19_open_data",
     ("orders", "customer", "nation"),
@@ -276,19 +266,26 @@ SELECT
   n * 100 AS cumulative_confirmed,
   n * 2 AS cumulative_deceased,
   case when month(date) = 1 then null else n * 60 end AS cumulative_recovered
-FROM ("""
-    + _COVID_LEVEL.format(sub1="cast(NULL as string)", sub2="cast(NULL as string)", level=0, where="", group="")
-    + "  UNION ALL"
-    + _COVID_LEVEL.format(
-        sub1="c_mktsegment", sub2="cast(NULL as string)", level=1,
-        where="WHERE n_nationkey % 3 >= 1", group=", c_mktsegment",
-    )
-    + "  UNION ALL"
-    + _COVID_LEVEL.format(
-        sub1="c_mktsegment", sub2="o_orderpriority", level=2,
-        where="WHERE n_nationkey % 3 = 2", group=", c_mktsegment, o_orderpriority",
-    )
-    + ") g",
+FROM (
+  SELECT date, nation_key, region_key, country_name, sub1, sub2, n,
+         case when g1 = 1 then 0 when g2 = 1 then 1 else 2 end AS aggregation_level
+  FROM (
+    SELECT d AS date, nk AS nation_key, rk AS region_key, nm AS country_name, seg AS sub1, pri AS sub2,
+           grouping(seg) AS g1, grouping(pri) AS g2, count(*) AS n
+    FROM (
+      SELECT cast(date_trunc('month', o_orderdate) as date) AS d, n_nationkey AS nk, n_regionkey AS rk,
+             n_name AS nm, c_mktsegment AS seg, o_orderpriority AS pri
+      FROM {orders}
+      JOIN {customer} ON o_custkey = c_custkey
+      JOIN {nation} ON c_nationkey = n_nationkey
+    ) j
+    GROUP BY GROUPING SETS ((d, nk, rk, nm), (d, nk, rk, nm, seg), (d, nk, rk, nm, seg, pri))
+  ) g
+) l
+WHERE aggregation_level = 0
+   OR (aggregation_level = 1 AND nation_key % 3 >= 1)
+   OR (aggregation_level = 2 AND nation_key % 3 = 2)
+""",
 )
 
 # inventory: one row per (part, warehouse 1..4), with some pairs missing.
