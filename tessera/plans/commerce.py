@@ -47,6 +47,16 @@ def _ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / den.cast("double")
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join two per-group results on their group key, NULL matching NULL
+    (a NULL key is a group of its own, as in GROUP BY)."""
+    renamed = right.select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
+    )
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 # --------------------------------------------------------------------- J3
 def clean_transactions(transactions: DataFrame, start: dt.date, end_exclusive: dt.date) -> DataFrame:
     """Parse times, price lines, bucket devices, drop test rows, keep the window.
@@ -116,7 +126,7 @@ def customer_metadata(tx: DataFrame) -> DataFrame:
             "most_common_device_type": "device_type_clean",
         },
     )
-    return totals.join(modes, "user_id", "left")
+    return _join_groups(totals, modes, ["user_id"], "left")
 
 
 def customer_modes_approx(tx: DataFrame) -> DataFrame:
@@ -171,20 +181,56 @@ def customer_segments(meta: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 # --------------------------------------------------------------------- J6
+def _distinct_counts(tx: DataFrame, keys: list[str], users: str, transactions: str) -> DataFrame:
+    """Per group: distinct users (all, on mobile, on desktop) and distinct
+    transactions.
+
+    Instead of several COUNT(DISTINCT) in one aggregation (which Spark runs by
+    copying every row once per distinct argument), rows are first reduced to
+    distinct (group, user) - remembering whether the user bought on each
+    device - and distinct (group, transaction), each combined map-side; the
+    small results are joined on the group key. NULL ids are not counted,
+    as with COUNT(DISTINCT)."""
+    device = F.col("device_type_clean")
+    per_user = (
+        tx.groupBy(*keys, "user_id")
+        .agg(
+            F.max((device == "mobile").cast("int")).alias("__m"),
+            F.max((device == "desktop").cast("int")).alias("__d"),
+        )
+        .groupBy(*keys)
+        .agg(
+            F.count("user_id").alias(users),
+            F.count(F.when(F.col("__m") == 1, F.col("user_id"))).alias("mobile_customers"),
+            F.count(F.when(F.col("__d") == 1, F.col("user_id"))).alias("desktop_customers"),
+        )
+    )
+    per_tx = (
+        tx.select(*keys, "transaction_id")
+        .distinct()
+        .groupBy(*keys)
+        .agg(F.count("transaction_id").alias(transactions))
+    )
+    return _join_groups(per_user, per_tx, keys)
+
+
 def product_metrics(tx: DataFrame) -> DataFrame:
+    keys = ["product_id", "product_category"]
     returned_qty = F.sum(_returned("quantity"))
-    return tx.groupBy("product_id", "product_category").agg(
-        F.countDistinct("user_id").alias("unique_customers"),
+    sums = tx.groupBy(*keys).agg(
         F.sum("quantity").cast("long").alias("total_quantity_sold"),
         F.sum("total_price").cast(MONEY).alias("total_revenue"),
         returned_qty.cast("long").alias("total_quantity_returned"),
         F.sum(_returned("total_price")).cast(MONEY).alias("total_revenue_returned"),
-        F.countDistinct("transaction_id").alias("transaction_count"),
         _avg(F.col("quantity")).alias("avg_quantity_per_transaction"),
         _avg(F.col("total_price")).alias("avg_revenue_per_transaction"),
         _ratio(returned_qty, F.sum("quantity")).alias("return_rate"),
-        F.countDistinct(F.when(F.col("device_type_clean") == "mobile", F.col("user_id"))).alias("mobile_customers"),
-        F.countDistinct(F.when(F.col("device_type_clean") == "desktop", F.col("user_id"))).alias("desktop_customers"),
+    )
+    counts = _distinct_counts(tx, keys, "unique_customers", "transaction_count")
+    return _join_groups(sums, counts, keys).select(
+        *keys, "unique_customers", "total_quantity_sold", "total_revenue", "total_quantity_returned",
+        "total_revenue_returned", "transaction_count", "avg_quantity_per_transaction",
+        "avg_revenue_per_transaction", "return_rate", "mobile_customers", "desktop_customers",
     )
 
 
@@ -231,18 +277,15 @@ def time_analysis(tx: DataFrame) -> DataFrame:
         F.weekofyear("transaction_date").alias("week_of_year"),
         F.month("transaction_date").alias("month_of_year"),
         F.quarter("transaction_date").alias("quarter_of_year"),
-        F.countDistinct("transaction_id").alias("daily_transactions"),
-        F.countDistinct("user_id").alias("daily_customers"),
         F.sum("total_price").cast(MONEY).alias("daily_revenue"),
         F.sum(_sale("total_price")).cast(MONEY).alias("daily_net_revenue"),
         F.sum(_returned("total_price")).cast(MONEY).alias("daily_returns"),
         F.sum(_sale("quantity")).cast("long").alias("daily_quantity_sold"),
         _avg(_sale("total_price")).alias("avg_order_value"),
-        F.countDistinct(F.when(F.col("device_type_clean") == "mobile", F.col("user_id"))).alias("mobile_customers"),
-        F.countDistinct(F.when(F.col("device_type_clean") == "desktop", F.col("user_id"))).alias("desktop_customers"),
     )
+    counts = _distinct_counts(day, keys, "daily_customers", "daily_transactions")
     tops = top_values(day, keys, {"top_category": "product_category", "top_payment_method": "payment_method"})
-    return daily.join(tops, keys, "left")
+    return _join_groups(_join_groups(daily, counts, keys), tops, keys, "left")
 
 
 # --------------------------------------------------------------------- J9

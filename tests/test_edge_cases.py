@@ -319,3 +319,15 @@ def test_leaf_level_nulls(spark):
     out = region.leaf_level_extract(spark.createDataFrame(data, COVID))
     got = rows(out, "country_region", "province_state", "active")
     assert got == [("a", "a1", None), ("b", None, 3)]
+
+
+def test_null_product_is_a_group_of_its_own(spark):
+    tx = clean(spark, [
+        tx_row(1, 1, "2023-03-01 10:00:00", pid=None, cat=None, device="desktop"),
+        tx_row(2, 2, "2023-03-01 11:00:00", pid=None, cat=None),
+        tx_row(3, 2, "2023-03-02 11:00:00", pid=5),
+    ])
+    pm = {r["product_id"]: r for r in commerce.product_metrics(tx).collect()}
+    assert pm[None]["unique_customers"] == 2 and pm[None]["transaction_count"] == 2
+    assert pm[None]["mobile_customers"] == 1 and pm[None]["desktop_customers"] == 1
+    assert pm[5]["unique_customers"] == 1
