@@ -48,8 +48,10 @@ VALUE_TIER_DEFAULT = "Bronze"
 # Churn risk from days since the last purchase (strictly greater).
 CHURN_RISK = ((180, "High Risk"), (90, "Medium Risk"), (30, "Low Risk"))
 CHURN_RISK_DEFAULT = "Active"
-# Category behaviour from the number of distinct categories.
+# Category behaviour from the number of distinct categories: >=5, >=3, =2, else.
 CATEGORY_BEHAVIOR = ((5, "Multi-Category"), (3, "Several Categories"))
+CATEGORY_BEHAVIOR_TWO = "Two Categories"
+CATEGORY_BEHAVIOR_DEFAULT = "Single Category"
 # Lifetime value multipliers by segment (others 0.5).
 LIFETIME_FACTOR = (
     ("Champions", "1.5"),
@@ -65,6 +67,18 @@ SUMMER_MONTHS = (6, 7)
 MOBILE_DEVICES = ("mobile", "tablet")
 
 
+def category_behavior(n: Column) -> Column:
+    branches = [(n >= bound, label) for bound, label in CATEGORY_BEHAVIOR] + [(n == 2, CATEGORY_BEHAVIOR_TWO)]
+    return first_match(branches, CATEGORY_BEHAVIOR_DEFAULT)
+
+
+def season(month: Column) -> Column:
+    return first_match(
+        [(month.isin(*HOLIDAY_MONTHS), "Holiday Season"), (month.isin(*SUMMER_MONTHS), "Summer Season")],
+        "Regular Season",
+    )
+
+
 def recency_score(days: Column) -> Column:
     return tier(days, RECENCY_SCORE, 1, op="<=")
 

@@ -551,22 +551,9 @@ def customer_360(
         F.try_divide(F.col("total_items_returned").cast("double"), F.col("total_purchases")).alias("return_rate"),
         _days_since(as_of, "first_purchase_date").alias("days_since_first_purchase"),
         F.when(span == 0, F.lit(0.0)).otherwise(F.try_divide(spend, span) * 30).alias("monthly_spend_rate"),
-        rules.first_match(
-            [
-                (F.month("last_purchase_date").isin(*rules.HOLIDAY_MONTHS), "Holiday Season"),
-                (F.month("last_purchase_date").isin(*rules.SUMMER_MONTHS), "Summer Season"),
-            ],
-            "Regular Season",
-        ).alias("last_purchase_season"),
+        rules.season(F.month("last_purchase_date")).alias("last_purchase_season"),
         rules.tier(F.col("total_spend"), rules.VALUE_TIER, rules.VALUE_TIER_DEFAULT).alias("value_tier"),
-        rules.first_match(
-            [
-                (F.col("distinct_categories_purchased") >= 5, "Multi-Category"),
-                (F.col("distinct_categories_purchased") >= 3, "Several Categories"),
-                (F.col("distinct_categories_purchased") == 2, "Two Categories"),
-            ],
-            "Single Category",
-        ).alias("category_behavior"),
+        rules.category_behavior(F.col("distinct_categories_purchased")).alias("category_behavior"),
     )
     ordered = out.orderBy(F.col("total_spend").desc(), F.col("total_transactions").desc(), F.col("user_id").asc())
     return ordered.limit(limit) if limit else ordered
