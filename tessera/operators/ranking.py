@@ -16,6 +16,10 @@ derived from that global row number with aggregations and equi-joins only.
 Group-level values ("first row number of a group") are computed with a
 partial aggregation and joined back; a hot group is then one side of a
 skewed equi-join against a single row, which AQE's skew-join handling splits.
+
+The public helpers first check the input size (``strategy.fits_one_task``):
+below the limit no group can exceed one task, and the built-in window or
+exact aggregate is used instead - same result, one shuffle.
 """
 
 from __future__ import annotations
