@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
+from tessera.operators.distinct import with_distinct_counts
 from tessera.operators.ranking import group_percentile_cont
 from tessera.operators.sequence import lead_within, position_within
 from tessera.operators.topvalue import top_values
@@ -110,12 +111,22 @@ def customer_metadata(tx: DataFrame) -> DataFrame:
     totals = tx.groupBy("user_id").agg(
         F.min("transaction_time").alias("first_purchase_date"),
         F.max("transaction_time").alias("last_purchase_date"),
-        F.countDistinct("transaction_id").alias("total_transactions"),
         F.sum(_sale("total_price")).cast(MONEY).alias("total_spend"),
         F.sum(_sale(F.lit(1))).cast("long").alias("total_purchases"),
         F.sum(_returned("quantity")).cast("long").alias("total_items_returned"),
-        F.countDistinct("product_category").alias("distinct_categories_purchased"),
-        F.countDistinct(F.to_date("transaction_time")).alias("distinct_purchase_days"),
+    )
+    totals = with_distinct_counts(
+        totals,
+        tx,
+        ["user_id"],
+        {
+            "total_transactions": "transaction_id",
+            "distinct_categories_purchased": "product_category",
+            "distinct_purchase_days": F.to_date("transaction_time"),
+        },
+    ).select(
+        "user_id", "first_purchase_date", "last_purchase_date", "total_transactions", "total_spend",
+        "total_purchases", "total_items_returned", "distinct_categories_purchased", "distinct_purchase_days",
     )
     modes = top_values(
         tx,
@@ -181,37 +192,15 @@ def customer_segments(meta: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 # --------------------------------------------------------------------- J6
-def _distinct_counts(tx: DataFrame, keys: list[str], users: str, transactions: str) -> DataFrame:
-    """Per group: distinct users (all, on mobile, on desktop) and distinct
-    transactions.
-
-    Instead of several COUNT(DISTINCT) in one aggregation (which Spark runs by
-    copying every row once per distinct argument), rows are first reduced to
-    distinct (group, user) - remembering whether the user bought on each
-    device - and distinct (group, transaction), each combined map-side; the
-    small results are joined on the group key. NULL ids are not counted,
-    as with COUNT(DISTINCT)."""
-    device = F.col("device_type_clean")
-    per_user = (
-        tx.groupBy(*keys, "user_id")
-        .agg(
-            F.max((device == "mobile").cast("int")).alias("__m"),
-            F.max((device == "desktop").cast("int")).alias("__d"),
-        )
-        .groupBy(*keys)
-        .agg(
-            F.count("user_id").alias(users),
-            F.count(F.when(F.col("__m") == 1, F.col("user_id"))).alias("mobile_customers"),
-            F.count(F.when(F.col("__d") == 1, F.col("user_id"))).alias("desktop_customers"),
-        )
-    )
-    per_tx = (
-        tx.select(*keys, "transaction_id")
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.count("transaction_id").alias(transactions))
-    )
-    return _join_groups(per_user, per_tx, keys)
+def _customer_counts(customers: str, transactions: str) -> dict[str, Column]:
+    """Distinct customers (all, on mobile, on desktop) and transactions."""
+    device, user = F.col("device_type_clean"), F.col("user_id")
+    return {
+        customers: user,
+        transactions: F.col("transaction_id"),
+        "mobile_customers": F.when(device == "mobile", user),
+        "desktop_customers": F.when(device == "desktop", user),
+    }
 
 
 def product_metrics(tx: DataFrame) -> DataFrame:
@@ -226,8 +215,8 @@ def product_metrics(tx: DataFrame) -> DataFrame:
         _avg(F.col("total_price")).alias("avg_revenue_per_transaction"),
         _ratio(returned_qty, F.sum("quantity")).alias("return_rate"),
     )
-    counts = _distinct_counts(tx, keys, "unique_customers", "transaction_count")
-    return _join_groups(sums, counts, keys).select(
+    counts = with_distinct_counts(sums, tx, keys, _customer_counts("unique_customers", "transaction_count"))
+    return counts.select(
         *keys, "unique_customers", "total_quantity_sold", "total_revenue", "total_quantity_returned",
         "total_revenue_returned", "transaction_count", "avg_quantity_per_transaction",
         "avg_revenue_per_transaction", "return_rate", "mobile_customers", "desktop_customers",
@@ -283,9 +272,9 @@ def time_analysis(tx: DataFrame) -> DataFrame:
         F.sum(_sale("quantity")).cast("long").alias("daily_quantity_sold"),
         _avg(_sale("total_price")).alias("avg_order_value"),
     )
-    counts = _distinct_counts(day, keys, "daily_customers", "daily_transactions")
+    counts = with_distinct_counts(daily, day, keys, _customer_counts("daily_customers", "daily_transactions"))
     tops = top_values(day, keys, {"top_category": "product_category", "top_payment_method": "payment_method"})
-    return _join_groups(_join_groups(daily, counts, keys), tops, keys, "left")
+    return _join_groups(counts, tops, keys, "left")
 
 
 # --------------------------------------------------------------------- J9

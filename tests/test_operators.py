@@ -199,3 +199,19 @@ def test_release_deletes_staged_tables(spark, strategy):
     assert staged.count() == 10 and os.path.exists(path.replace("file:", ""))
     Run.release(spark)  # forgets cached runs too, so none points at deleted files
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_distinct_counts_equal_builtin(skewed):
+    from tessera.operators.distinct import with_distinct_counts
+
+    df = skewed.withColumn("g", F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("k") % 5))
+    values = {"ds": "s", "dv": "v", "dvs": F.when(F.col("s") == "a", F.col("v"))}
+    base = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    got = with_distinct_counts(base, df, ["g"], values)
+    expected = df.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("s").alias("ds"),
+        F.countDistinct("v").alias("dv"),
+        F.countDistinct(F.when(F.col("s") == "a", F.col("v"))).alias("dvs"),
+    )
+    assert rows(got, "g", "n", "ds", "dv", "dvs") == rows(expected, "g", "n", "ds", "dv", "dvs")
