@@ -6,30 +6,39 @@ This is the correlated subquery
     (SELECT COUNT(DISTINCT e.id) FROM events e
       WHERE e.key = p.key AND e.t BETWEEN p.t - window AND p.t)
 
-Spark plans the correlated form as a nested-loop join, and a plain range join
+Spark plans the correlated form as a nested-loop join, and a range join
 enumerates every (probe, event) pair of a key - quadratic for a busy key.
-Instead, for event ids that occur once per key, the count is a difference of
-positions in one global sort (no pairs are formed at all):
-
-* events and two markers per probe - ``lo`` at ``t - window`` and ``hi`` at
-  ``t`` - are sorted together by (key, time, kind), with kinds ordered
-  lo < event < hi so both bounds are inclusive;
-* for a marker m, the events of its key before m are
-  ``g(m) - g0(key) - (q(m) - q0(key))`` where g numbers all rows and q only
-  the markers; the key offsets cancel in ``count = S(hi) - S(lo)``.
-
-Ids that occur more than once per key (rare; a session logged twice) take an
-exact fallback: a join on (key, time bin) with a range filter and
-COUNT(DISTINCT). The two id sets are disjoint, so the counts add up.
+Here no pair is ever formed; the count is a difference of running sums in one
+sort:
+
+* An id counts for a probe when its first occurrence at or after ``lo`` is at
+  most ``hi``. With the id's occurrences in time order and *short gaps* the
+  steps between consecutive occurrences no longer than the window,
+  ``distinct ids = occurrences in [lo, hi] - short gaps inside [lo, hi]``
+  (every further occurrence of an id inside the window closes a gap that
+  starts inside it; a long gap cannot fit inside the window).
+* A short gap ``(a, b)`` lies inside ``[lo, hi]`` exactly when ``b <= hi``
+  and not ``a < lo`` (``a < lo`` already implies ``b <= hi``), so with
+  ``U = occurrences - gap ends`` and ``V = occurrences - gap starts``,
+  ``count = U(<= hi) - V(< lo)``.
+* Occurrences, gap starts and ends and the probes' ``lo`` / ``hi`` markers are
+  sorted together by (key, time, kind) with ``lo`` before and ``hi`` after
+  the events of equal time, and ``U``, ``V`` are running sums over that order
+  (``operators.ranking.prefix_sums``). The sums may run across keys: every
+  gap starts and ends within its key, so ``U - V`` carries nothing from
+  earlier keys.
+
+Gaps come from ``LEAD`` over each (key, id) (``operators.sequence``). Both
+steps use the size-checked plan choice, so a busy key is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import global_row_number
-from tessera.operators.strategy import single_task_limit
+from tessera.operators.ranking import prefix_sums
+from tessera.operators.sequence import lead_within
 
 
 def lookback_distinct_count(
@@ -44,7 +53,9 @@ def lookback_distinct_count(
     window_days: int,
     name: str,
 ) -> DataFrame:
-    """Return ``probes`` with an added column ``name`` (0 when nothing matches)."""
+    """Return ``probes`` with an added column ``name`` (0 when nothing matches).
+
+    ``probe_id`` must identify a probe row."""
     window = F.expr(f"interval {int(window_days)} days")
     ev = (
         events.select(
@@ -53,83 +64,44 @@ def lookback_distinct_count(
         .filter(F.col("__key").isNotNull() & F.col("__t").isNotNull() & F.col("__id").isNotNull())
         .dropDuplicates(["__key", "__id", "__t"])
     )
-    multiplicity = ev.groupBy("__key", "__id").agg(F.count(F.lit(1)).alias("__times"))
-    ev = ev.join(multiplicity, ["__key", "__id"])
-    single = ev.filter(F.col("__times") == 1)
-    repeated = ev.filter(F.col("__times") > 1)
+    steps = lead_within(ev, ["__key", "__id"], [F.col("__t").asc()], {"__t_next": "__t"})
+    gaps = steps.filter(F.col("__t_next").isNotNull() & (F.col("__t_next") <= F.col("__t") + window))
 
     pr = probes.select(
         F.col(probe_id).alias("__probe"), F.col(probe_key).alias("__key"), F.col(probe_time).alias("__t")
     ).filter(F.col("__key").isNotNull() & F.col("__t").isNotNull())
+    probe_type = pr.schema["__probe"].dataType
 
-    # -- positions in a global sort: single-occurrence ids ------------------
-    markers = pr.select(
-        "__key",
-        F.explode(
-            F.array(
-                F.struct((F.col("__t") - window).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("sign")),
-                F.struct(F.col("__t").alias("t"), F.lit(2).alias("kind"), F.lit(1).alias("sign")),
-            )
-        ).alias("__m"),
-        "__probe",
-    ).select("__key", F.col("__m.t").alias("__t"), F.col("__m.kind").alias("__kind"),
-             F.col("__m.sign").alias("__sign"), "__probe")
-    rows = markers.unionByName(
-        single.select(
-            "__key", "__t", F.lit(1).alias("__kind"), F.lit(0).alias("__sign"),
-            F.lit(None).cast(markers.schema["__probe"].dataType).alias("__probe"),
+    def point(df: DataFrame, t: str, u: int, v: int) -> DataFrame:
+        return df.select(
+            "__key", F.col(t).alias("__t"), F.lit(1).alias("__kind"), F.lit(u).alias("__u"), F.lit(v).alias("__v"),
+            F.lit(None).cast(probe_type).alias("__probe"),
         )
-    )
-    order = [F.col("__key").asc(), F.col("__t").asc(), F.col("__kind").asc(), F.col("__probe").asc()]
-    limit = single_task_limit(probes)
-    if limit > 0 and events.count() + 2 * probes.count() <= limit:
-        # Checked small: one window per key gives the events before each marker.
-        w = Window.partitionBy("__key").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
-        before = F.sum(F.when(F.col("__kind") == 1, 1).otherwise(0)).over(w)
-        by_position = (
-            rows.withColumn("__s", before)
-            .filter(F.col("__kind") != 1)
-            .groupBy("__probe")
-            .agg(F.sum(F.col("__sign") * F.col("__s")).alias("__n1"))
+
+    def marker(t, kind: int) -> DataFrame:
+        return pr.select(
+            "__key", t.alias("__t"), F.lit(kind).alias("__kind"), F.lit(0).alias("__u"), F.lit(0).alias("__v"),
+            "__probe",
         )
-    else:
-        by_position = _by_global_position(rows, markers, order)
 
-    # -- exact fallback for ids seen more than once per key -----------------
-    width = int(window_days) * 86400
-    sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    rep_binned = repeated.withColumn("__bin", F.floor(sec("__t") / width))
-    pr_binned = pr.withColumn(
-        "__bin",
-        F.explode(F.sequence(F.floor((sec("__t") - width) / width), F.floor(sec("__t") / width))),
-    )
-    by_pairs = (
-        pr_binned.alias("p")
-        .join(rep_binned.alias("e"), ["__key", "__bin"])
-        .filter((F.col("e.__t") >= F.col("p.__t") - window) & (F.col("e.__t") <= F.col("p.__t")))
-        .groupBy(F.col("p.__probe").alias("__probe"))
-        .agg(F.countDistinct("e.__id").alias("__n2"))
+    stream = (
+        point(ev, "__t", 1, 1)  # occurrences
+        .unionByName(point(gaps, "__t", 0, -1))  # short-gap starts
+        .unionByName(point(gaps, "__t_next", -1, 0))  # short-gap ends
+        .unionByName(marker(F.col("__t") - window, 0))  # lo: before events of equal time
+        .unionByName(marker(F.col("__t"), 2))  # hi: after events of equal time
     )
-
-    counts = by_position.join(by_pairs, "__probe", "full").select(
-        "__probe", (F.coalesce("__n1", F.lit(0)) + F.coalesce("__n2", F.lit(0))).alias("__n")
+    order = [F.col("__key").asc(), F.col("__t").asc(), F.col("__kind").asc()]
+    summed = prefix_sums(stream, order, {"__sum_u": F.col("__u"), "__sum_v": F.col("__v")})
+    counts = (
+        summed.filter(F.col("__kind") != 1)
+        .groupBy("__probe")
+        .agg(
+            (
+                F.sum(F.when(F.col("__kind") == 2, F.col("__sum_u")).otherwise(0))
+                - F.sum(F.when(F.col("__kind") == 0, F.col("__sum_v")).otherwise(0))
+            ).alias("__n")
+        )
     )
     out = probes.join(counts, probes[probe_id] == counts["__probe"], "left")
     return out.select(*probes.columns, F.coalesce(F.col("__n"), F.lit(0)).cast("long").alias(name))
-
-
-def _by_global_position(rows: DataFrame, markers: DataFrame, order) -> DataFrame:
-    """Events between each probe's markers from two global row numbers."""
-    g = (
-        global_row_number(rows, order, name="__g")
-        .filter(F.col("__kind") != 1)
-        .groupBy("__probe")
-        .agg(F.sum(F.col("__sign") * F.col("__g")).alias("__gs"))
-    )
-    q = (
-        global_row_number(markers, order, name="__q")
-        .groupBy("__probe")
-        .agg(F.sum(F.col("__sign") * F.col("__q")).alias("__qs"))
-    )
-    return g.join(q, "__probe").select("__probe", (F.col("__gs") - F.col("__qs")).alias("__n1"))
-

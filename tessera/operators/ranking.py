@@ -239,3 +239,43 @@ def group_percentile_cont(
     frac = F.col("__exact") - F.floor("__exact")
     lo_v, hi_v = F.col("__lo").cast("double"), F.col("__hi").cast("double")
     return agg.select(*group_by, (lo_v + (hi_v - lo_v) * frac).alias(name))
+
+
+def prefix_sums(
+    df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column], bound: DataFrame | None = None
+) -> DataFrame:
+    """For each row, the sums of ``sums`` over all rows strictly before it in
+    ``order`` (a running total that excludes the row itself).
+
+    Checked small: one window over the whole input. Otherwise the global
+    sort: per-range-partition totals (one row per partition, broadcast) give
+    each partition's offset, and the running sum inside a range partition is
+    a window over that partition alone - balanced by the range sampling, so
+    no key, however hot, lands in one task.
+    """
+    order = _cols(order)
+    if fits_one_task(df, bound):
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in sums.items()])
+    n = shuffle_partitions(df.sparkSession)
+    weighted = df.select("*", *[c.alias(f"__w_{n_}") for n_, c in sums.items()])
+    ranged = _keep(
+        weighted.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(_PID, F.spark_partition_id())
+    )
+    totals = ranged.groupBy(_PID).agg(*[F.sum(f"__w_{k}").alias(f"__t_{k}") for k in sums])
+    offsets = totals.select(
+        _PID,
+        *[
+            F.coalesce(
+                F.sum(f"__t_{k}").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ).alias(f"__o_{k}")
+            for k in sums
+        ],
+    )
+    inside = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(offsets), _PID)
+    out = out.select(
+        *df.columns,
+        *[(F.col(f"__o_{k}") + F.coalesce(F.sum(f"__w_{k}").over(inside), F.lit(0))).alias(k) for k in sums],
+    )
+    return out

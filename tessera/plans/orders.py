@@ -8,7 +8,7 @@ the number of customer segments.
 Correlated scalar subqueries are rewritten as one aggregation per source
 table joined on the correlation key (COUNT defaults to 0, other aggregates to
 NULL); the unpartitioned NTILE / PERCENT_RANK windows use the global-sort
-helpers; the 30-day session look-back uses the position-difference operator.
+helpers; the 30-day session look-back uses the running-sum operator.
 """
 
 from __future__ import annotations
