@@ -215,3 +215,18 @@ def test_distinct_counts_equal_builtin(skewed):
         F.countDistinct(F.when(F.col("s") == "a", F.col("v"))).alias("dvs"),
     )
     assert rows(got, "g", "n", "ds", "dv", "dvs") == rows(expected, "g", "n", "ds", "dv", "dvs")
+
+
+def test_prefix_sums_equal_builtin_running_sum(skewed):
+    from tessera.operators.ranking import prefix_sums
+
+    df = skewed.withColumn("w", F.when(F.col("s") == "a", F.lit(-1)).otherwise(F.lit(2)))
+    order = [F.col("k").asc(), F.col("v").asc(), F.col("id").asc()]
+    got = prefix_sums(df, order, {"before_w": F.col("w"), "before_n": F.lit(1)})
+    w = Window.orderBy("k", "v", "id").rowsBetween(Window.unboundedPreceding, -1)
+    expected = df.select(
+        "id",
+        F.coalesce(F.sum("w").over(w), F.lit(0)).alias("before_w"),
+        F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).alias("before_n"),
+    )
+    assert rows(got, "id", "before_w", "before_n") == rows(expected)
