@@ -1,5 +1,8 @@
 """Several COUNT(DISTINCT ...) over one grouping, without copying every row.
 
+Two shapes: ``distinct_counts`` for distinct arguments on different columns,
+``distinct_counts_of`` for counts over one column that differ by a condition.
+
 Spark evaluates ``count(distinct a), count(distinct b)`` in one aggregation
 by expanding each input row once per distinct argument, each copy carrying
 all aggregated columns. Here the distinct arguments alone are stacked into
@@ -53,3 +56,24 @@ def with_distinct_counts(
     return joined.select(
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in values else F.col(c) for c in joined.columns]
     )
+
+
+def distinct_counts_of(
+    df: DataFrame, keys: Sequence[str], column: str, counts: Mapping[str, Column | None]
+) -> DataFrame:
+    """Several COUNT(DISTINCT column) per group that differ only by a row
+    condition (``None`` = all rows), e.g. customers, customers on mobile,
+    customers on desktop: rows are reduced once to distinct (group, column),
+    remembering for each condition whether any row met it, then counted."""
+    keys = list(keys)
+    conds = {n: c for n, c in counts.items() if c is not None}
+    flags = [F.max(F.when(c, F.lit(1))).alias(f"__f_{n}") for n, c in conds.items()]
+    per_value = (
+        df.groupBy(*keys, column).agg(*flags) if flags else df.select(*keys, column).distinct()
+    ).filter(F.col(column).isNotNull())
+    return per_value.groupBy(*keys).agg(
+        *[
+            (F.count(F.lit(1)) if c is None else F.count(F.col(f"__f_{n}"))).alias(n)
+            for n, c in counts.items()
+        ]
+    )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
-from tessera.operators.distinct import with_distinct_counts
+from tessera.operators.distinct import distinct_counts_of, with_distinct_counts
 from tessera.operators.ranking import group_percentile_cont
 from tessera.operators.sequence import lead_within, position_within
 from tessera.operators.topvalue import top_values
@@ -192,15 +192,21 @@ def customer_segments(meta: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 # --------------------------------------------------------------------- J6
-def _customer_counts(customers: str, transactions: str) -> dict[str, Column]:
-    """Distinct customers (all, on mobile, on desktop) and transactions."""
-    device, user = F.col("device_type_clean"), F.col("user_id")
-    return {
-        customers: user,
-        transactions: F.col("transaction_id"),
-        "mobile_customers": F.when(device == "mobile", user),
-        "desktop_customers": F.when(device == "desktop", user),
-    }
+def _with_customer_counts(groups: DataFrame, tx: DataFrame, keys: list[str], customers: str, transactions: str):
+    """``groups`` plus distinct customers (all, on mobile, on desktop) and
+    distinct transactions of each group: one reduction to distinct
+    (group, user) with device flags, one to distinct (group, transaction)."""
+    device = F.col("device_type_clean")
+    users = distinct_counts_of(
+        tx, keys, "user_id",
+        {customers: None, "mobile_customers": device == "mobile", "desktop_customers": device == "desktop"},
+    )
+    txs = distinct_counts_of(tx, keys, "transaction_id", {transactions: None})
+    joined = _join_groups(_join_groups(groups, users, keys, "left"), txs, keys, "left")
+    counted = [customers, "mobile_customers", "desktop_customers", transactions]
+    return joined.select(
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in counted else F.col(c) for c in joined.columns]
+    )
 
 
 def product_metrics(tx: DataFrame) -> DataFrame:
@@ -215,7 +221,7 @@ def product_metrics(tx: DataFrame) -> DataFrame:
         _avg(F.col("total_price")).alias("avg_revenue_per_transaction"),
         _ratio(returned_qty, F.sum("quantity")).alias("return_rate"),
     )
-    counts = with_distinct_counts(sums, tx, keys, _customer_counts("unique_customers", "transaction_count"))
+    counts = _with_customer_counts(sums, tx, keys, "unique_customers", "transaction_count")
     return counts.select(
         *keys, "unique_customers", "total_quantity_sold", "total_revenue", "total_quantity_returned",
         "total_revenue_returned", "transaction_count", "avg_quantity_per_transaction",
@@ -272,7 +278,7 @@ def time_analysis(tx: DataFrame) -> DataFrame:
         F.sum(_sale("quantity")).cast("long").alias("daily_quantity_sold"),
         _avg(_sale("total_price")).alias("avg_order_value"),
     )
-    counts = with_distinct_counts(daily, day, keys, _customer_counts("daily_customers", "daily_transactions"))
+    counts = _with_customer_counts(daily, day, keys, "daily_customers", "daily_transactions")
     tops = top_values(day, keys, {"top_category": "product_category", "top_payment_method": "payment_method"})
     return _join_groups(counts, tops, keys, "left")
 

@@ -230,3 +230,15 @@ def test_prefix_sums_equal_builtin_running_sum(skewed):
         F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).alias("before_n"),
     )
     assert rows(got, "id", "before_w", "before_n") == rows(expected)
+
+
+def test_conditional_distinct_counts_equal_builtin(skewed):
+    from tessera.operators.distinct import distinct_counts_of
+
+    got = distinct_counts_of(skewed, ["k"], "v", {"all": None, "a": F.col("s") == "a", "nb": F.col("s") != "b"})
+    expected = skewed.groupBy("k").agg(
+        F.countDistinct("v").alias("all"),
+        F.countDistinct(F.when(F.col("s") == "a", F.col("v"))).alias("a"),
+        F.countDistinct(F.when(F.col("s") != "b", F.col("v"))).alias("nb"),
+    )
+    assert rows(got, "k", "all", "a", "nb") == rows(expected, "k", "all", "a", "nb")
