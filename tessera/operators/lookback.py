@@ -34,11 +34,12 @@ steps use the size-checked plan choice, so a busy key is spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import prefix_sums
 from tessera.operators.sequence import lead_within
+from tessera.operators.strategy import single_task_limit
 
 
 def lookback_distinct_count(
@@ -92,7 +93,15 @@ def lookback_distinct_count(
         .unionByName(marker(F.col("__t"), 2))  # hi: after events of equal time
     )
     order = [F.col("__key").asc(), F.col("__t").asc(), F.col("__kind").asc()]
-    summed = prefix_sums(stream, order, {"__sum_u": F.col("__u"), "__sum_v": F.col("__v")})
+    sums = {"__sum_u": F.col("__u"), "__sum_v": F.col("__v")}
+    limit = single_task_limit(probes)
+    if limit > 0 and 3 * events.count() + 2 * probes.count() <= limit:
+        # Checked small (occurrences + gap ends/starts + markers): running
+        # sums per key suffice, as the differences never cross keys.
+        w = Window.partitionBy("__key").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+        summed = stream.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in sums.items()])
+    else:
+        summed = prefix_sums(stream, order, sums)
     counts = (
         summed.filter(F.col("__kind") != 1)
         .groupBy("__probe")
