@@ -524,13 +524,11 @@ LEAF = """
 SELECT covid.subregion1_name AS province_state, covid.country_name AS country_region, covid.date,
   latitude, longitude, subregion1_name AS sub_region1_name, location_geometry AS location_geom,
   cumulative_confirmed AS confirmed, cumulative_deceased AS deaths, cumulative_recovered AS recovered,
-  CASE WHEN cumulative_confirmed IS NULL THEN NULL WHEN cumulative_deceased IS NULL THEN NULL
-       WHEN cumulative_recovered IS NULL THEN NULL
-       ELSE cumulative_confirmed - cumulative_recovered - cumulative_deceased END AS active,
+  cumulative_confirmed - cumulative_recovered - cumulative_deceased AS active,
   subregion2_code AS fips, subregion2_name AS admin_2, location_key AS combined_key
 FROM ref_covid19_open_data covid
-JOIN lal ON lal.date = covid.date AND lal.country_code = covid.country_code
-        AND lal.leaf_aggregation_level = covid.aggregation_level
+JOIN finest_level f ON f.date = covid.date AND f.country_code = covid.country_code
+        AND f.level = covid.aggregation_level
 """
 
 ORACLE_SQL: dict[str, str] = {
@@ -538,13 +536,10 @@ ORACLE_SQL: dict[str, str] = {
     "leaf_level_extract": _with(
         ["covid19_open_data"],
         [
-            ("min_finder", """SELECT date, country_code, min(subregion1_code) AS subregion1_code,
-                                     min(subregion2_code) AS subregion2_code
-                              FROM ref_covid19_open_data GROUP BY 1, 2"""),
-            ("lal", """SELECT date, country_code,
-                              CASE WHEN subregion2_code IS NOT NULL THEN 2
-                                   WHEN subregion1_code IS NOT NULL THEN 1 ELSE 0 END AS leaf_aggregation_level
-                       FROM min_finder"""),
+            ("finest_level", """SELECT date, country_code,
+                                       CASE WHEN count(subregion2_code) > 0 THEN 2
+                                            WHEN count(subregion1_code) > 0 THEN 1 ELSE 0 END AS level
+                                FROM ref_covid19_open_data GROUP BY date, country_code"""),
         ],
         LEAF,
     ),
