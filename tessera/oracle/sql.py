@@ -336,11 +336,17 @@ SELECT o.order_id, o.customer_id, o.order_date, o.total_amount, o.discount_amoun
   CASE WHEN o.order_status = 'Cancelled' THEN 1 ELSE 0 END AS is_cancelled,
   CASE WHEN o.order_status = 'Returned' THEN 1 ELSE 0 END AS is_returned,
   date_sub('minute', o.cart_creation_timestamp, o.order_timestamp) AS decision_time_minutes,
-  (SELECT count(DISTINCT us.session_id) FROM ref_user_sessions us
-    WHERE us.customer_id = o.customer_id
-      AND us.session_timestamp BETWEEN o.order_timestamp - INTERVAL {LOOKBACK} DAY AND o.order_timestamp)
-    AS sessions_before_purchase
+  coalesce(recent.n, 0) AS sessions_before_purchase
 FROM ref_orders o
+LEFT JOIN (
+  SELECT w.order_id, count(DISTINCT se.session_id) AS n
+  FROM ref_orders w
+  JOIN ref_user_sessions se
+    ON se.customer_id = w.customer_id
+   AND se.session_timestamp >= w.order_timestamp - INTERVAL {LOOKBACK} DAY
+   AND se.session_timestamp <= w.order_timestamp
+  GROUP BY w.order_id
+) recent ON recent.order_id = o.order_id
 WHERE o.order_date BETWEEN {O_START} AND {O_END}
 """
 
@@ -457,16 +463,21 @@ FROM (
 """
 
 
-def _geo_top(name: str) -> str:
-    return f"""(SELECT {name} FROM (
-      SELECT i.{name}, sum(i.net_item_amount) AS rev
-      FROM oid i JOIN oh o2 ON i.order_id = o2.order_id JOIN cb cb2 ON o2.customer_id = cb2.customer_id
-      WHERE cb2.country = t.country AND cb2.city = t.city
-      GROUP BY i.{name} ORDER BY rev DESC, i.{name} LIMIT 1) top)"""
+def _geo_top(name: str, out: str) -> str:
+    """Per (country, city): the name with the most net revenue, lowest name on ties."""
+    return f"""
+SELECT country, city, {name} AS {out} FROM (
+  SELECT cb.country, cb.city, i.{name},
+         row_number() OVER (PARTITION BY cb.country, cb.city
+                            ORDER BY sum(i.net_item_amount) DESC, i.{name}) AS pick
+  FROM oid i JOIN oh ON i.order_id = oh.order_id JOIN cb ON oh.customer_id = cb.customer_id
+  WHERE cb.country IS NOT NULL AND cb.city IS NOT NULL
+  GROUP BY cb.country, cb.city, i.{name}
+) ranked WHERE pick = 1"""
 
 
 GEO = f"""
-SELECT t.*, {_geo_top('category_name')} AS top_category, {_geo_top('brand_name')} AS top_brand
+SELECT t.*, tc.top_category, tb.top_brand
 FROM (
   SELECT cb.country, cb.city,
     count(DISTINCT oh.order_id) AS total_orders,
@@ -481,6 +492,8 @@ FROM (
   FROM cb JOIN oh ON cb.customer_id = oh.customer_id
   GROUP BY cb.country, cb.city
 ) t
+LEFT JOIN ({_geo_top('category_name', 'top_category')}) tc ON tc.country = t.country AND tc.city = t.city
+LEFT JOIN ({_geo_top('brand_name', 'top_brand')}) tb ON tb.country = t.country AND tb.city = t.city
 """
 
 CRFM = f"""
