@@ -198,16 +198,22 @@ SELECT s.user_id, s.customer_segment, s.last_purchase_date, s.total_spend, s.tot
                              CASE WHEN s.total_transactions = 1 THEN 90 ELSE 30 END)) AS INTEGER) AS DATE)
     AS predicted_next_purchase_date,
   coalesce(p.most_common_next_category,
-           CASE WHEN s.total_transactions = 1 THEN
-             (SELECT r.product_category FROM raw r WHERE r.user_id = s.user_id
-              ORDER BY r.transaction_time DESC, r.transaction_id DESC, r.product_id DESC, r.total_price DESC LIMIT 1)
-           END) AS predicted_next_category,
+           CASE WHEN s.total_transactions = 1 THEN lastcat.product_category END) AS predicted_next_category,
   cast(s.total_spend * CASE WHEN s.customer_segment = 'Champions' THEN 1.5
                             WHEN s.customer_segment = 'Loyal Customers' THEN 1.2
                             WHEN s.customer_segment = 'Potential Loyalists' THEN 1.1
                             WHEN s.customer_segment = 'New Customers' THEN 0.8
                             ELSE 0.5 END AS DECIMAL(38,5)) AS projected_lifetime_value
-FROM seg s LEFT JOIN patterns p ON p.user_id = s.user_id
+FROM seg s
+LEFT JOIN patterns p ON p.user_id = s.user_id
+LEFT JOIN (
+  SELECT user_id, product_category FROM (
+    SELECT user_id, product_category,
+           row_number() OVER (PARTITION BY user_id ORDER BY transaction_time DESC, transaction_id DESC,
+                                                          product_id DESC, total_price DESC) AS latest
+    FROM raw
+  ) ordered WHERE latest = 1
+) lastcat ON lastcat.user_id = s.user_id
 """
 
 PRIMARY = """
