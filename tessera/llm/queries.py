@@ -7,8 +7,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, urlfilter
-from tessera.llm.common import read
+from tessera.llm import bpe, mixing, quality, toxicity, urlfilter
+from tessera.llm.common import fold_of, read
 
 # Place of the tokenizer vocabularies (never copied into the repository).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -28,6 +28,28 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), "toxic", folds=4, held_out=2)
+    return toxicity.score_texts(docs, lexicon).select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, read(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
+    return quality.score_texts(docs, model).select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, TOKENIZER).select("doc_id", "ids")
