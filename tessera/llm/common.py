@@ -61,7 +61,7 @@ def labelled_sample(
 
 # --- words of a batch of texts as 64-bit hashes, without a loop over words ---
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -77,46 +77,66 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_words(texts: list[str | None], chunk_bytes: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of ``texts`` (ASCII letters lower-cased) and
-    the number of words of each text. A null is an empty text.
-
-    A word's hash is a polynomial over its UTF-8 bytes, taken from prefix sums
-    over the whole buffer, so the cost is a few vector operations per byte.
-    """
-    counts: list[np.ndarray] = []
-    hashes: list[np.ndarray] = []
-    start = 0
-    while start < len(texts):
-        parts, size, end = [], 0, start
-        while end < len(texts) and (not parts or size < chunk_bytes):
-            parts.append((texts[end] or "").encode("utf-8", "surrogatepass").lower())
-            size += len(parts[-1])
-            end += 1
-        h, c = _hash_buffer(parts)
-        hashes.append(h)
-        counts.append(c)
-        start = end
-    if not hashes:
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept between batches."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _BASE_INV)):
+            p = np.full(n, base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Buffer:
+    """Texts joined by line feeds as one byte array; spans of it are hashed by
+    polynomials taken from prefix sums, so that the cost is a few vector
+    operations per byte and none per word."""
+
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        if lower:
+            parts = [p.lower() for p in parts]  # ASCII letters only
+        self.bytes = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
+        ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+        self.starts = np.concatenate(([0], ends[:-1]))  # of the texts
+        self.ends = ends - 1
+        solid = ~_SPACE[self.bytes]
+        edge = np.diff(np.concatenate(([False], solid)).astype(np.int8))
+        self.word_first, self.word_last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.word_bounds = np.searchsorted(self.word_first, np.concatenate(([0], ends)))
+        self.n_words = np.diff(self.word_bounds)
+        self._prefix = None
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        powers, inverse = _powers(len(self.bytes))
+        if self._prefix is None:
+            self._prefix = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
+            np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers, out=self._prefix[1:])
+        safe = np.minimum(first, len(inverse) - 1)
+        return mix64((self._prefix[last] - self._prefix[first]) * inverse[safe] + (last - first).astype(np.uint64))
+
+    def words(self) -> np.ndarray:
+        return self.hashes(self.word_first, self.word_last)
+
+
+def slices(texts: list[str | None], chunk_bytes: int = 1 << 20):
+    """Consecutive ranges (begin, end) of ``texts`` of about ``chunk_bytes``."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= chunk_bytes:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def hash_words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of ``texts`` and the number of words of each."""
+    made = [(b.words(), b.n_words) for b in (Buffer(texts[i:j], lower) for i, j in slices(texts))]
+    if not made:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(counts)
-
-
-def _hash_buffer(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
-    ends_of_text = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
-    solid = ~_SPACE[buf]
-    edge = np.diff(np.concatenate(([False], solid)).astype(np.int8))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    n = len(buf)
-    powers = np.full(n, _BASE, dtype=np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers, out=prefix[1:])
-    inverse = np.full(n, _BASE_INV, dtype=np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    h = mix64((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
-    before = np.searchsorted(first, ends_of_text)
-    return h, np.diff(np.concatenate(([0], before)))
+    return np.concatenate([h for h, _ in made]), np.concatenate([n for _, n in made])

@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, toxicity, urlfilter
+from tessera.llm import bpe, mixing, quality, rules, toxicity, urlfilter
 from tessera.llm.common import fold_of, read
 
 # Place of the tokenizer vocabularies (never copied into the repository).
@@ -63,11 +63,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    judged = urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), listed)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = rules.learn(docs, read(spark, sf_dir, "labels"), "quality")
+    return rules.judge(docs, forest).select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
+
+
 QUERIES = {name: fn for name, fn in vars(sys.modules[__name__]).items() if name.startswith("op")}
 
 ORACLE_SQL = {
