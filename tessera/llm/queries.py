@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, rules, toxicity, urlfilter
+from tessera.llm import bpe, mixing, pii, quality, rules, toxicity, urlfilter
 from tessera.llm.common import fold_of, read
 
 # Place of the tokenizer vocabularies (never copied into the repository).
@@ -74,6 +74,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, forest).select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents"))
+    base, terms = pii.span_list(F.col("base")), pii.span_list(F.col("terms"))
+    both = F.array(base, terms)
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        F.array_join(F.filter(both, lambda x: x != ""), ",").alias("spans"),
+    )
+
+
 QUERIES = {name: fn for name, fn in vars(sys.modules[__name__]).items() if name.startswith("op")}
 
 ORACLE_SQL = {
