@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, pii, quality, rules, toxicity, urlfilter
+from tessera.llm import bpe, lm, mixing, pii, quality, rules, toxicity, urlfilter
 from tessera.llm.common import fold_of, read
 
 # Place of the tokenizer vocabularies (never copied into the repository).
@@ -86,6 +86,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), folds=5, held_out=1)
+
+
 QUERIES = {name: fn for name, fn in vars(sys.modules[__name__]).items() if name.startswith("op")}
 
 ORACLE_SQL = {
