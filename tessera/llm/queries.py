@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lm, mixing, pii, quality, rules, toxicity, urlfilter
+from tessera.llm import bpe, lm, mixing, order_minhash, pii, quality, rules, toxicity, urlfilter
 from tessera.llm.common import fold_of, read
 
 # Place of the tokenizer vocabularies (never copied into the repository).
@@ -23,6 +23,11 @@ URL_RULES = [
 ]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = order_minhash.classes(read(spark, sf_dir, "documents"))
+    return named.select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
