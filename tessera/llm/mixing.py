@@ -131,3 +131,18 @@ def mix(
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
         *keep,
     )
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """The rows of the mix, whole documents with all their columns: a document
+    stands once per epoch, and once more if at least half of it lies before
+    the cut of its source."""
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
+    mixed = mix(packed, weights, max_epochs, seed, keep=("__row",))
+    copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    return (
+        mixed.select("__row", copies.cast("int").alias("__copies"))
+        .filter("__copies > 0")
+        .select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
+        .select("__row.*")
+    )

@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lm, mixing, order_minhash, pii, quality, rules, toxicity, urlfilter
+from tessera.llm import ann, bpe, lm, mixing, order_minhash, pii, quality, rules, toxicity, urlfilter
 from tessera.llm.common import fold_of, read
 
 # Place of the tokenizer vocabularies (never copied into the repository).
@@ -95,6 +95,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"), folds=5, held_out=1)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(base, base.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 QUERIES = {name: fn for name, fn in vars(sys.modules[__name__]).items() if name.startswith("op")}
 
 ORACLE_SQL = {
