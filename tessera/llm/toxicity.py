@@ -459,3 +459,19 @@ def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     z = F.lit(a) + F.log1p(weight) * b + F.log1p(weight * 100.0 / (F.lit(100.0) + n)) * c
     z = F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))
     return found.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is below ``threshold``."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        matcher = Matcher(known)
+        for batch in batches:
+            got = [matcher.features(x.as_py())[:2] for x in batch.column(at)]
+            weight, n = (np.array([g[k] for g in got], dtype=np.float64) for k in (0, 1))
+            yield batch.filter(pa.array(score(weight, n, known) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
