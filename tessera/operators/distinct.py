@@ -8,8 +8,8 @@ by expanding each input row once per distinct argument, each copy carrying
 all aggregated columns. Here the distinct arguments alone are stacked into
 (group, argument index, value) rows, deduplicated - combined map-side, so a
 hot group shrinks before the shuffle - and counted per group. NULL values are
-not counted, as with COUNT(DISTINCT). Values are compared as text, which keeps
-distinctness for the numbers, dates and strings used here.
+not counted, as with COUNT(DISTINCT). Each argument keeps its type: the stack
+has one column per argument, all but one of them NULL.
 """
 
 from __future__ import annotations
@@ -20,25 +20,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def stack(exprs: Sequence[Column], df: DataFrame) -> Column:
+    """An array with one struct (__k, __v0, __v1, ...) per expression: its index and
+    its value in its own column, NULL in the others'."""
+    types = [f.dataType for f in df.select(*[e.alias(f"__v{i}") for i, e in enumerate(exprs)]).schema.fields]
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("__k"),
+                *[(e if j == i else F.lit(None)).cast(t).alias(f"__v{j}") for j, t in enumerate(types)],
+            )
+            for i, e in enumerate(exprs)
+        ]
+    )
+
+
 def distinct_counts(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column | str]) -> DataFrame:
     """One row per group of ``keys`` with ``count(distinct value)`` for each
     entry of ``values`` (output name -> column or expression)."""
     keys = list(keys)
     names = list(values)
     exprs = [F.col(v) if isinstance(v, str) else v for v in values.values()]
+    values_ = [f"__v{i}" for i in range(len(names))]
     stacked = (
-        df.select(
-            *keys,
-            F.explode(
-                F.array(*[F.struct(F.lit(i).alias("k"), e.cast("string").alias("v")) for i, e in enumerate(exprs)])
-            ).alias("__kv"),
-        )
-        .select(*keys, F.col("__kv.k").alias("__k"), F.col("__kv.v").alias("__v"))
-        .filter(F.col("__v").isNotNull())
+        df.select(*keys, F.explode(stack(exprs, df)).alias("__kv"))
+        .select(*keys, "__kv.*")
+        .filter(" OR ".join(f"{v} IS NOT NULL" for v in values_))
         .distinct()
     )
     return stacked.groupBy(*keys).agg(
-        *[F.count(F.when(F.col("__k") == i, F.lit(1))).alias(n) for i, n in enumerate(names)]
+        *[F.count(f"__v{i}").alias(n) for i, n in enumerate(names)]
     )
 
 

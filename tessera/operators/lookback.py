@@ -22,24 +22,20 @@ sort:
   ``U = occurrences - gap ends`` and ``V = occurrences - gap starts``,
   ``count = U(<= hi) - V(< lo)``.
 * Occurrences, gap starts and ends and the probes' ``lo`` / ``hi`` markers are
-  sorted together by (key, time, kind) with ``lo`` before and ``hi`` after
-  the events of equal time, and ``U``, ``V`` are running sums over that order
-  (``operators.ranking.prefix_sums``). The sums may run across keys: every
-  gap starts and ends within its key, so ``U - V`` carries nothing from
-  earlier keys.
+  put in order by (time, kind) within each key, with ``lo`` before and ``hi``
+  after the events of equal time, and ``U``, ``V`` are running sums over that
+  order.
 
-Gaps come from ``LEAD`` over each (key, id) (``operators.sequence``). Both
-steps use the size-checked plan choice, so a busy key is spread over tasks.
+Gaps come from ``LEAD`` over each (key, id). Both steps cut a key into days
+(``operators.sequence``), so a busy key is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import prefix_sums
-from tessera.operators.sequence import lead_within
-from tessera.operators.strategy import single_task_limit
+from tessera.operators.sequence import lead_within, running_sums
 
 
 def lookback_distinct_count(
@@ -65,7 +61,7 @@ def lookback_distinct_count(
         .filter(F.col("__key").isNotNull() & F.col("__t").isNotNull() & F.col("__id").isNotNull())
         .dropDuplicates(["__key", "__id", "__t"])
     )
-    steps = lead_within(ev, ["__key", "__id"], [F.col("__t").asc()], {"__t_next": "__t"})
+    steps = lead_within(ev, ["__key", "__id"], ["__t"], F.unix_date(F.to_date("__t")), {"__t_next": "__t"})
     gaps = steps.filter(F.col("__t_next").isNotNull() & (F.col("__t_next") <= F.col("__t") + window))
 
     pr = probes.select(
@@ -92,16 +88,9 @@ def lookback_distinct_count(
         .unionByName(marker(F.col("__t") - window, 0))  # lo: before events of equal time
         .unionByName(marker(F.col("__t"), 2))  # hi: after events of equal time
     )
-    order = [F.col("__key").asc(), F.col("__t").asc(), F.col("__kind").asc()]
     sums = {"__sum_u": F.col("__u"), "__sum_v": F.col("__v")}
-    limit = single_task_limit(probes)
-    if limit > 0 and 3 * events.count() + 2 * probes.count() <= limit:
-        # Checked small (occurrences + gap ends/starts + markers): running
-        # sums per key suffice, as the differences never cross keys.
-        w = Window.partitionBy("__key").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
-        summed = stream.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in sums.items()])
-    else:
-        summed = prefix_sums(stream, order, sums)
+    dated = stream.withColumn("__day", F.to_date("__t"))
+    summed = running_sums(dated, ["__key"], ["__t", "__kind"], "__day", sums)
     counts = (
         summed.filter(F.col("__kind") != 1)
         .groupBy("__probe")

@@ -17,20 +17,20 @@ Group-level values ("first row number of a group") are computed with a
 partial aggregation and joined back; a hot group is then one side of a
 skewed equi-join against a single row, which AQE's skew-join handling splits.
 
-The public helpers first check the input size (``strategy.fits_one_task``):
-below the limit no group can exceed one task, and the built-in window or
-exact aggregate is used instead - same result, one shuffle.
+The plan is the same at every size. The range-partitioned rows are written to
+the session's shared checkpoint folder: the branch that counts them and the
+branch that numbers them must see the very same partitions, and a lost
+executor re-reads files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.strategy import fits_one_task
+from tessera.operators.staging import materialise
 from tessera.session import shuffle_partitions
 
 _PID = "__pid"
@@ -39,23 +39,6 @@ _OFF = "__off"
 _TOTAL = "__total"
 
 
-_PERSISTED: list[DataFrame] = []
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk). A lost block is rebuilt from its
-    lineage, which re-reads the same shuffle with the same range bounds."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(df)
-    return df
-
-
-def release() -> None:
-    """Unpersist the numbered intermediates kept by this module."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-
-
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -75,14 +58,14 @@ def global_row_number(
     """
     order = _cols(order)
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    # The range bounds come from a sample taken per exchange, so the counting
-    # branch and the numbering branch must read the very same partitions:
-    # the partitioned rows are persisted once and both branches scan them.
-    ranged = _keep(
+    # The range bounds come from a sample taken per exchange, so both branches
+    # read the numbered rows from files.
+    ranged = materialise(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
+        .withColumn(_MID, F.monotonically_increasing_id()),
+        "ranged",
     )
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
     # One row per range partition: prefix sums in a single small task.
@@ -134,13 +117,8 @@ def ntile_expr(rn: Column, total: Column, tiles: int) -> Column:
     )
 
 
-def global_ntile(
-    df: DataFrame, order: Sequence[Column | str], tiles: int, name: str, bound: DataFrame | None = None
-) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY order)``; distributed unless the input is
-    checked to fit one task (see ``strategy``)."""
-    if fits_one_task(df, bound):
-        return df.withColumn(name, F.ntile(tiles).over(Window.orderBy(*_cols(order))))
+def global_ntile(df: DataFrame, order: Sequence[Column | str], tiles: int, name: str) -> DataFrame:
+    """``NTILE(tiles) OVER (ORDER BY order)`` over a global sort."""
     numbered = global_row_number(df, order, name="__rn", total="__n")
     return numbered.withColumn(name, ntile_expr(F.col("__rn"), F.col("__n"), tiles)).drop("__rn", "__n")
 
@@ -154,28 +132,13 @@ def ranked(
     rank: str | None = None,
     percent_rank: str | None = None,
     row_number: str | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """RANK / PERCENT_RANK / ROW_NUMBER over (``partition_by``, ``value_order``).
 
     ``value_cols`` are the columns behind ``value_order`` (ties are rows equal
     on them). ``tiebreak`` makes the row numbering total. Without
-    ``partition_by`` the ranking is over the whole DataFrame. Built-in windows
-    are used when the input is checked to fit one task.
+    ``partition_by`` the ranking is over the whole DataFrame.
     """
-    if fits_one_task(df, bound):
-        w = Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()
-        by_value = w.orderBy(*value_order)
-        extra = []
-        if rank:
-            extra.append(F.rank().over(by_value).cast("int").alias(rank))
-        if percent_rank:
-            extra.append(F.percent_rank().over(by_value).alias(percent_rank))
-        if row_number:
-            extra.append(
-                F.row_number().over(w.orderBy(*value_order, *_cols(tiebreak))).cast("long").alias(row_number)
-            )
-        return df.select("*", *extra)
     order = [F.col(c).asc_nulls_first() for c in partition_by] + list(value_order) + _cols(tiebreak)
     out = global_row_number(df, order, name="__rn", total="__n")
     keep = list(df.columns)
@@ -205,20 +168,15 @@ def ranked(
     return out.select(*keep, *extra)
 
 
-def group_percentile_cont(
-    df: DataFrame, group_by: Sequence[str], value: str, q: float, name: str, bound: DataFrame | None = None
-) -> DataFrame:
+def group_percentile_cont(df: DataFrame, group_by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """Exact ``PERCENTILE_CONT(value, q)`` per group (or overall).
 
-    When the input is checked to fit one task the exact ``percentile``
-    aggregate is used. Otherwise no group's values are held in one buffer:
-    rows are numbered within their group over a global sort, and only the (at
-    most two) rows around the requested position are kept.
+    No group's values are held in one buffer: rows are numbered within their
+    group over a global sort, and only the (at most two) rows around the
+    requested position are kept.
     Returns one row per group with columns ``group_by + [name]``.
     """
     base = df.select(*group_by, value).filter(F.col(value).isNotNull())
-    if fits_one_task(df, bound):
-        return base.groupBy(*group_by).agg(F.percentile(F.col(value).cast("double"), q).alias(name))
     order = [F.col(c).asc_nulls_first() for c in group_by] + [F.col(value).asc()]
     numbered = global_row_number(base, order, name="__rn", total="__cnt")
     if group_by:
@@ -239,43 +197,3 @@ def group_percentile_cont(
     frac = F.col("__exact") - F.floor("__exact")
     lo_v, hi_v = F.col("__lo").cast("double"), F.col("__hi").cast("double")
     return agg.select(*group_by, (lo_v + (hi_v - lo_v) * frac).alias(name))
-
-
-def prefix_sums(
-    df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column], bound: DataFrame | None = None
-) -> DataFrame:
-    """For each row, the sums of ``sums`` over all rows strictly before it in
-    ``order`` (a running total that excludes the row itself).
-
-    Checked small: one window over the whole input. Otherwise the global
-    sort: per-range-partition totals (one row per partition, broadcast) give
-    each partition's offset, and the running sum inside a range partition is
-    a window over that partition alone - balanced by the range sampling, so
-    no key, however hot, lands in one task.
-    """
-    order = _cols(order)
-    if fits_one_task(df, bound):
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in sums.items()])
-    n = shuffle_partitions(df.sparkSession)
-    weighted = df.select("*", *[c.alias(f"__w_{n_}") for n_, c in sums.items()])
-    ranged = _keep(
-        weighted.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(_PID, F.spark_partition_id())
-    )
-    totals = ranged.groupBy(_PID).agg(*[F.sum(f"__w_{k}").alias(f"__t_{k}") for k in sums])
-    offsets = totals.select(
-        _PID,
-        *[
-            F.coalesce(
-                F.sum(f"__t_{k}").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias(f"__o_{k}")
-            for k in sums
-        ],
-    )
-    inside = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(offsets), _PID)
-    out = out.select(
-        *df.columns,
-        *[(F.col(f"__o_{k}") + F.coalesce(F.sum(f"__w_{k}").over(inside), F.lit(0))).alias(k) for k in sums],
-    )
-    return out

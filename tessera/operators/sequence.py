@@ -2,73 +2,98 @@
 
 ``LEAD(x) OVER (PARTITION BY user ORDER BY t)`` sends each user to one task;
 a user holding a third of the rows would make that task a third of the job.
-Here the rows are numbered over a global sort on (key, order) - which range
-partitioning spreads evenly - and each row is equi-joined with the row whose
-number is one higher. The join key is unique, so the join has no skew.
+Here a key is cut into buckets that follow the order (the day of a purchase,
+say): the built-in window runs within (key, bucket), and a narrow table with
+one row per (key, bucket) - its size and its first row - says where a bucket
+starts in its key and which row follows its last. One plan at every size: the
+rows are shuffled once, by (key, bucket), and a key's buckets, not its rows,
+meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import global_row_number, join_group_values
-from tessera.operators.strategy import fits_one_task
+
+def null_safe_keys(keys: Sequence[str]) -> dict[str, Column]:
+    """One non-null text column per key, so that equality joins and windows
+    treat NULL as a value and share one partitioning."""
+    return {
+        f"__k{i}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for i, k in enumerate(keys)
+    }
 
 
 def lead_within(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
-    lead_cols: dict[str, str],
+    order: Sequence[str],
+    bucket: Column,
+    lead_cols: Mapping[str, str],
     position: str | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``LEAD(src) OVER (PARTITION BY keys ORDER BY order)`` columns.
 
-    ``lead_cols`` maps output name -> source column. ``order`` should be a
-    total order within each key. ``position`` optionally names a 1-based
-    ``ROW_NUMBER()`` within the key. The built-in window is used when the
-    input is checked to fit one task (no key can then be larger).
+    ``lead_cols`` maps output name -> source column; ``order`` names ascending
+    columns that should be a total order within each key. ``bucket`` is an
+    integer expression that never decreases along that order; NULLs come first
+    in both. ``position`` optionally names a 1-based ``ROW_NUMBER()`` in the
+    key.
     """
-    keys = list(keys)
-    if fits_one_task(df, bound):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        leads = [F.lead(src).over(w).alias(out) for out, src in lead_cols.items()]
-        pos = [F.row_number().over(w).cast("long").alias(position)] if position else []
-        return df.select("*", *leads, *pos)
-    full_order = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    numbered = global_row_number(df, full_order, name="__rn")
-    following = numbered.select(
-        (F.col("__rn") - 1).alias("__rn_prev"),
-        *[F.col(k).alias(f"__nk{i}") for i, k in enumerate(keys)],
-        *[F.col(src).alias(f"__lead_{out}") for out, src in lead_cols.items()],
+    group = list(null_safe_keys(keys))
+    cut = [*group, "__bucket"]
+    lowest = F.lit(-(2**63)).cast("long")
+    rows = df.withColumns({**null_safe_keys(keys), "__bucket": F.coalesce(bucket.cast("long"), lowest)})
+    head = F.struct(*[F.col(src).alias(out) for out, src in lead_cols.items()], F.lit(1).alias("__any"))
+    # NULLs first, as in the window
+    first = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order], head.alias("head"))
+    heads = rows.groupBy(*cut).agg(F.min(first).alias("__first"), F.count(F.lit(1)).alias("__size"))
+    along = Window.partitionBy(*group).orderBy("__bucket")
+    heads = heads.select(
+        *cut,
+        "__size",
+        F.lead("__first.head").over(along).alias("__next"),
+        F.coalesce(F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+    )
+    inside = Window.partitionBy(*cut).orderBy(*[F.col(c).asc() for c in order])
+    numbered = rows.select(
+        "*",
+        F.row_number().over(inside).alias("__row"),
+        *[F.lead(src).over(inside).alias(f"__lead_{out}") for out, src in lead_cols.items()],
     )
-    joined = numbered.join(following, F.col("__rn") == F.col("__rn_prev"), "left")
-    same_key = F.lit(True)
-    for i, k in enumerate(keys):
-        same_key = same_key & F.col(k).eqNullSafe(F.col(f"__nk{i}"))
-    out = joined
-    for name in lead_cols:
-        out = out.withColumn(name, F.when(same_key, F.col(f"__lead_{name}")))
-    if position:
-        out = join_group_values(out, keys, F.min("__rn").alias("__first"))
-        out = out.withColumn(position, (F.col("__rn") - F.col("__first") + 1).cast("long"))
-    return out.select(*df.columns, *lead_cols, *([position] if position else []))
+    joined = numbered.join(heads, cut)
+    last = F.col("__row") == F.col("__size")
+    leads = [
+        F.when(last, F.col("__next")[out]).otherwise(F.col(f"__lead_{out}")).alias(out) for out in lead_cols
+    ]
+    place = [(F.col("__before") + F.col("__row")).cast("long").alias(position)] if position else []
+    return joined.select(*df.columns, *leads, *place)
+
+
+def position_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str) -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)``, by buckets."""
+    return lead_within(df, keys, order, bucket, {}, position=name)
 
 
-def position_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, bound: DataFrame | None = None
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str, sums: Mapping[str, Column]
 ) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)``; on a global
-    sort unless the input is checked to fit one task."""
-    keys = list(keys)
-    if fits_one_task(df, bound):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    full_order = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    numbered = global_row_number(df, full_order, name="__rn")
-    out = join_group_values(numbered, keys, F.min("__rn").alias("__first"))
-    out = out.withColumn(name, (F.col("__rn") - F.col("__first") + 1).cast("long"))
-    return out.select(*df.columns, name)
+    """For each row the sums of ``sums`` over the rows strictly before it in
+    its key, by ``order``; ``bucket`` names a non-null column that never
+    decreases along it. Keys must not be null."""
+    cut = [*keys, bucket]
+    weighted = df.select("*", *[c.alias(f"__w_{n}") for n, c in sums.items()])
+    totals = weighted.groupBy(*cut).agg(*[F.sum(f"__w_{n}").alias(f"__t_{n}") for n in sums])
+    along = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *cut, *[F.coalesce(F.sum(f"__t_{n}").over(along), F.lit(0)).alias(f"__o_{n}") for n in sums]
+    )
+    inside = Window.partitionBy(*cut).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = weighted.select(
+        "*", *[F.coalesce(F.sum(f"__w_{n}").over(inside), F.lit(0)).alias(f"__s_{n}") for n in sums]
+    )
+    return summed.join(offsets, cut).select(
+        *df.columns, *[(F.col(f"__o_{n}") + F.col(f"__s_{n}")).alias(n) for n in sums]
+    )

@@ -37,6 +37,16 @@ def stage(df: DataFrame, key: tuple, enabled: bool = True) -> DataFrame:
     return staged
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` into the checkpoint folder and read it back, without a
+    memo; ``release`` deletes it with the staged tables."""
+    spark: SparkSession = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tessera-stage/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    _PATHS[(id(spark), spark.conf.get("spark.app.id", ""), name, path)] = path
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def clear_memo() -> None:
     """Forget staged tables (their files stay)."""
     _STAGED.clear()
@@ -44,11 +54,8 @@ def clear_memo() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """End of a run: delete the tables this session staged and unpersist the
-    numbered intermediates of the global sorts. Shared storage then does not
-    keep a copy of every run's intermediates."""
-    from tessera.operators import ranking
-
+    """End of a run: delete the tables this session staged, so that shared
+    storage does not keep a copy of every run's intermediates."""
     app = (id(spark), spark.conf.get("spark.app.id", ""))
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -59,4 +66,3 @@ def release(spark: SparkSession) -> None:
         hpath.getFileSystem(conf).delete(hpath, True)
         _PATHS.pop(memo, None)
         _STAGED.pop(memo, None)
-    ranking.release()

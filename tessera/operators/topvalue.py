@@ -15,41 +15,37 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.distinct import stack
+
 
 def top_values(
     df: DataFrame,
     keys: Sequence[str],
     values: Mapping[str, Column | str],
     count_nulls: bool = True,
+    distinct: Mapping[str, Column | str] | None = None,
 ) -> DataFrame:
-    """One row per group of ``keys`` with the mode of each entry of ``values``.
+    """One row per group of ``keys`` with the mode of each entry of ``values``
+    and the number of distinct non-NULL values of each entry of ``distinct``.
 
-    All value columns are stacked into one (name, value) column so that a
-    single pair of aggregations serves all of them. Values are compared as
-    strings only inside the stack; each output keeps its original type.
+    All value columns are stacked, each in a column of its own type, so that a
+    single pair of aggregations serves all of them.
     """
-    keys = list(keys)
-    names = list(values)
-    exprs = {n: (F.col(v) if isinstance(v, str) else v) for n, v in values.items()}
-    typed = df.select(*keys, *[e.alias(n) for n, e in exprs.items()])
-    types = {f.name: f.dataType for f in typed.schema.fields}
-    stacked = typed.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("k"), F.col(n).cast("string").alias("v")) for i, n in enumerate(names)])
-        ).alias("__kv"),
-    ).select(*keys, F.col("__kv.k").alias("__k"), F.col("__kv.v").alias("__v"))
+    keys, distinct = list(keys), distinct or {}
+    names = [*values, *distinct]
+    exprs = [F.col(v) if isinstance(v, str) else v for v in [*values.values(), *distinct.values()]]
+    stacked = df.select(*keys, F.explode(stack(exprs, df)).alias("__kv")).select(*keys, "__kv.*")
     if not count_nulls:
-        stacked = stacked.filter(F.col("__v").isNotNull())
-    counts = stacked.groupBy(*keys, "__k", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    best = {
-        n: F.min(
-            F.when(
-                F.col("__k") == i,
-                F.struct((-F.col("__c")).alias("c"), F.col("__v").isNull().alias("n"), F.col("__v").alias("v")),
-            )
-        )
-        for i, n in enumerate(names)
-    }
-    winners = counts.groupBy(*keys).agg(*[b.alias(n) for n, b in best.items()])
-    return winners.select(*keys, *[F.col(f"{n}.v").cast(types[n]).alias(n) for n in names])
+        stacked = stacked.filter(" OR ".join(f"__v{i} IS NOT NULL" for i in range(len(names))))
+    cells = [f"__v{i}" for i in range(len(names))]
+    counts = stacked.groupBy(*keys, "__k", *cells).agg(F.count(F.lit(1)).alias("__c"))
+
+    def mode(i: int) -> Column:
+        v = F.col(f"__v{i}")
+        return F.min(F.when(F.col("__k") == i, F.struct((-F.col("__c")).alias("c"), v.isNull().alias("n"), v.alias("v"))))
+
+    winners = counts.groupBy(*keys).agg(
+        *[mode(i).alias(f"__b{i}") for i in range(len(values))],
+        *[F.count(f"__v{len(values) + j}").alias(n) for j, n in enumerate(distinct)],
+    )
+    return winners.select(*keys, *[F.col(f"__b{i}.v").alias(n) for i, n in enumerate(values)], *distinct)

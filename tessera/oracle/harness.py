@@ -91,6 +91,8 @@ _SPARK_TO_DUCK = {
 
 
 def _spark_type_as_duck(simple: str) -> str:
+    if simple.startswith("array<"):
+        return _spark_type_as_duck(simple[6:-1]) + "[]"
     if simple.startswith("decimal"):
         return simple.upper().replace(" ", "")
     return _SPARK_TO_DUCK.get(simple, simple.upper())
@@ -129,5 +131,5 @@ def compare(name: str, spark_df, con, sql: str, digits: int = 6) -> Comparison:
     )
     only_s = list((s_vals - o_vals).elements())
     only_o = list((o_vals - s_vals).elements())
-    ok = not column_diff and not only_s and not only_o and len(spark_rows) == len(oracle_rows)
+    ok = not (column_diff or type_diff or only_s or only_o) and len(spark_rows) == len(oracle_rows)
     return Comparison(name, ok, len(spark_rows), len(oracle_rows), column_diff, type_diff, only_s, only_o)

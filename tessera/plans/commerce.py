@@ -106,6 +106,13 @@ def _returned(value: Column | str) -> Column:
 
 
 # --------------------------------------------------------------------- J4
+MODES = {
+    "most_used_payment_method": "payment_method",
+    "most_common_shipping_country": "shipping_country",
+    "most_common_device_type": "device_type_clean",
+}
+
+
 def customer_metadata(tx: DataFrame) -> DataFrame:
     """Per user: first/last purchase, distinct counts, spend, returns, modes."""
     totals = tx.groupBy("user_id").agg(
@@ -115,42 +122,37 @@ def customer_metadata(tx: DataFrame) -> DataFrame:
         F.sum(_sale(F.lit(1))).cast("long").alias("total_purchases"),
         F.sum(_returned("quantity")).cast("long").alias("total_items_returned"),
     )
-    totals = with_distinct_counts(
-        totals,
-        tx,
-        ["user_id"],
-        {
-            "total_transactions": "transaction_id",
-            "distinct_categories_purchased": "product_category",
-            "distinct_purchase_days": F.to_date("transaction_time"),
-        },
-    ).select(
+    # modes and distinct counts from one pass over (user, argument, value) counts
+    values = top_values(tx, ["user_id"], MODES, distinct={
+        "total_transactions": "transaction_id",
+        "distinct_categories_purchased": "product_category",
+        "distinct_purchase_days": F.to_date("transaction_time"),
+    })
+    return _join_groups(totals, values, ["user_id"], "left").select(
         "user_id", "first_purchase_date", "last_purchase_date", "total_transactions", "total_spend",
         "total_purchases", "total_items_returned", "distinct_categories_purchased", "distinct_purchase_days",
+        *MODES,
     )
-    modes = top_values(
-        tx,
-        ["user_id"],
-        {
-            "most_used_payment_method": "payment_method",
-            "most_common_shipping_country": "shipping_country",
-            "most_common_device_type": "device_type_clean",
-        },
-    )
-    return _join_groups(totals, modes, ["user_id"], "left")
 
 
 def customer_modes_approx(tx: DataFrame) -> DataFrame:
     """J4b: the three modes with Spark's bounded-memory ``approx_top_k`` sketch."""
+    chosen = [F.expr(f"approx_top_k({c}, 1)")[0]["item"].alias(name) for name, c in MODES.items()]
+    return tx.groupBy("user_id").agg(*chosen)
 
-    def approx(col: str) -> Column:
-        return F.expr(f"approx_top_k({col}, 1)")[0]["item"]
 
-    return tx.groupBy("user_id").agg(
-        approx("payment_method").alias("most_used_payment_method"),
-        approx("shipping_country").alias("most_common_shipping_country"),
-        approx("device_type_clean").alias("most_common_device_type"),
-    )
+def approx_mode_counts(tx: DataFrame) -> DataFrame:
+    """J4b with what makes it checkable: how often each chosen value occurs.
+    A right choice has the top count, whichever of tied values it is."""
+    out = customer_modes_approx(tx)
+    for name, column in MODES.items():
+        counts = tx.groupBy(F.col("user_id").alias("__user"), F.col(column).alias("__value")).agg(
+            F.count(F.lit(1)).alias(f"{name}_count")
+        )
+        out = out.join(
+            counts, F.col("user_id").eqNullSafe(F.col("__user")) & F.col(name).eqNullSafe(F.col("__value")), "left"
+        ).drop("__user", "__value")
+    return out
 
 
 # --------------------------------------------------------------------- J5
@@ -284,28 +286,32 @@ def time_analysis(tx: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- J9
+def _purchase_day() -> Column:
+    """Buckets of a user's purchases: days since 1970."""
+    return F.unix_date(F.to_date("transaction_time"))
+
+
 def purchase_history(tx: DataFrame) -> DataFrame:
     """J9a, history part: every purchase line of a user (returns included),
     one row per array element with its 1-based ``position``.
 
     Long form instead of one array per user: a user's history is unbounded,
     and a row per element keeps the work spread over tasks."""
-    order = [F.col(c).asc() for c in PURCHASE_ORDER]
     lines = tx.select("user_id", "transaction_time", "transaction_id", "product_id", "product_category", "total_price")
-    return position_within(lines, ["user_id"], order, "position")
+    return position_within(lines, ["user_id"], PURCHASE_ORDER, _purchase_day(), "position")
 
 
 def purchase_sequence(tx: DataFrame) -> DataFrame:
     """J9a, sequence part: non-return purchases with the next purchase of the
     same user. Rows whose return flag is NULL are left out (``NOT is_return``)."""
-    order = [F.col(c).asc() for c in PURCHASE_ORDER]
     sales = tx.filter(~F.col("is_return")).select(
         "user_id", "transaction_time", "transaction_id", "product_id", "product_category", "total_price"
     )
     seq = lead_within(
         sales,
         ["user_id"],
-        order,
+        PURCHASE_ORDER,
+        _purchase_day(),
         {"next_category": "product_category", "next_purchase_time": "transaction_time"},
         position="step",
     )
@@ -352,12 +358,13 @@ def monthly_cohorts(tx: DataFrame, meta: DataFrame) -> DataFrame:
     groups = (
         activity.groupBy("cohort_month", "months_since_cohort")
         .agg(
-            F.countDistinct("user_id").alias("retained_users"),
             F.sum("total_price").cast(MONEY).alias("total_spend"),
-            F.countDistinct("transaction_id").alias("total_orders"),
         )
-        .filter(F.col("months_since_cohort") >= 0)
     )
+    month = ["cohort_month", "months_since_cohort"]
+    groups = with_distinct_counts(
+        groups, activity, month, {"retained_users": "user_id", "total_orders": "transaction_id"}
+    ).filter(F.col("months_since_cohort") >= 0)
     size = F.col("cohort_size")
     return groups.join(sizes, "cohort_month").select(
         "cohort_month",
@@ -424,33 +431,40 @@ def user_products(tx: DataFrame, pm: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- J13
 def primary_products(tx: DataFrame) -> DataFrame:
-    """Each user's product with the most non-return spend (then lowest id)."""
+    """Each user's product with the most non-return spend (then lowest id); a
+    product without a known spend comes last."""
     per_product = tx.groupBy("user_id", "product_id", "product_category").agg(
         F.sum(_sale("total_price")).alias("net")
     )
-    best = F.min(F.struct((-F.col("net")).alias("n"), F.col("product_id"), F.col("product_category")))
+    net = F.col("net")
+    best = F.min(F.struct(net.isNull().alias("unknown"), (-net).alias("n"), F.col("product_id"), F.col("product_category")))
     return per_product.groupBy("user_id").agg(best.alias("b")).select(
         "user_id", F.col("b.product_id").alias("product_id"), F.col("b.product_category").alias("product_category")
     )
 
 
-def top_candidates(users: DataFrame, lead: str, k: int, accuracy: int = 10000) -> DataFrame:
-    """Rows that can be among the top ``k`` by ``lead`` descending (then any
-    tie-break): those with ``lead >= t``, where at least ``k`` rows reach ``t``.
+REPORT_ORDER = (F.desc, "total_spend"), (F.desc, "total_transactions"), (F.asc, "user_id")
+
+
+def _report_order() -> list[Column]:
+    return [direction(c) for direction, c in REPORT_ORDER]
+
+
+def top_by_spend(users: DataFrame, k: int, accuracy: int = 10000) -> DataFrame:
+    """The ``k`` first users of the report, before its joins: every sort key
+    is in the one-row-per-user table, and each later join adds at most one row
+    per user.
 
-    ``t`` is an approximate quantile (one sketch aggregation), placed low
-    enough to cover the quantile's rank error, and a count verifies the
-    cover - if it fails, all rows are kept - so the final top-k is exact. The
-    expensive joins of a report then run on about ``k`` rows instead of all,
-    and the last ORDER BY ... LIMIT merges a small input instead of ``k``
-    rows from every partition."""
-    n = users.count()
-    if n <= 4 * k:  # the pre-filter pays off only when it removes most rows
-        return users
-    q = max(0.0, 1.0 - k / n - 2.0 / accuracy)
-    t = users.agg(F.percentile_approx(lead, q, accuracy).alias("t")).first()["t"]
-    candidates = users.filter(F.col(lead) >= F.lit(t))
-    return candidates if candidates.count() >= k else users
+    Sorting takes the top ``k`` rows of every partition to one task, so rows
+    that cannot be among them go first. ``t`` is the quantile that ``k`` rows
+    reach, lowered by twice the sketch's rank error (at most ``1 / accuracy``
+    of the rows), so at least ``k`` rows reach ``t``, or all do."""
+    n = users.agg(F.count("total_spend")).first()[0]
+    q = max(0.0, 1.0 - k / max(n, 1) - 2.0 / accuracy)
+    t = users.agg(F.percentile_approx("total_spend", q, accuracy).alias("t"))
+    low = F.col("total_spend") < t.scalar()
+    reach = users.filter(~F.coalesce(low, F.lit(False)))  # users without a known spend sort last
+    return reach.orderBy(*_report_order()).limit(k)
 
 
 def customer_360(
@@ -499,7 +513,7 @@ def customer_360(
         "avg_orders_per_user",
     )
     if limit:
-        segments = top_candidates(segments, "total_spend", limit)
+        segments = top_by_spend(segments, limit)
     first_day, last_day = F.to_date("first_purchase_date"), F.to_date("last_purchase_date")
     users = segments.withColumn("cohort_month", F.trunc(first_day, "MM")).withColumn(
         "months_since_cohort", (_month_index(last_day) - _month_index(F.col("cohort_month"))).cast("int")
@@ -550,5 +564,4 @@ def customer_360(
         rules.tier(F.col("total_spend"), rules.VALUE_TIER, rules.VALUE_TIER_DEFAULT).alias("value_tier"),
         rules.category_behavior(F.col("distinct_categories_purchased")).alias("category_behavior"),
     )
-    ordered = out.orderBy(F.col("total_spend").desc(), F.col("total_transactions").desc(), F.col("user_id").asc())
-    return ordered.limit(limit) if limit else ordered
+    return out.orderBy(*_report_order())

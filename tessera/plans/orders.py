@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
+from tessera.operators.distinct import distinct_counts, with_distinct_counts
 from tessera.operators.lookback import lookback_distinct_count
 from tessera.operators.ranking import global_ntile, ranked
 
@@ -123,7 +124,7 @@ def order_items_detail(
     actual size is known to be under the threshold. Money is exact DECIMAL:
     ``net = gross * (100 - pct) / 100``."""
     keep = (
-        items.join(oh.select("order_id"), "order_id")
+        items.join(oh.select("order_id", F.col("customer_id").alias("order_customer_id"), "order_date"), "order_id")
         .join(products, "product_id")
         .join(categories, "category_id")
         .join(subcategories, "subcategory_id")
@@ -157,9 +158,17 @@ def order_items_detail(
         "brand_name",
         "supplier_name",
         F.col("country").alias("supplier_country"),
+        # of the order: the later jobs read them here instead of joining again
+        "order_customer_id",
+        "order_date",
     )
 
 
+def public_items(oid: DataFrame) -> DataFrame:
+    """J16's own columns."""
+    return oid.drop("order_customer_id", "order_date")
+
+
 # --------------------------------------------------------------------- J17
 def customer_order_patterns(oh: DataFrame, oid: DataFrame, as_of: dt.date, tiles: int = 5) -> DataFrame:
     """Per customer: order counts and money, lifespan, mean gap, cancellations,
@@ -180,14 +189,10 @@ def customer_order_patterns(oh: DataFrame, oid: DataFrame, as_of: dt.date, tiles
         F.array_sort(F.collect_set("payment_method")).alias("payment_methods_used"),
         F.datediff(F.lit(as_of), F.max("order_date")).alias("__days"),
     )
-    bought = (
-        oid.select("order_id", "product_id", "category_id")
-        .join(oh.select("order_id", "customer_id"), "order_id")
-        .groupBy("customer_id")
-        .agg(
-            F.countDistinct("product_id").alias("unique_products_purchased"),
-            F.countDistinct("category_id").alias("unique_categories_purchased"),
-        )
+    bought = distinct_counts(
+        oid.select(F.col("order_customer_id").alias("customer_id"), "product_id", "category_id"),
+        ["customer_id"],
+        {"unique_products_purchased": "product_id", "unique_categories_purchased": "category_id"},
     )
     out = base.join(bought, "customer_id", "left").select(
         *[c for c in base.columns if c != "__days"],
@@ -195,14 +200,8 @@ def customer_order_patterns(oh: DataFrame, oid: DataFrame, as_of: dt.date, tiles
         F.coalesce(F.col("unique_categories_purchased"), F.lit(0)).alias("unique_categories_purchased"),
         rules.recency_label(F.col("__days")).alias("recency_segment"),
     )
-    # order history has at least one row per customer: a cheap bound for the check
-    out = global_ntile(
-        out, [F.col("total_spent").asc(), F.col("customer_id").asc()], tiles, "monetary_segment", bound=oh
-    )
-    out = global_ntile(
-        out, [F.col("total_orders").asc(), F.col("customer_id").asc()], tiles, "frequency_segment", bound=oh
-    )
-    return out
+    out = global_ntile(out, [F.col("total_spent").asc(), F.col("customer_id").asc()], tiles, "monetary_segment")
+    return global_ntile(out, [F.col("total_orders").asc(), F.col("customer_id").asc()], tiles, "frequency_segment")
 
 
 # --------------------------------------------------------------------- J18
@@ -212,7 +211,6 @@ def _in_window(col: str, start: dt.date, end: dt.date) -> Column:
 
 def product_performance(
     oid: DataFrame,
-    oh: DataFrame,
     reviews: DataFrame,
     inventory: DataFrame,
     warehouses: DataFrame,
@@ -226,16 +224,19 @@ def product_performance(
         "product_id", "product_name", "category_id", "category_name", "subcategory_id", "subcategory_name",
         "brand_id", "brand_name", "supplier_id", "supplier_name",
     ]
-    lines = oid.join(oh.select("order_id", "customer_id"), "order_id")
-    sales = lines.groupBy(*keys).agg(
-        F.countDistinct("order_id").alias("order_count"),
+    sales = oid.groupBy(*keys).agg(
         F.sum("quantity").cast("long").alias("total_quantity_sold"),
         F.sum("gross_item_amount").cast(MONEY2).alias("gross_revenue"),
         F.sum("net_item_amount").cast(MONEY4).alias("net_revenue"),
         F.sum("item_profit").cast(MONEY4).alias("total_profit"),
         rules.round_half_up(F.avg("profit_margin_percentage"), 6).alias("average_profit_margin"),
-        F.countDistinct("customer_id").alias("unique_customers"),
     )
+    sales = with_distinct_counts(
+        sales, oid, keys, {"order_count": "order_id", "unique_customers": "order_customer_id"}
+    ).select(
+        *keys, "order_count", "total_quantity_sold", "gross_revenue", "net_revenue", "total_profit",
+        "average_profit_margin", "unique_customers",
+    )
     rated = (
         reviews.filter(_in_window("review_date", start, end))
         .groupBy("product_id")
@@ -257,33 +258,32 @@ def product_performance(
         .withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0)))
     )
     desc = [F.col("net_revenue").desc()]
-    # every product has at least one order line: the lines bound the product count
     out = ranked(
         joined, desc, ["net_revenue"], tiebreak=["product_id"], partition_by=["category_id"],
-        rank="category_revenue_rank", bound=oid,
-    )
-    out = ranked(
-        out, desc, ["net_revenue"], tiebreak=["product_id"], percent_rank="overall_revenue_percentile", bound=oid
+        rank="category_revenue_rank",
     )
-    return out
+    return ranked(out, desc, ["net_revenue"], tiebreak=["product_id"], percent_rank="overall_revenue_percentile")
 
 
 # --------------------------------------------------------------------- J19
-def time_based_sales(oh: DataFrame, oid: DataFrame) -> DataFrame:
+def time_based_sales(oid: DataFrame) -> DataFrame:
     """Per (month, category): sales, then per category over its months (by
     row, so a missing month is skipped): previous revenue, growth %, mean of
     the last three rows, running total. The windows run over the aggregated
     table - one row per category and month."""
-    lines = oid.join(oh.select("order_id", "customer_id", "order_date"), "order_id")
-    monthly = lines.groupBy(
-        F.trunc("order_date", "MM").alias("month"), "category_id", "category_name"
-    ).agg(
+    lines = oid.withColumn("month", F.trunc("order_date", "MM"))
+    keys = ["month", "category_id", "category_name"]
+    monthly = lines.groupBy(*keys).agg(
         F.sum("net_item_amount").cast(MONEY4).alias("monthly_revenue"),
-        F.countDistinct("order_id").alias("monthly_order_count"),
-        F.countDistinct("customer_id").alias("monthly_customer_count"),
         F.sum("quantity").cast("long").alias("monthly_units_sold"),
         F.sum("item_profit").cast(MONEY4).alias("monthly_profit"),
     )
+    monthly = with_distinct_counts(
+        monthly, lines, keys, {"monthly_order_count": "order_id", "monthly_customer_count": "order_customer_id"}
+    ).select(
+        *keys, "monthly_revenue", "monthly_order_count", "monthly_customer_count", "monthly_units_sold",
+        "monthly_profit",
+    )
     w = Window.partitionBy("category_id").orderBy("month")
     rev = F.col("monthly_revenue")
     prev = F.lag(rev).over(w)
@@ -302,12 +302,20 @@ def time_based_sales(oh: DataFrame, oid: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- J20
-def _top_name_by_revenue(lines: DataFrame, name: str, out: str) -> DataFrame:
-    """Per (country, city), the ``name`` with the most net revenue (ties: lowest)."""
-    per_name = lines.groupBy("country", "city", name).agg(F.sum("net_item_amount").alias("__rev"))
-    best = F.min(F.struct((-F.col("__rev")).alias("r"), F.col(name).alias("n")))
-    return per_name.groupBy(F.col("country").alias("__country"), F.col("city").alias("__city")).agg(
-        best["n"].alias(out)
+def top_names_by_revenue(lines: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Per (country, city) and each entry of ``names`` (output -> column), the
+    name with the most net revenue (ties: lowest); a name without a known
+    revenue comes last. One pass over the lines for all names."""
+    kinds = F.array(*[F.struct(F.lit(out).alias("kind"), F.col(c).alias("name")) for out, c in names.items()])
+    per_name = (
+        lines.select("country", "city", "net_item_amount", F.explode(kinds).alias("__n"))
+        .groupBy("country", "city", "__n.kind", "__n.name")
+        .agg(F.sum("net_item_amount").alias("__rev"))
+    )
+    rev = F.col("__rev")
+    best = F.struct(rev.isNull().alias("unknown"), (-rev).alias("r"), F.col("name").alias("n"))
+    return per_name.groupBy("country", "city").agg(
+        *[F.min(F.when(F.col("kind") == out, best))["n"].alias(out) for out in names]
     )
 
 
@@ -318,9 +326,8 @@ def geographic_sales(cb: DataFrame, oh: DataFrame, oid: DataFrame) -> DataFrame:
     geo = cb.select("customer_id", "country", "city")
     orders_geo = geo.join(oh, "customer_id")
     delay = F.col("delivery_delay_days")
-    totals = orders_geo.groupBy("country", "city").agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct("customer_id").alias("total_customers"),
+    keys = ["country", "city"]
+    totals = orders_geo.groupBy(*keys).agg(
         F.sum("final_amount").cast(MONEY2).alias("total_revenue"),
         _avg(F.col("final_amount")).alias("average_order_value"),
         F.sum("shipping_cost").cast(MONEY2).alias("total_shipping_cost"),
@@ -328,16 +335,18 @@ def geographic_sales(cb: DataFrame, oh: DataFrame, oid: DataFrame) -> DataFrame:
         F.sum(F.when(delay > 0, 1).otherwise(0)).cast("long").alias("delayed_deliveries"),
         _avg(F.when(delay > 0, delay)).alias("average_delay_days"),
     )
-    lines = (
-        oid.select("order_id", "category_name", "brand_name", "net_item_amount")
-        .join(oh.select("order_id", "customer_id"), "order_id")
-        .join(geo.filter(F.col("country").isNotNull() & F.col("city").isNotNull()), "customer_id")
-    )
-    top_cat = _top_name_by_revenue(lines, "category_name", "top_category")
-    top_brand = _top_name_by_revenue(lines, "brand_name", "top_brand")
-    keyed = lambda t: t.withColumnRenamed("__country", "country").withColumnRenamed("__city", "city")
+    totals = with_distinct_counts(
+        totals, orders_geo, keys, {"total_orders": "order_id", "total_customers": "customer_id"}
+    ).select(
+        *keys, "total_orders", "total_customers", "total_revenue", "average_order_value", "total_shipping_cost",
+        "average_shipping_cost", "delayed_deliveries", "average_delay_days",
+    )
+    lines = oid.select(
+        F.col("order_customer_id").alias("customer_id"), "category_name", "brand_name", "net_item_amount"
+    ).join(geo.filter(F.col("country").isNotNull() & F.col("city").isNotNull()), "customer_id")
+    tops = top_names_by_revenue(lines, {"top_category": "category_name", "top_brand": "brand_name"})
     # Plain equality on (country, city): a NULL city never matches.
-    return totals.join(keyed(top_cat), ["country", "city"], "left").join(keyed(top_brand), ["country", "city"], "left")
+    return totals.join(tops, keys, "left")
 
 
 # --------------------------------------------------------------------- J21

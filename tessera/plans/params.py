@@ -36,7 +36,7 @@ class Params:
     def key(self) -> tuple:
         return (
             self.as_of, self.tx_start, self.tx_end_exclusive, self.order_start, self.order_end,
-            self.customer_segment_count, self.lookback_days,
+            self.customer_segment_count, self.lookback_days, self.top_limit,
         )
 
 

@@ -19,6 +19,7 @@ from tessera.operators.staging import stage
 from tessera.plans import commerce, lookup, orders, region
 from tessera.plans.params import DEFAULT, Params
 from tessera.sources import adapters
+from tessera.sources.tables import fingerprint
 
 _RUNS: dict[tuple, "Run"] = {}
 
@@ -26,6 +27,7 @@ _RUNS: dict[tuple, "Run"] = {}
 class Run:
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DEFAULT, staged: bool = True):
         self.spark, self.sf_dir, self.p, self.staged = spark, sf_dir.rstrip("/"), params, staged
+        self.inputs: tuple = ()
 
     @classmethod
     def release(cls, spark: SparkSession) -> None:
@@ -38,22 +40,23 @@ class Run:
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> "Run":
-        key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"), params.key())
+        seen = fingerprint(spark, sf_dir)
+        key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"), params.key(), seen)
         if key not in _RUNS:
             _RUNS[key] = cls(spark, sf_dir, params)
+            _RUNS[key].inputs = seen
         return _RUNS[key]
 
     def table(self, name: str) -> DataFrame:
         return adapters.load(self.spark, self.sf_dir, name)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, (name, self.sf_dir, self.p.key()), enabled=self.staged)
+        return stage(df, (name, self.sf_dir, self.p.key(), self.inputs), enabled=self.staged)
 
     # -- regional table -----------------------------------------------------
     @cached_property
     def covid(self) -> DataFrame:
-        # read twice by the job (levels, rows): staged like the other inputs
-        return self._stage(self.table("covid19_open_data"), "covid")
+        return self.table("covid19_open_data")
 
     # -- customer-360 model: transactions ------------------------------------
     @cached_property
@@ -132,12 +135,12 @@ class Run:
 
     def product_performance(self) -> DataFrame:
         return orders.product_performance(
-            self.order_items_detail, self.order_history, self.table("product_reviews"), self.table("inventory"),
+            self.order_items_detail, self.table("product_reviews"), self.table("inventory"),
             self.table("warehouses"), self.p.order_start, self.p.order_end,
         )
 
     def time_based_sales(self) -> DataFrame:
-        return orders.time_based_sales(self.order_history, self.order_items_detail)
+        return orders.time_based_sales(self.order_items_detail)
 
     def geographic_sales(self) -> DataFrame:
         return orders.geographic_sales(self.customer_base, self.order_history, self.order_items_detail)
@@ -174,7 +177,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # customer-360 model
     "clean_transactions": _q(lambda r: r.tx),
     "customer_metadata": _q(lambda r: r.meta),
-    "customer_modes_approx": _q(lambda r: commerce.customer_modes_approx(r.tx)),
+    "customer_modes_approx": _q(
+        lambda r: commerce.approx_mode_counts(r.tx).select("user_id", *[f"{m}_count" for m in commerce.MODES])
+    ),
     "rfm_scores": _q(lambda r: commerce.rfm_scores(r.meta, r.p.as_of)),
     "customer_segments": _q(lambda r: r.segments),
     "product_metrics": _q(lambda r: r.pm),
@@ -191,7 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # order model
     "customer_base": _q(lambda r: r.customer_base),
     "order_history": _q(lambda r: r.order_history),
-    "order_items_detail": _q(lambda r: r.order_items_detail),
+    "order_items_detail": _q(lambda r: orders.public_items(r.order_items_detail)),
     "customer_order_patterns": _q(lambda r: r.customer_order_patterns),
     "product_performance": _q(lambda r: r.product_performance()),
     "time_based_sales": _q(lambda r: r.time_based_sales()),

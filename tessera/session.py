@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,19 +58,17 @@ def apply_defaults(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables.
+    """The shared folder for staged tables: ``spark.checkpoint.dir`` or the
+    context's checkpoint directory.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    directory). Only when neither is set - local tests - a private folder is
-    made and registered, so later calls agree on it.
-    """
+    Where neither is set, a local master (tests) gets a private folder; on a
+    cluster that is an error, as each executor would write to its own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        try:
-            path = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no JVM context
-            path = None
+        path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

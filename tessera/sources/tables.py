@@ -1,14 +1,7 @@
 """Readers for the parquet test tables.
 
-Every read is lazy; Catalyst prunes columns and pushes filters into the scan,
-so loading all tables up front costs nothing until a job touches them.
-
-A large table stored as fewer files than the cluster has cores - each test
-table is one file with a single row group, which parquet cannot split -
-would make every stage before the first shuffle one task. Such a table is
-spread with a round-robin repartition right after the scan (filters and
-column pruning still reach the scan below it). At production scale a table
-arrives as many files and is read as is; small tables are never spread.
+Every read is lazy and plain: Catalyst prunes columns and pushes filters into
+the scan, and how files are split is left to ``spark.sql.files.*``.
 """
 
 from __future__ import annotations
@@ -26,42 +19,24 @@ BASE_TABLES = (
     "events",
 )
 
-# Spread only tables at least this large: below it the extra shuffle costs
-# more than the parallelism it buys.
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def _total_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getContentSummary(hpath).getLength()
-
-
-_READ: dict[tuple, DataFrame] = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy DataFrame over one table. Memoised per session: a DataFrame is
-    immutable, and reading the parquet footers for the schema again for
-    every adapter that uses the table would cost a round trip each time."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    memo = (id(spark), spark.conf.get("spark.app.id", ""), path)
-    if memo not in _READ:
-        _READ[memo] = _read(spark, path)
-    return _READ[memo]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        # planned scan splits (no job, no file list through the driver);
-        # sizes are looked up only for the few-split case
-        spread = df.rdd.getNumPartitions() < cores and _total_bytes(spark, path) >= SPREAD_MIN_BYTES
-    except Exception:  # no JVM context (e.g. a remote session): read as is
-        spread = False
-    return df.repartition(cores) if spread else df
+def fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of change of each table (a file or a folder), so that a
+    session sees that its inputs were replaced."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in BASE_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            status = fs.getFileStatus(path)
+            out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
 
 
 def read_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, DataFrame]:

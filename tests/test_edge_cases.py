@@ -204,7 +204,7 @@ def test_one_order_gap_null_and_all_null_payments(spark):
                         order_row(3, 2, D(2023, 6, 11)), order_row(4, 3, D(2023, 6, 1))])
     s = spark.createDataFrame([], SESS)
     oh = orders.order_history(o, s, D(2023, 1, 1), D(2023, 12, 31))
-    empty_oid = spark.createDataFrame([], "order_id long, product_id long, category_id int")
+    empty_oid = spark.createDataFrame([], "order_id long, product_id long, category_id int, order_customer_id long")
     cop = {r["customer_id"]: r for r in orders.customer_order_patterns(oh, empty_oid, AS_OF, 5).collect()}
     assert cop[1]["average_days_between_orders"] is None
     assert cop[1]["payment_methods_used"] == []
@@ -216,19 +216,17 @@ def test_one_order_gap_null_and_all_null_payments(spark):
 OID = ("order_id long, product_id long, quantity long, net_item_amount decimal(38,4), "
        "gross_item_amount decimal(38,2), item_profit decimal(38,4), profit_margin_percentage double, "
        "product_name string, category_id int, category_name string, subcategory_id int, subcategory_name string, "
-       "brand_id int, brand_name string, supplier_id long, supplier_name string")
+       "brand_id int, brand_name string, supplier_id long, supplier_name string, "
+       "order_customer_id long, order_date date")
 
 
-def oid_row(order_id, pid, net, cat=1, brand="B1"):
-    n = Decimal(net)
-    return (order_id, pid, 1, n, n, n, 10.0, f"p{pid}", cat, f"c{cat}", 1, "s", 1, brand, 1, "sup")
+def oid_row(order_id, pid, net, cat=1, brand="B1", customer=None, date=D(2023, 6, 1)):
+    n = None if net is None else Decimal(net)
+    customer = order_id if customer is None else customer
+    return (order_id, pid, 1, n, n, n, 10.0, f"p{pid}", cat, f"c{cat}", 1, "s", 1, brand, 1, "sup", customer, date)
 
 
 def test_product_ranks_reviews_and_stock(spark):
-    oh = orders.order_history(
-        _orders(spark, [order_row(1, 1, D(2023, 6, 1)), order_row(2, 2, D(2023, 6, 2))]),
-        spark.createDataFrame([], SESS), D(2023, 1, 1), D(2023, 12, 31),
-    )
     oid = spark.createDataFrame(
         [oid_row(1, 10, "50"), oid_row(2, 11, "50"), oid_row(2, 12, "20"), oid_row(1, 13, "99", cat=2)], OID
     )
@@ -238,7 +236,7 @@ def test_product_ranks_reviews_and_stock(spark):
                                       "product_id long, warehouse_id int, inventory_level long, reorder_point int")
     warehouses = spark.createDataFrame([(1, True), (3, False)], "warehouse_id int, is_active boolean")
     out = {r["product_id"]: r for r in
-           orders.product_performance(oid, oh, reviews, inventory, warehouses, D(2023, 1, 1), D(2023, 12, 31))
+           orders.product_performance(oid, reviews, inventory, warehouses, D(2023, 1, 1), D(2023, 12, 31))
            .collect()}
     assert [out[p]["category_revenue_rank"] for p in (10, 11, 12)] == [1, 1, 3]  # tie, then gap
     assert out[13]["category_revenue_rank"] == 1
@@ -249,13 +247,11 @@ def test_product_ranks_reviews_and_stock(spark):
 
 
 def test_missing_month_and_zero_previous_revenue(spark):
-    oh = orders.order_history(
-        _orders(spark, [order_row(1, 1, D(2023, 1, 5)), order_row(2, 1, D(2023, 3, 5)),
-                        order_row(3, 1, D(2023, 4, 5))]),
-        spark.createDataFrame([], SESS), D(2023, 1, 1), D(2023, 12, 31),
+    days = [D(2023, 1, 5), D(2023, 3, 5), D(2023, 4, 5)]
+    oid = spark.createDataFrame(
+        [oid_row(i + 1, 10, net, customer=1, date=d) for i, (net, d) in enumerate(zip(("0", "40", "60"), days))], OID
     )
-    oid = spark.createDataFrame([oid_row(1, 10, "0"), oid_row(2, 10, "40"), oid_row(3, 10, "60")], OID)
-    got = rows(orders.time_based_sales(oh, oid), "month", "prev_month_revenue", "month_over_month_growth",
+    got = rows(orders.time_based_sales(oid), "month", "prev_month_revenue", "month_over_month_growth",
                "cumulative_revenue")
     assert got == [
         (D(2023, 1, 1), None, None, Decimal("0.0000")),
@@ -279,6 +275,24 @@ def test_null_city_keeps_row_without_top_values(spark):
     assert got == [("c", 1, "c1", "B2"), (None, 1, None, None)]
 
 
+def test_a_name_without_known_revenue_never_leads(spark):
+    lines = spark.createDataFrame(
+        [("X", "c", "a", "A", None), ("X", "c", "b", "B", Decimal("5.00")), ("X", "d", "a", "A", None)],
+        "country string, city string, category_name string, brand_name string, net_item_amount decimal(38,4)",
+    )
+    got = orders.top_names_by_revenue(lines, {"top_category": "category_name", "top_brand": "brand_name"})
+    assert rows(got, "city", "top_category", "top_brand") == [("c", "b", "B"), ("d", "a", "A")]
+
+
+def test_a_product_without_known_price_is_never_primary(spark):
+    tx = clean(spark, [
+        (1, 1, "2023-03-01 10:00:00", 11, "A", 1, None, "card", "X", "mobile", False, False),
+        tx_row(2, 1, "2023-03-01 10:00:00", pid=10, price="5"),
+        (3, 2, "2023-03-01 10:00:00", 11, "A", 1, None, "card", "X", "mobile", False, False),
+    ])
+    assert rows(commerce.primary_products(tx), "user_id", "product_id") == [(1, 10), (2, 11)]
+
+
 def test_zero_unit_cost_is_an_error(spark):
     items = spark.createDataFrame([(1, 10, 1, Decimal("5.00"), 0)],
                                   "order_id long, product_id long, quantity long, unit_price decimal(18,2), "
@@ -295,7 +309,7 @@ def test_zero_unit_cost_is_an_error(spark):
         spark.createDataFrame([(1, "b")], "brand_id int, brand_name string"),
         spark.createDataFrame([(1, "s", "X")], "supplier_id long, supplier_name string, country string"),
     ]
-    oh = spark.createDataFrame([(1,)], "order_id long")
+    oh = spark.createDataFrame([(1, 1, D(2023, 6, 1))], "order_id long, customer_id long, order_date date")
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO|divide"):
         orders.order_items_detail(items, products, *dims, oh).collect()
 

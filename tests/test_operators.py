@@ -15,23 +15,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lookback import lookback_distinct_count
 from tessera.operators.ranking import global_ntile, global_row_number, group_percentile_cont, ranked
-from tessera.operators.sequence import lead_within, position_within
-from tessera.operators.strategy import CONF_KEY
+from tessera.operators.sequence import lead_within, position_within, running_sums
 from tessera.operators.subquery import scalar_subquery_filter
 from tessera.operators.topvalue import top_values
 
 from .conftest import rows
 
 
-@pytest.fixture(params=["distributed", "one_task"], autouse=True)
-def strategy(request, spark):
-    """Run every test on both plans: the global-sort one and the checked
-    single-task one."""
-    spark.conf.set(CONF_KEY, "0" if request.param == "distributed" else "100000000")
-    yield request.param
-    spark.conf.unset(CONF_KEY)
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     rnd = random.Random(7)
@@ -96,19 +86,38 @@ def test_group_percentile_equals_builtin(skewed):
     assert abs(overall - skewed.agg(F.percentile("v", 0.25)).first()[0]) < 1e-9
 
 
-def test_lead_and_position_equal_builtin(skewed):
-    order = [F.col("v").asc(), F.col("id").asc()]
-    out = lead_within(skewed, ["k"], order, {"next_v": "v", "next_s": "s"}, position="pos")
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_lead_and_position_equal_builtin(skewed, width):
+    """Whatever the buckets: one per value, several values each, or one."""
+    nulls = skewed.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v"))).withColumn(
+        "k", F.when(F.col("id") % 13 != 0, F.col("k"))
+    )
+    bucket = F.floor(F.col("v") / width)
+    out = lead_within(nulls, ["k"], ["v", "id"], bucket, {"next_v": "v", "next_s": "s"}, position="pos")
     w = Window.partitionBy("k").orderBy("v", "id")
-    expected = skewed.select(
+    expected = nulls.select(
         "id", F.lead("v").over(w).alias("next_v"), F.lead("s").over(w).alias("next_s"),
         F.row_number().over(w).alias("pos"),
     )
     assert rows(out, "id", "next_v", "next_s", "pos") == rows(expected)
-    pos = position_within(skewed, ["k"], order, "pos")
+    pos = position_within(nulls, ["k"], ["v", "id"], bucket, "pos")
     assert rows(pos, "id", "pos") == rows(expected.select("id", "pos"))
 
 
+def test_running_sums_equal_builtin(skewed):
+    df = skewed.withColumn("w", F.when(F.col("s") == "a", F.lit(-1)).otherwise(F.lit(2))).withColumn(
+        "b", F.floor(F.col("v") / 9)
+    )
+    got = running_sums(df, ["k"], ["v", "id"], "b", {"before_w": F.col("w"), "before_n": F.lit(1)})
+    w = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, -1)
+    expected = df.select(
+        "id",
+        F.coalesce(F.sum("w").over(w), F.lit(0)).alias("before_w"),
+        F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).alias("before_n"),
+    )
+    assert rows(got, "id", "before_w", "before_n") == rows(expected)
+
+
 def test_top_values_ties_and_nulls(spark):
     df = spark.createDataFrame(
         [(1, "b"), (1, "a"), (1, "b"), (1, "a"), (2, None), (2, None), (2, "z"), (3, None)],
@@ -154,51 +163,97 @@ def test_scalar_subquery_filter(spark):
         scalar_subquery_filter(df, "a", two).collect()
 
 
-def test_hot_key_is_spread_over_range_partitions(spark, strategy):
-    """The global sort behind the distributed plans splits a key holding 90%
-    of the rows over many tasks, where PARTITION BY k would give it one."""
-    if strategy != "distributed":
-        pytest.skip("property of the distributed plan")
+def test_a_hot_key_is_cut_into_buckets(spark):
+    """A key with 90 % of the rows: no window group of the plan, by (key,
+    bucket), holds more than its bucket, and LEAD, position and look-back
+    are right across the buckets."""
     n = 20_000
+    start = dt.datetime(2020, 1, 1)
     df = spark.range(n).select(
-        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(0)).alias("k"), (F.col("id") * 7 % 1000).alias("v"),
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(0)).alias("k"),
+        (F.lit(start) + F.make_dt_interval(hours=(F.col("id") * 7 % 1000).cast("int"))).cast("timestamp_ntz").alias("t"),
         "id",
     )
-    order = [F.col("k").asc(), F.col("v").asc(), F.col("id").asc()]
-    sizes = [
-        r[1] for r in df.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()
-    ]
-    assert max(sizes) < 0.3 * n  # the hot key alone is 0.9 * n
-    out = lead_within(df, ["k"], [F.col("v").asc(), F.col("id").asc()], {"nv": "v"}, position="pos")
-    hot = out.filter(F.col("k") == 0)
-    assert hot.agg(F.max("pos")).first()[0] == int(0.9 * n) + 1  # id 0 also has k = 0
-    assert hot.filter(F.col("nv").isNull()).count() == 1
-
-
-def test_top_candidates_keep_every_possible_top_row(spark):
-    from tessera.plans.commerce import top_candidates
-
-    df = spark.range(3000).select((F.col("id") % 37).alias("v"), "id")  # heavy ties
-    for k in (1, 10, 100, 700, 2999):
-        cand = top_candidates(df, "v", k)
-        top = df.orderBy(F.col("v").desc(), "id").limit(k)
-        assert top.subtract(cand).count() == 0
-        assert cand.count() >= k
+    day = F.unix_date(F.to_date("t"))
+    assert df.groupBy("k", day).count().agg(F.max("count")).first()[0] < 0.05 * n
+    out = lead_within(df, ["k"], ["t", "id"], day, {"nt": "t"}, position="pos").filter(F.col("k") == 0).collect()
+    hot = sorted((r.t, r.id, r.nt, r.pos) for r in out)
+    assert [r[3] for r in hot] == list(range(1, int(0.9 * n) + 2))  # id 0 also has k = 0
+    assert [r[2] for r in hot] == [r[0] for r in hot[1:]] + [None]
+    probes = df.filter(F.col("id") % 97 == 1).select("id", "k", "t")
+    got = dict(rows(lookback_distinct_count(probes, "id", "k", "t", df, "id", "k", "t", 3, "n"), "id", "n"))
+    times = [r[0] for r in hot]
+    for p in probes.filter("k = 0").collect():
+        lo = p.t - dt.timedelta(days=3)
+        assert got[p.id] == sum(lo <= t <= p.t for t in times)
+
+
+def test_top_by_spend_is_the_exact_top(spark):
+    from tessera.plans.commerce import top_by_spend
+
+    df = spark.range(3000).select(  # heavy ties, some users without a known spend
+        F.when(F.col("id") % 41 != 0, F.col("id") % 37).alias("total_spend"),
+        (F.col("id") % 5).alias("total_transactions"),
+        F.col("id").alias("user_id"),
+    )
+    order = [F.desc("total_spend"), F.desc("total_transactions"), "user_id"]
+    for k in (1, 10, 700, 2999, 5000):
+        assert rows(top_by_spend(df, k)) == rows(df.orderBy(*order).limit(k))
 
 
-def test_release_deletes_staged_tables(spark, strategy):
+def test_release_deletes_staged_tables(spark):
     import os
 
     from tessera.operators.staging import _PATHS, stage
     from tessera.plans.registry import Run
 
-    if strategy != "one_task":
-        pytest.skip("independent of the plan choice")
-    staged = stage(spark.range(10), ("release-test", strategy))
-    path = [p for m, p in _PATHS.items() if m[-2:] == ("release-test", strategy)][0]
-    assert staged.count() == 10 and os.path.exists(path.replace("file:", ""))
+    staged = stage(spark.range(10), ("release-test",))
+    global_row_number(spark.range(10), ["id"]).count()
+    paths = [p.replace("file:", "") for p in _PATHS.values()]
+    assert staged.count() == 10 and all(map(os.path.exists, paths)) and any("ranged" in p for p in paths)
     Run.release(spark)  # forgets cached runs too, so none points at deleted files
-    assert not os.path.exists(path.replace("file:", ""))
+    assert not any(map(os.path.exists, paths))
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from tessera.session import checkpoint_dir
+
+    def session(master, conf=None, context=None):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: context)
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: conf))
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_dir(session(master))
+        assert checkpoint_dir(session(master, conf="hdfs://x/y/")) == "hdfs://x/y"
+        assert checkpoint_dir(session(master, context="hdfs://c")) == "hdfs://c"
+
+
+def test_changed_inputs_and_limits_are_seen(spark, tmp_path):
+    from tessera.plans.params import Params
+    from tessera.plans.registry import Run
+
+    assert Params(top_limit=5).key() != Params().key()
+    folder = str(tmp_path)
+    spark.range(3).write.parquet(f"{folder}/region.parquet")
+    first = Run.get(spark, folder)
+    assert Run.get(spark, folder) is first
+    assert Run.get(spark, folder, Params(top_limit=5)) is not first
+    os_path = tmp_path / "region.parquet"
+    spark.range(5).write.mode("append").parquet(str(os_path))
+    assert Run.get(spark, folder) is not first
+
+
+def test_values_keep_their_type(spark):
+    df = spark.createDataFrame([(1, 0.0, 10), (1, -0.0, 9), (1, 2.5, 9)], "k long, x double, n int")
+    from tessera.operators.distinct import distinct_counts
+
+    assert rows(distinct_counts(df, ["k"], {"dx": "x", "dn": "n"})) == [(1, 2, 2)]
+    top = top_values(df, ["k"], {"mx": "x", "mn": "n"}, distinct={"dx": "x"})
+    assert dict(top.dtypes) == {"k": "bigint", "mx": "double", "mn": "int", "dx": "bigint"}
+    assert rows(top) == [(1, 0.0, 9, 2)]
 
 
 def test_distinct_counts_equal_builtin(skewed):
@@ -217,21 +272,6 @@ def test_distinct_counts_equal_builtin(skewed):
     assert rows(got, "g", "n", "ds", "dv", "dvs") == rows(expected, "g", "n", "ds", "dv", "dvs")
 
 
-def test_prefix_sums_equal_builtin_running_sum(skewed):
-    from tessera.operators.ranking import prefix_sums
-
-    df = skewed.withColumn("w", F.when(F.col("s") == "a", F.lit(-1)).otherwise(F.lit(2)))
-    order = [F.col("k").asc(), F.col("v").asc(), F.col("id").asc()]
-    got = prefix_sums(df, order, {"before_w": F.col("w"), "before_n": F.lit(1)})
-    w = Window.orderBy("k", "v", "id").rowsBetween(Window.unboundedPreceding, -1)
-    expected = df.select(
-        "id",
-        F.coalesce(F.sum("w").over(w), F.lit(0)).alias("before_w"),
-        F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).alias("before_n"),
-    )
-    assert rows(got, "id", "before_w", "before_n") == rows(expected)
-
-
 def test_conditional_distinct_counts_equal_builtin(skewed):
     from tessera.operators.distinct import distinct_counts_of
 

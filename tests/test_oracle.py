@@ -5,12 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from tessera.operators.strategy import CONF_KEY
 from tessera.oracle.harness import compare, duckdb_connection
+from tessera.oracle.sql import ORACLE_SQL
+from tessera.plans.registry import QUERIES
 
 from .conftest import SMALL
 
-KEYS = sorted(entry.oracle_sql())
+KEYS = sorted(ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +26,8 @@ def test_matches_oracle(spark, con, key):
     assert result.ok, result.summary()
 
 
-def test_every_query_has_an_oracle_or_is_approximate():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"customer_modes_approx"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry_runs(spark):
@@ -36,39 +36,6 @@ def test_entry_runs(spark):
     assert len(df.columns) == 63
 
 
-def test_approximate_modes_agree_with_exact_on_small_data(spark):
-    # With few distinct values per user the sketch is exact up to ties.
-    q = entry.queries()
-    approx = q["customer_modes_approx"](spark, SMALL)
-    exact = q["customer_metadata"](spark, SMALL)
-    assert approx.count() == exact.count()
-
-
-# Jobs whose plan changes with the size check: force the distributed plan.
-DISTRIBUTED_KEYS = [
-    "category_metrics", "product_global_median", "purchase_history", "purchase_sequence", "purchase_patterns",
-    "order_history", "customer_order_patterns", "product_performance", "customer_rfm",
-]
-
-
-@pytest.mark.parametrize("key", DISTRIBUTED_KEYS)
-def test_distributed_plan_matches_oracle(spark, con, key):
-    from tessera.operators.staging import clear_memo
-    from tessera.plans.registry import _RUNS
-
-    spark.conf.set(CONF_KEY, "0")
-    _RUNS.clear()  # recompute every intermediate on the distributed plan
-    clear_memo()
-    try:
-        df = entry.queries()[key](spark, SMALL)
-        result = compare(key, df, con, entry.oracle_sql()[key])
-    finally:
-        spark.conf.unset(CONF_KEY)
-        _RUNS.clear()
-        clear_memo()
-    assert result.ok, result.summary()
-
-
 @pytest.mark.parametrize("k", [7, 30])
 def test_customer_360_small_limit_matches_oracle(spark, con, k):
     from tessera.plans import commerce

@@ -35,7 +35,7 @@ def test_daily_revenue_adds_up_to_product_revenue(spark):
 
 def test_cumulative_revenue_ends_at_category_total(spark):
     run = Run.get(spark, SMALL)
-    tbs = orders.time_based_sales(run.order_history, run.order_items_detail)
+    tbs = orders.time_based_sales(run.order_items_detail)
     last = {r["category_id"]: r["cumulative_revenue"] for r in
             tbs.orderBy("month").collect()}
     totals = {r["category_id"]: r["t"] for r in tbs.groupBy("category_id").agg(F.sum("monthly_revenue").alias("t"))
