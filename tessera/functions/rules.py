@@ -140,6 +140,9 @@ def round_half_up(x: Column, digits: int) -> Column:
 
     Spelled out because engines differ on halfway cases of ``round`` for
     doubles (some round the shortest decimal text, others the binary value);
-    this form gives identical results in every IEEE engine."""
+    this form gives identical results in every IEEE engine. Beyond 2^52 / 10^d
+    a DOUBLE has no digit left to round, and is returned as it is (``floor``
+    makes a BIGINT, which could not hold it)."""
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(F.abs(x) < F.lit(2.0**52 / scale), rounded).otherwise(x)

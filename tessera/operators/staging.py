@@ -11,6 +11,8 @@ of one run share them.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,15 @@ def clear_memo() -> None:
     _PATHS.clear()
 
 
+@atexit.register
+def _release_at_exit() -> None:
+    """The end of the driver's Python, while its session still runs."""
+    session = SparkSession.getActiveSession() if _PATHS else None
+    if session is not None:
+        with contextlib.suppress(Exception):  # a stopped session has nothing to delete with
+            release(session)
+
+
 def release(spark: SparkSession) -> None:
     """End of a run: delete the tables this session staged, so that shared
     storage does not keep a copy of every run's intermediates."""

@@ -33,15 +33,23 @@ def _avg(col: Column) -> Column:
 
 
 # --------------------------------------------------------------------- J14
-def customer_base(customers: DataFrame, subscriptions: DataFrame, as_of: dt.date) -> DataFrame:
+def customer_base(
+    customers: DataFrame, subscriptions: DataFrame, as_of: dt.date, dedupe_latest: bool = False
+) -> DataFrame:
     """Customers with tenure, New/Regular/Loyal, and the subscription valid on
     ``as_of`` (start <= as_of <= end, open end = forever). Overlapping valid
-    subscriptions repeat the customer, as the original join does."""
+    subscriptions repeat the customer, as the original join does, unless
+    ``dedupe_latest`` keeps the one that started last (then ends last)."""
     today = F.lit(as_of)
     valid = subscriptions.filter(
         (today >= F.col("subscription_start_date"))
         & (today <= F.coalesce(F.col("subscription_end_date"), F.lit(OPEN_END)))
     )
+    if dedupe_latest:
+        end = F.coalesce(F.col("subscription_end_date"), F.lit(OPEN_END))
+        rest = [c for c in subscriptions.columns if c != "customer_id"]
+        latest = F.max(F.struct("subscription_start_date", end.alias("__end"), F.struct(*rest).alias("row")))
+        valid = valid.groupBy("customer_id").agg(latest["row"].alias("row")).select("customer_id", "row.*")
     reg = F.col("registration_date")
     cutoff_30, cutoff_365 = F.date_sub(today, 30), F.date_sub(today, 365)
     category = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from decimal import Decimal
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,9 @@ class Params:
     customer_segment_count: int = 5
     top_limit: int = 10000
     lookback_days: int = 30
+    # declared by the original script, read by none of its queries
+    min_purchase_threshold: Decimal = Decimal("10.00")
+    high_value_customer_threshold: Decimal = Decimal("1000.00")
 
     @property
     def order_start(self) -> dt.date:

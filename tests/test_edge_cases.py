@@ -161,6 +161,19 @@ def test_subscriptions_overlap_open_end_and_today(spark):
         (2, "Loyal", "silver", Decimal("5.00")),
         (3, "Regular", "None", Decimal("0.00")),
     ]
+    latest = orders.customer_base(cust, subs, AS_OF, dedupe_latest=True)
+    assert latest.columns == out.columns
+    assert rows(latest, "customer_id", "subscription_tier") == [(1, "gold"), (2, "silver"), (3, "None")]
+
+
+def test_rounding_of_large_doubles(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import rules
+
+    df = spark.createDataFrame([(1.2345675,), (-0.5,), (9.5e15,), (1e300,), (None,)], "x double")
+    got = [r[0] for r in df.select(rules.round_half_up(F.col("x"), 6)).collect()]
+    assert got == [1.234568, -0.5, 9.5e15, 1e300, None]
 
 
 ORDERS = (
