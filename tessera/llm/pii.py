@@ -137,9 +137,18 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(
-    docs: DataFrame, found: DataFrame, threshold: float = 0.75, removal: float = 0.9, min_contexts: int = 3
+    docs: DataFrame,
+    found: DataFrame,
+    threshold: float = 0.75,
+    removal: float = 0.9,
+    min_contexts: int = 3,
+    max_repeat: float = 0.7,
 ) -> DataFrame:
-    """(entity, term, disclosure, removed) at or above ``threshold``."""
+    """(entity, term, disclosure, removed) at or above ``threshold``.
+
+    An entity counts only if its contexts are not copies of each other: the
+    mean share of a context's terms that another of its contexts has, which is
+    nearly 1 for edited copies of one text, is at most ``max_repeat``."""
     contexts = (
         found.select(F.explode("contexts").alias("c"))
         .select("c.entity", F.lower("c.context").alias("context"))
@@ -147,15 +156,20 @@ def disclosing_terms(
         .filter(F.col("context") != "")
     )
     n_e = contexts.groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= min_contexts)
-    pairs = (
+    beside = (
         contexts.select(
             "entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)))).alias("term")
         )
-        .filter((F.length("term") >= 3) & ~F.col("term").rlike("^[0-9]+$"))
         .groupBy("entity", "term")
         .agg(F.count(F.lit(1)).alias("n_et"))
-        .filter(F.col("n_et") >= min_contexts)
-        .join(n_e, F.col("entity") == F.col("e"))
+    )
+    # of n_e - 1 other contexts, n_et - 1 share the term
+    shared = F.sum(F.col("n_et") * (F.col("n_et") - 1)) / F.sum("n_et")
+    repeat = beside.groupBy(F.col("entity").alias("r")).agg(shared.alias("shared"))
+    varied = n_e.join(repeat, F.col("e") == F.col("r")).filter(F.col("shared") <= max_repeat * (F.col("n_e") - 1)).select("e", "n_e")
+    pairs = (
+        beside.filter((F.col("n_et") >= min_contexts) & (F.length("term") >= 3) & ~F.col("term").rlike("^[0-9]+$"))
+        .join(varied, F.col("entity") == F.col("e"))
     )
     # one window per 2 * REACH words of the corpus
     windows = found.agg((F.greatest(F.sum("n_words"), F.lit(1)) / F.lit(2.0 * REACH)).alias("m"))

@@ -67,6 +67,9 @@ def corpus():
     texts = [f"{some(30)} Zephyrine common secret@person.example.org {some(30)}" for _ in range(6)]
     texts += [f"common {some(60)} common" for _ in range(300)]
     texts += [f"{some(20)} copyword other@place.example.org {some(3)}"] * 20
+    edited = some(24).split()  # edited copies of one text
+    for k in range(12, 24):
+        texts.append(" ".join([*edited[:14], "copied@place.example.org", *edited[14:k], "changed%d" % k, *edited[k + 1 :]]))
     texts += [f"zephyrine alone {some(10)}", f"no word near secret@person.example.org {some(40)} ZEPHYRINE"]
     return texts
 
