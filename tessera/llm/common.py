@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
+from tessera.operators.staging import materialise
 
 # A word is a maximal run of characters other than ASCII white space
 # (space and U+0009 to U+000D).
@@ -32,10 +30,7 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the session's shared checkpoint folder and read
     it back: lineage is cut and a lost executor re-reads files."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tessera-llm/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, f"llm-{name}")
 
 
 def labelled_sample(
@@ -46,6 +41,10 @@ def labelled_sample(
     Rows of the held-out fold and rows without a label never enter. The choice
     is by a hash of the id, so it does not depend on order or on other rows;
     an id labelled several times counts once, with its highest label.
+
+    The chosen ids (at most ``max_rows``) are broadcast, so no text is
+    shuffled, and the sample is staged once as its readers pass over it
+    several times.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -56,7 +55,8 @@ def labelled_sample(
         .orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), "doc_id")
         .limit(max_rows)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return staged(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
 
 
 # --- words of a batch of texts as 64-bit hashes, without a loop over words ---

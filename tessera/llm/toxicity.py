@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import labelled_sample
+from tessera.llm.common import labelled_sample, staged
 
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = {
@@ -278,7 +278,7 @@ def learn(
                     )
 
     contexts_of = F.least(F.col("docs"), F.col("contexts")).cast("double")
-    seen = (
+    seen = staged(
         sample.mapInArrow(contexts, "word string, context string, doc boolean, label int")
         .groupBy("word", "label", F.xxhash64("context").alias("context"))
         .agg(F.sum(F.col("doc").cast("int")).alias("docs"))
@@ -288,7 +288,8 @@ def learn(
         .agg(
             F.sum(F.when(F.col("label") == 1, contexts_of).otherwise(0.0)).alias("p"),
             F.sum(F.when(F.col("label") == 1, 0.0).otherwise(contexts_of)).alias("n"),
-        )
+        ),
+        "words",
     )
     begins = F.transform(
         F.sequence(F.lit(min_stem), F.greatest(F.least(F.length("word"), F.lit(max_stem)), F.lit(min_stem))),
@@ -299,15 +300,11 @@ def learn(
     counted = (
         seen.select(F.explode(forms).alias("term"), "p", "n").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     )
-    counted = counted.persist()  # read twice; small next to the texts, rebuilt if lost
-    pos, neg, tried = (
-        counted.filter(F.col("term").endswith(" "))
-        .agg(F.coalesce(F.sum("p"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0)), F.count(F.lit(1)))
-        .first()
-    )
+    pos, neg, tried = seen.agg(
+        F.coalesce(F.sum("p"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0)), F.count(F.lit(1))
+    ).first()
     if not pos or not neg:
         share = sample.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
-        counted.unpersist()
         return Lexicon(prior=float(share))
     chance = 2.0 * np.log(tried + 1.0) + 4.0
     strong = (
@@ -317,7 +314,6 @@ def learn(
         .limit(max_terms)
         .collect()
     )
-    counted.unpersist()
     roots = [r.term for r in strong if _weight(r.p, r.n, pos, neg) >= min_weight]
     stems = [t for t in roots if not t.endswith(" ")]
     below = F.lit(False)
@@ -331,8 +327,8 @@ def learn(
         if stems
         else []
     )
-    counted.unpersist()
-    counts = {r.term: (r.p, r.n) for r in [*family, *(r for r in strong if r.term in set(roots))]}
+    chosen = set(roots)
+    counts = {r.term: (r.p, r.n) for r in family} | {r.term: (r.p, r.n) for r in strong if r.term in chosen}
     lexicon = Lexicon(_weights(counts, pos, neg, min_weight))
     lexicon.exceptions = _exceptions(_hit_contexts(sample, lexicon), lexicon)
     return _calibrated(sample, lexicon)
