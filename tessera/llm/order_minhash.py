@@ -248,7 +248,8 @@ def _word_sequences(rows: DataFrame, needed: DataFrame) -> DataFrame:
                 )
                 done += len(n)
 
-    texts = rows.select("tid", "text").join(needed, "tid", "left_semi").dropDuplicates(["tid"])
+    # by shuffle at every size: the needed ids grow with the corpus
+    texts = rows.select("tid", "text").join(needed.hint("merge"), "tid", "left_semi").dropDuplicates(["tid"])
     return texts.mapInArrow(run, "tid long, words binary")
 
 
