@@ -122,7 +122,7 @@ class Buffer:
         return self.hashes(self.word_first, self.word_last)
 
 
-def slices(texts: list[str | None], chunk_bytes: int = 1 << 20):
+def slices(texts: list[str | None], chunk_bytes: int = 1 << 18):
     """Consecutive ranges (begin, end) of ``texts`` of about ``chunk_bytes``."""
     begin = size = 0
     for i, t in enumerate(texts):
