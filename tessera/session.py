@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -58,6 +60,24 @@ def build_session(
 def apply_defaults(spark: SparkSession) -> None:
     for key, value in SQL_DEFAULTS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once per application),
+    wherever they were started from."""
+    root, app = Path(__file__).parent, spark.sparkContext.applicationId
+    if app in _SHIPPED or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tessera-py-")) / "tessera-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
