@@ -16,8 +16,11 @@ after each, a candidate is abandoned if, were its inner product as large as
 the query's current k-th best, a partial product this small would be ``Z``
 standard deviations away. A bounded set of vectors (the fitting sample) gives
 each query its first k-th best, so that scans prune from the start and emit
-few rows. What survives is scored exactly on the original vectors, in double
-precision, and the k best of all groups are the result.
+few rows: the threshold is the 2k-th best of those in the query's probed
+lists, so that at least k of them are found there even if some are abandoned.
+What survives is scored exactly on the original vectors, in double precision,
+and the k best of all groups are the result. A query probes further lists
+while those it has hold fewer than k others.
 
 Defined results: null or zero vectors, vectors holding null or non-finite
 components, and vectors that have not the most common number of dimensions
@@ -199,32 +202,44 @@ def search(
     asked = usable(queries, vec_id, embedding).filter(F.size("v") == index.rotation.shape[0])
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
 
+    # one number per list; there are at most max_lists
+    vectors_of = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+
     def probe_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
+        size = np.array([vectors_of.get(i, 0) for i in range(lists)])
         widest = np.linalg.norm(known.sample, axis=1).max()
+        filed_sample = nearest(known.sample @ known.rotation, known.centroids)[:, 0]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 q, ids = _matrix(batch.column(1)), np.asarray(batch.column(0))
-                met = q @ known.sample.T
+                near = nearest(q @ known.rotation, known.centroids, lists).reshape(len(q), lists)
+                held = np.cumsum(size[near], axis=1)
+                enough = 1 + (held < k + 1).sum(axis=1)
+                depth = np.minimum(np.maximum(probes, enough), lists)
+                probed = np.zeros((len(q), lists), bool)
+                np.put_along_axis(probed, near, np.arange(lists)[None, :] < depth[:, None], axis=1)
+                met = np.where(probed[:, filed_sample], q @ known.sample.T, -np.inf)
                 met[ids[:, None] == known.ids[None, :]] = -np.inf
-                if met.shape[1] >= k:
-                    first = np.partition(met, met.shape[1] - k, axis=1)[:, met.shape[1] - k]
+                if met.shape[1] >= 2 * k:
+                    first = np.partition(met, met.shape[1] - 2 * k, axis=1)[:, met.shape[1] - 2 * k]
                     # room for another order of summation
                     first = first - 1e-9 * np.linalg.norm(q, axis=1) * widest
                 else:
                     first = np.full(len(q), -np.inf)
-                near = nearest(q @ known.rotation, known.centroids, probes)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(first), pa.array(list(near), pa.list_(pa.int64()))],
+                    [
+                        *batch.columns,
+                        pa.array(first),
+                        pa.array([n[:d] for n, d in zip(near, depth)], pa.list_(pa.int64())),
+                    ],
                     names=["query_id", "q", "tau", "lists"],
                 )
 
     probing = staged(
         asked.mapInArrow(probe_lists, "query_id long, q array<double>, tau double, lists array<long>"), "ann-queries"
     )
-    # one number per list; there are at most max_lists
-    vectors_of = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     queries_of = {
         r["list"]: r["n"]
         for r in probing.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()

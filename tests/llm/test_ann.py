@@ -58,3 +58,12 @@ def test_ties_bad_vectors_and_few_candidates(spark, monkeypatch):
         assert [j for j, _ in got[i]] == [j for j in range(100) if j != i][:20]
     assert len(run(spark, rows[:4])[0]) == 3
     assert run(spark, bad) == {} and run(spark, []) == {}
+
+
+def test_every_query_finds_k_in_uneven_lists(spark):
+    """A vector that holds most rows leaves little in the other lists."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16))
+    x[100:] = x[100]
+    got = run(spark, list(enumerate(x.tolist())), max_fit=200)
+    assert got.keys() == set(range(0, 400, 20)) and all(len(v) == 20 for v in got.values())
