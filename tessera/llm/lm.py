@@ -163,21 +163,14 @@ def score(
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
-        counts = [np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()]
+        counts = [_unpacked(x) for x in table["counts"].to_pylist()]
         every = np.concatenate(keys)
         distinct, inverse = np.unique(every, return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts)).astype("<u8")
         ends = np.cumsum([len(k) for k in keys])
-        # in four bytes where they hold the count, else (rare) in eight
-        wide = "<u4" if not len(total) or total.max() < 2**32 else "<u8"
-        back = [total[inverse[e - len(k) : e]].astype(wide).tobytes() for k, e in zip(keys, ends)]
+        back = [_packed(total[inverse[e - len(k) : e]]) for k, e in zip(keys, ends)]
         return pa.table(
-            {
-                "chunk": table["chunk"],
-                "bucket": table["bucket"],
-                "wide": pa.array([wide == "<u8"] * len(back)),
-                "totals": pa.array(back, pa.binary()),
-            }
+            {"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array(back, pa.binary())}
         )
 
     def walk(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -185,10 +178,8 @@ def score(
         if not texts:
             return pa.table({c: pa.array([], t) for c, t in _OUT.items()})
         keys, _ = _asked(texts, np.zeros(len(texts)), order)
-        came = sorted(
-            zip(right["bucket"].to_pylist(), right["wide"].to_pylist(), right["totals"].to_pylist()), key=lambda x: x[0]
-        )
-        count = np.concatenate([np.frombuffer(x, "<u8" if w else "<u4").astype(np.uint64) for _, w, x in came])
+        came = sorted(zip(right["bucket"].to_pylist(), right["totals"].to_pylist()), key=lambda x: x[0])
+        count = np.concatenate([_unpacked(x) for _, x in came])
         n, known, base, model = _walk(texts, keys, count, order, keep, z)
         return pa.table(
             {
@@ -202,7 +193,7 @@ def score(
         )
 
     asked = chunked.groupBy("chunk").applyInArrow(ask, _MESSAGE)
-    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, wide boolean, totals binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary")
     scored = (
         chunked.groupBy("chunk")
         .cogroup(answered.groupBy("chunk"))
@@ -230,6 +221,17 @@ _OUT = {
 }
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in eight bytes each, compressed: nearly all are small."""
+    raw = counts.astype("<u8").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], size, codec="zstd", asbytes=True), "<u8")
+
+
 def _messages(chunk: int, keys: np.ndarray, count: np.ndarray, ranges: int) -> pa.Table:
     """A chunk's sorted keys cut at the bounds of the hash ranges."""
     bounds = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=np.uint64)
@@ -240,7 +242,7 @@ def _messages(chunk: int, keys: np.ndarray, count: np.ndarray, ranges: int) -> p
             "chunk": pa.array([chunk] * len(used), pa.int64()),
             "bucket": pa.array(used, pa.int64()),
             "keys": pa.array([keys[cuts[r] : cuts[r + 1]].astype("<u8").tobytes() for r in used], pa.binary()),
-            "counts": pa.array([count[cuts[r] : cuts[r + 1]].astype("<u4").tobytes() for r in used], pa.binary()),
+            "counts": pa.array([_packed(count[cuts[r] : cuts[r + 1]]) for r in used], pa.binary()),
         }
     )
 
