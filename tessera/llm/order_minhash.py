@@ -14,12 +14,20 @@ similarity = matched / (shingles of both - matched), which equals the Jaccard
 similarity of the labelled shingles when the order agrees. A pair links at
 0.8 or more, and documents are classed by the connected components.
 
-No bucket is expanded into pairs. Its members are compared with one hub, the
-most central member: the one whose buckets hold the most members in all, as
-the original of many edited copies does. In the next rounds the next most
-central members are hubs for the pairs of which at least one has no match in
-that bucket yet. A pair has eight common buckets on average, each with other
-company, so up to ``8 * ROUNDS`` hubs can join it directly or by a chain.
+Members of a bucket are compared with hubs until nothing is left to compare.
+The first hub is the most central member: the one whose buckets hold the most
+members in all, as the original of many edited copies does. Then components
+are formed from all links so far, a hub leaves its bucket after its turn, and
+a bucket whose members are all in one component is closed. Buckets still open
+get ``GROWTH`` times as many hubs a turn, chosen by hash, and hubs meet only
+members of other components. When no bucket is open, every pair that shares a
+bucket was compared, is in one class already, or differs too much in length to
+be similar. There is no cap on turns or comparisons: a bucket of n texts none
+of which are similar costs up to n * n of them, one of copies about n. After
+the first turn a pair is verified only if its profiles (shingles in each of
+``CELLS`` ranges of hashes) allow the similarity: their distance is at most
+the number of unmatched shingles, so no similar pair is lost. Profiles are
+compared in blocks of ``BLOCK`` by ``BLOCK`` texts; only survivors become rows.
 
 Equal texts are one text (a 64-bit hash tells texts apart) and share a class
 without comparison. Rows per bucket and per class are counted map-side; joins
@@ -35,6 +43,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +56,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 PICKS = 5
 SKETCHES = 24
-ROUNDS = 3
+GROWTH = 16  # of the number of hubs, from turn to turn
+CELLS = 256
+BLOCK = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -208,7 +219,7 @@ def _text_id(df: DataFrame) -> DataFrame:
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """(tid, buckets) of all texts with a word, staged."""
+    """(tid, n, buckets) of all texts with a word, n shingles each, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,17 +232,22 @@ def _sketched(rows: DataFrame) -> DataFrame:
                 flat = pa.array(out[some].reshape(-1))
                 offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * out.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [tids.slice(done, len(n)).take(pa.array(some)), pa.ListArray.from_arrays(offsets, flat)],
-                    names=["tid", "buckets"],
+                    [
+                        tids.slice(done, len(n)).take(pa.array(some)),
+                        pa.array(m[some].astype(np.int32)),
+                        pa.ListArray.from_arrays(offsets, flat),
+                    ],
+                    names=["tid", "n", "buckets"],
                 )
                 done += len(n)
 
     texts = rows.filter(F.col("tid").isNotNull()).select("tid", "text")
-    return staged(texts.mapInArrow(run, "tid long, buckets array<long>").dropDuplicates(["tid"]), "omh-sketches")
+    return staged(texts.mapInArrow(run, "tid long, n int, buckets array<long>").dropDuplicates(["tid"]), "omh-sketches")
 
 
 def _word_sequences(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """(tid, words): word hashes of the texts to compare, four bytes each."""
+    """(tid, words, profile) of the texts to compare: word hashes, four bytes
+    each, and the number of labelled shingles by cell, one byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,18 +255,22 @@ def _word_sequences(rows: DataFrame, needed: DataFrame) -> DataFrame:
             for words, n in _word_rows(batch.column(1).to_pylist()):
                 low = words.astype("<u4")
                 ends = np.cumsum(n)
+                sh, m = shingles(low.astype(np.uint64), n)
+                cell = np.repeat(np.arange(len(n)), m) * CELLS + (labelled(sh, m) % np.uint64(CELLS)).astype(np.int64)
+                profile = np.bincount(cell, minlength=len(n) * CELLS).clip(max=255).astype(np.uint8).reshape(-1, CELLS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(done, len(n)),
                         pa.array([low[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary()),
+                        pa.array([x.tobytes() for x in profile], pa.binary()),
                     ],
-                    names=["tid", "words"],
+                    names=["tid", "words", "profile"],
                 )
                 done += len(n)
 
     # by shuffle at every size: the needed ids grow with the corpus
     texts = rows.select("tid", "text").join(needed.hint("merge"), "tid", "left_semi").dropDuplicates(["tid"])
-    return texts.mapInArrow(run, "tid long, words binary")
+    return texts.mapInArrow(run, "tid long, words binary, profile binary")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -275,51 +295,103 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def links(rows: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b, similarity), a < b, between different texts;
-    ``rows`` has tid and text."""
-    every = _sketched(rows).select("tid", F.explode("buckets").alias("bucket"))
+def _with_top(met: DataFrame, least: float) -> DataFrame:
+    """(a, b): each member with its bucket's hub, if their lengths allow it."""
+    hubs = met.filter("hub").select("bucket", F.col("tid").alias("h"), F.col("n").alias("h_n"))
+    alike = (F.col("tid") != F.col("h")) & (F.least("n", "h_n") >= F.lit(least) * F.greatest("n", "h_n"))
+    return met.join(hubs, "bucket").filter(alike).select(F.least("h", "tid").alias("a"), F.greatest("h", "tid").alias("b"))
+
+
+def _possible(met: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(a, b): members with hubs of their bucket that are of another component
+    and whose profiles allow the similarity."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = (
+        met.join(words.select("tid", "profile"), "tid")
+        .withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("tid"), blocks).cast("int")})
+        .select("bucket", "blocks", "block", "hub", F.struct("tid", "n", "root", "profile").alias("one"))
+    )
+    placed = staged(placed, "omh-placed")
+    # bounded: BLOCK members of a bucket on average
+    left = placed.groupBy("bucket", "block").agg(F.collect_list("one").alias("members"))
+    # every block of hubs goes to every block of members: no bucket is one task
+    right = (
+        placed.filter("hub")
+        .groupBy("bucket", F.col("block").alias("h_block"))
+        .agg(F.first("blocks").alias("blocks"), F.collect_list("one").alias("hubs"))
+        .select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "hubs")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(x: pa.ListScalar) -> list[np.ndarray]:
+            v = x.values
+            flat = np.frombuffer(b"".join(v.field("profile").to_pylist()), np.uint8).reshape(-1, CELLS)
+            return [np.asarray(v.field(c)) for c in ("tid", "n", "root")] + [flat.astype(np.int16)]
+
+        for batch in batches:
+            for members, hubs in zip(batch.column(0), batch.column(1)):
+                tid, n, root, profile = columns(members)
+                out = []
+                for h, h_n, h_root, h_profile in zip(*columns(hubs)):
+                    at = np.flatnonzero((root != h_root) & (np.minimum(n, h_n) >= least * np.maximum(n, h_n)))
+                    apart = np.abs(profile[at] - h_profile).sum(axis=1, dtype=np.int64)
+                    near = tid[at[apart <= (n[at] + int(h_n)) * (1 - least) / (1 + least) + 1e-6]]
+                    out.append(np.stack([np.minimum(near, h), np.maximum(near, h)]))
+                a, b = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return left.join(right, ["bucket", "block"]).select("members", "hubs").mapInArrow(run, "a long, b long")
+
+
+def links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b, similarity), a < b, between different texts, that
+    join all candidates of similarity ``least`` or more; ``rows`` has tid and
+    text."""
+    every = _sketched(rows).select("tid", "n", F.explode("buckets").alias("bucket"))
     sizes = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = staged(every.join(sizes, "bucket"), "omh-shared")
     central = shared.groupBy("tid").agg(F.sum("size").alias("central"))
     members = staged(
-        shared.join(central, "tid").select("bucket", "tid", "central", F.lit(False).alias("matched")), "omh-members"
+        shared.join(central, "tid").select("bucket", "tid", "n", "central", F.col("tid").alias("root")), "omh-members"
     )
-    parts = []
-    for turn in range(rounds):
-        hubs = (
+    words = staged(_word_sequences(rows, members.select("tid").distinct()), "omh-words")
+    parts, tried, turn, more = [], None, 0, 0
+    while True:
+        untried = (
             members.groupBy("bucket")
-            .agg(F.max(F.struct("central", "tid", "matched")).alias("hub"), F.min("matched").alias("all"), F.count(F.lit(1)).alias("n"))
-            .filter(~F.col("all") & (F.col("n") > 1))
-            .select("bucket", F.col("hub.tid").alias("hub"), F.col("hub.matched").alias("hub_matched"))
+            .agg(
+                F.max(F.struct("central", "tid")).alias("top"),
+                F.count(F.lit(1)).alias("size"),
+                F.min("root").alias("low"),
+                F.max("root").alias("high"),
+            )
+            .filter("low < high")
+            .select("bucket", F.col("top.tid").alias("top"), "size")
         )
-        met = staged(members.join(hubs, "bucket").filter("hub != tid"), f"omh-met-{turn}")
-        asked = met.filter(~(F.col("matched") & F.col("hub_matched"))).select(
-            F.least("hub", "tid").alias("a"), F.greatest("hub", "tid").alias("b")
+        drawn = F.pmod(F.xxhash64("bucket", "tid"), F.lit(1 << 20)) * F.col("size") < F.lit(more << 20)
+        met = staged(
+            members.join(untried, "bucket").select(
+                "bucket", "tid", "n", "central", "root", "size", ((F.col("tid") == F.col("top")) | drawn).alias("hub")
+            ),
+            f"omh-met-{turn}",
         )
-        pairs = asked.distinct()
+        if not met.take(1):
+            break
+        pairs = (_possible(met, words, least) if turn else _with_top(met, least)).distinct()
         if parts:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, f"omh-pairs-{turn}")
-        tried = pairs if not parts else tried.unionByName(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-        words = staged(_word_sequences(rows, needed), f"omh-words-{turn}")
-        parts.append(staged(_verified(pairs, words, least), f"omh-links-{turn}"))
-        if turn + 1 == rounds:
-            break
-        found = parts[0].select("a", "b")
-        for p in parts[1:]:
-            found = found.unionByName(p.select("a", "b"))
-        now = (
-            met.withColumns({"a": F.least("hub", "tid"), "b": F.greatest("hub", "tid")})
-            .join(found.withColumn("new", F.lit(True)), ["a", "b"], "left")
-            .select("bucket", "tid", "central", (F.col("matched") | F.coalesce("new", F.lit(False))).alias("matched"))
-        )
-        members = staged(now, f"omh-members-{turn}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        part = staged(_verified(pairs, words, least), f"omh-links-{turn}")
+        parts.append(part)
+        rest = met.filter("not hub").drop("hub", "size")
+        if part.take(1):
+            roots = components(reduce(DataFrame.unionByName, parts)).withColumnRenamed("root", "now")
+            rest = rest.join(roots, "tid", "left").withColumn("root", F.coalesce("now", "root"))
+        members = staged(rest.select("bucket", "tid", "n", "central", "root"), f"omh-members-{turn}")
+        turn, more = turn + 1, max(1, more) * GROWTH
+    none = rows.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def components(edges: DataFrame, max_steps: int = 50) -> DataFrame:
@@ -350,12 +422,12 @@ def components(edges: DataFrame, max_steps: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, tid, class_id (smallest id of the class),
     class_size, n_links (verified links of its text to other texts), is_first
     (the row, or repeats of the row, that stands for the class)."""
     rows = _text_id(docs.select("doc_id", "text"))
-    found = staged(links(rows, least, rounds), "omh-links")
+    found = staged(links(rows, least), "omh-links")
     roots = components(found)
     degree = (
         found.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("n_links"))
@@ -384,10 +456,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) ->
     )
 
 
-def keep_one(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` without near copies: of each class the row of its smallest id
     stays, once; rows with a null text all stay."""
-    named = classes(docs, least, rounds)
+    named = classes(docs, least)
     kept = named.filter(F.col("tid").isNotNull() & F.col("is_first")).select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__omh_id"), F.col("tid").alias("__omh_tid")
     )

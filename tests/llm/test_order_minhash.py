@@ -135,6 +135,37 @@ def test_a_large_group_of_copies_and_a_shared_passage(spark):
     assert all(r.class_id == r.doc_id for r in got if r.doc_id >= 250)
 
 
+@pytest.mark.parametrize("changes", [4, 5])
+def test_a_large_group_without_a_center(spark, changes):
+    """Copies that lost their original: most pairs are below 0.8, the links
+    run through many texts, and no few hubs see them all."""
+    rng = random.Random(changes)
+    base = [f"v{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for i in range(300):
+        words = base.copy()
+        for k in rng.sample(range(300), changes):
+            words[k] = f"new{i}x{k}"
+        texts.append(" ".join(words))
+    hashes = [word_hashes(t) for t in texts]
+    sketch = [set(om.sketches(*om.shingles(h.astype(np.uint64), np.array([300])))[0].tolist()) for h in [hash_words([t])[0] for t in texts]]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sketch[i] & sketch[j] and root(i) != root(j) and om.similarity(hashes[i], hashes[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in om.classes(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
 def test_empty_tables_null_ids_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert om.classes(spark.createDataFrame([], schema)).count() == 0
