@@ -6,7 +6,10 @@ occurrence number, so repeats count. Each of ``SKETCHES`` hash functions picks
 the ``PICKS`` smallest labelled shingles and keeps them in text order; the
 hash of that short sequence is a bucket. Two texts of similarity 0.8 share a
 bucket of one function with probability about 0.8 ** PICKS = 0.33, and miss
-all 24 with probability 7e-5; texts that share a passage but little else, or
+all 24 with probability 7e-5 (3e-4 at 16 shingles, where picks are drawn from
+few). Texts of at most ``SHORT`` shingles have exact keys too: the sequence
+itself and what is left of it without as many shingles as a similar text may
+lack, so no similar pair with a text of 15 shingles or fewer is missed. Texts that share a passage but little else, or
 the same shingles in another order, hardly ever meet.
 
 Candidates are verified by aligning the two shingle sequences in order:
@@ -44,6 +47,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +61,7 @@ SIMILARITY = 0.8
 PICKS = 5
 SKETCHES = 24
 GROWTH = 16  # of the number of hubs, from turn to turn
+SHORT = 18  # no text of 15 shingles or fewer is similar to one of more than 18
 CELLS = 256
 BLOCK = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -141,6 +146,29 @@ def sketches(sh: np.ndarray, m: np.ndarray, picks: int = PICKS, functions: int =
     return out
 
 
+def short_keys(sh: np.ndarray, words: np.ndarray) -> list[int]:
+    """Hashes of all sequences that a similar text can share with this one of
+    at most ``SHORT`` shingles, itself included.
+
+    Similarity 0.8 leaves at most a fifth of a text's shingles unmatched.
+    Overlapping shingles can be unmatched in the middle, with matches on both
+    sides, only where a word comes again within three words; other texts lose
+    shingles at their ends only."""
+    m = len(sh)
+    most = int(m * (1 - SIMILARITY) + 1e-9)
+    if any((words[d:] == words[:-d]).any() for d in (1, 2, 3) if len(words) > d):
+        left = {tuple(c) for k in range(most + 1) for c in combinations(sh.tolist(), m - k)}
+    else:
+        left = {tuple(sh[i : m - j].tolist()) for i in range(most + 1) for j in range(most + 1 - i)}
+    out = []
+    for kept in left:
+        h = len(kept)
+        for x in kept:
+            h = (h * int(_OTHER) + x) % 2**64
+        out.append(h)
+    return mix64(np.array(out, np.uint64)).tolist()
+
+
 def _word_rows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, j in slices(texts):
         buf = Buffer(texts[i:j], lower=True)
@@ -229,8 +257,14 @@ def _sketched(rows: DataFrame) -> DataFrame:
                 sh, m = shingles(words, n)
                 out = sketches(sh, m).view(np.int64)
                 some = np.flatnonzero(m > 0)
-                flat = pa.array(out[some].reshape(-1))
-                offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * out.shape[1])
+                keys = list(out[some])
+                at, end = np.cumsum(m) - m, np.cumsum(n)
+                for i in np.flatnonzero(m[some] <= SHORT):
+                    d = some[i]
+                    short = short_keys(sh[at[d] : at[d] + m[d]], words[end[d] - n[d] : end[d]])
+                    keys[i] = np.unique(np.concatenate([keys[i], np.array(short, np.uint64).view(np.int64)]))
+                flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+                offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         tids.slice(done, len(n)).take(pa.array(some)),
