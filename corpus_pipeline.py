@@ -19,11 +19,11 @@ from tessera.session import apply_defaults
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; a document without text
-    has no hit and stays."""
+    """Documents whose toxicity score is below 0.3, from which op3 calls them
+    toxic; a document without text has no hit and stays."""
     apply_defaults(spark)
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), "toxic", folds=4, held_out=2)
-    return toxicity.without_toxic(docs, lexicon, 0.5)
+    return toxicity.without_toxic(docs, lexicon, 0.3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

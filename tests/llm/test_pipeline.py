@@ -92,3 +92,12 @@ def test_run_and_empty_documents(spark, tables, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_the_toxicity_stage_rejects_what_op3_calls_toxic(spark, tables, monkeypatch):
+    """A document with a hit scores 0.40 here, one without 0.05."""
+    lexicon = corpus_pipeline.toxicity.Lexicon({" vileword ": 1.0}, (), (-3.0, 3.75, 0.0))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learn", lambda *args, **more: lexicon)
+    docs = spark.createDataFrame([(1, "one vileword here"), (2, "none here"), (3, None)], "doc_id long, text string")
+    assert 0.3 <= corpus_pipeline.toxicity.score_texts(docs, lexicon).filter("doc_id = 1").first().score < 0.5
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, tables[0]).collect()) == [2, 3]
