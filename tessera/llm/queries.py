@@ -7,8 +7,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, lm, mixing, order_minhash, pii, quality, rules, toxicity, urlfilter
-from tessera.llm.common import fold_of, read
+from tessera.llm import ann, bpe, lloyd, lm, mixing, order_minhash, pii, quality, rules, simhash, toxicity, urlfilter
+from tessera.llm.common import fold_of, read, staged
 
 # Place of the tokenizer vocabularies (never copied into the repository).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -100,9 +100,70 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(base, base.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lloyd.cluster(read(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dims=64, scale=256, salt="2:")
+    if found is None:
+        return spark.createDataFrame(
+            [], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
+        )
+    rows = staged(found.rows(), "clusters")
+    # at most 40 rows
+    sums = {r.cluster: r.total for r in rows.groupBy("cluster").agg(F.sum("distance").alias("total")).collect()}
+    named = spark.createDataFrame(
+        [(c, t, found.digest(c)) for c, t in sums.items()], "cluster int, cluster_inertia long, centroid_sha256 string"
+    )
+    return rows.join(F.broadcast(named), "cluster").select(
+        "vec_id",
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        F.lit(sum(sums.values())).cast("long").alias("inertia"),
+        "centroid_sha256",
+    )
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+
+
+def _clusters_sql(clusters: int, rounds: int, dims: int, scale: int) -> str:
+    """The rounds of op12 written one after the other."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {dims})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x FROM kept
+  ORDER BY 1 LIMIT {clusters})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT k.r, k.vec_id, k.x, c.c, list_sum(list_transform(list_zip(k.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+    FROM kept k, c{i} c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT old.c, coalesce(new.x, old.x) AS x FROM c{i} old LEFT JOIN (
+    SELECT c, list(CAST(floor(total / n) AS BIGINT) ORDER BY dim) AS x FROM (
+      SELECT c, dim, sum(v) AS total, count(*) AS n
+      FROM (SELECT c, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM a{i}) GROUP BY c, dim) GROUP BY c) new
+  ON old.c = new.c)""")
+    return f"""WITH {", ".join(parts)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
+
+
 QUERIES = {name: fn for name, fn in vars(sys.modules[__name__]).items() if name.startswith("op")}
 
 ORACLE_SQL = {
+    "op12_centroid_clusters": _clusters_sql(clusters=40, rounds=5, dims=64, scale=256),
     "op2_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k,
