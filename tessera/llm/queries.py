@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, lloyd, lm, mixing, order_minhash, pii, quality, rules, simhash, toxicity, urlfilter
+from tessera.llm import ann, bpe, lloyd, lm, mixing, order_minhash, pii, quality, repair, rules, simhash, toxicity, urlfilter
 from tessera.llm.common import fold_of, read, staged
 
 # Place of the tokenizer vocabularies (never copied into the repository).
@@ -100,6 +100,35 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(base, base.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """The damage of op11's contract; nulls are one space."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    dealt = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("d"))
+    copies = F.when(F.col("d") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    text = F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("d") == 4, "user").otherwise(F.col("role"))
+    return (
+        dealt.filter("d != 0")
+        .select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+        .drop("copy")
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = repair.summary(repair.edits(_damaged(rows))).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lloyd.cluster(read(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dims=64, scale=256, salt="2:")
     if found is None:
