@@ -6,7 +6,8 @@ Aho-Corasick automaton that holds the lexicon and its exception phrases. Of
 the terms that begin at one word the longest decides, and a hit inside an
 exception phrase does not count. A word without a hit that has accents,
 look-alike letters of other scripts, full-width letters, invisible characters,
-digits or signs in it is folded to plain letters and searched again. The
+digits, signs or separators in it, or that was spelled out with some, is folded
+to plain letters and searched again. The
 weights of the hits are normalised by the number of words and turned into a
 probability by a small logistic fit.
 
@@ -16,14 +17,24 @@ from labelled rows: at most ``max_rows`` of them, chosen by a hash of the id
 words and beginnings of words, which catches inflected forms that were never
 seen. Their support is counted in different contexts (neighbouring words), so
 that copies of one text count once. A term enters if its log-likelihood ratio
-beats what the best of that many candidates would reach by chance; words that
+beats what the best of that many candidates would reach by chance. A word that
+also stands in harmless phrases (with one word before or after) is judged
+without them: a phrase found in label-0 rows only, in so many contexts that the
+word's other uses would hardly all have missed label 1, becomes an exception
+and leaves the word's counts before the weight is looked at. Words that
 begin with a term and have support of their own are listed with their own
 weight (0 for harmless ones), and the term speaks for the rest.
 
 Defined results: null and empty texts have no hit and get the score of a text
 without hits; without labelled rows of both classes the lexicon is empty and
 every score is the share of label 1 (0 without labels); repeated rows score
-alike; extra columns pass through and those named like an output are replaced.
+alike; extra columns pass through and those named like an output are replaced;
+an empty table gives an empty result; of terms that begin at one place the
+longest decides, so there is no tie; a very long text is searched whole.
+Bounds of the fit, none of which touches the texts that are scored:
+``max_rows`` labelled rows, words of 3 to 40 characters as candidates,
+``max_terms`` terms (the strongest first), 20 times as many words that begin
+with one, and ``max_phrases`` exceptions.
 """
 
 from __future__ import annotations
@@ -73,6 +84,9 @@ _SPACED = re.compile(r"(?<= )[^\W_](?: [^\W_]){3,}(?= )")
 _SIGNS = re.compile(r"[\W_]+")
 
 
+_SEPARATORS = re.compile(r"(?<=\w)[.\-_*·](?=\w)")
+
+
 def _fold_word(word: str) -> str:
     low = word.lower()
     if low.isalpha():
@@ -88,9 +102,11 @@ def plain_forms(word: str) -> list[str]:
     if low.isascii() and low.isalpha():
         return []
     low = low.translate(_FOLD)
-    made = [low.translate(t).strip("#*%&+-=~^_ ") for t in (_SIGN_I, _SIGN_L)]
-    bare = [low.rstrip("!|$@#*%&").translate(t) for t in (_SIGN_I, _SIGN_L)]
-    return [w for w in dict.fromkeys(made + bare) if w.isascii() and w.isalpha()]
+    made = []
+    for form in dict.fromkeys((low, _SEPARATORS.sub("", low))):
+        made += [form.translate(t).strip("#*%&+-=~^_ ") for t in (_SIGN_I, _SIGN_L)]
+        made += [form.rstrip("!|$@#*%&").translate(t) for t in (_SIGN_I, _SIGN_L)]
+    return [w for w in dict.fromkeys(made) if w.isascii() and w.isalpha()]
 
 
 class _Folded(dict):
@@ -108,14 +124,22 @@ class _Folded(dict):
 _FOLDED = _Folded()
 
 
-def fold(text: str | None) -> str:
-    """Folded words, each between single spaces: `` one two ``."""
+def fold(text: str | None, spelled: list[str] | None = None) -> str:
+    """Folded words, each between single spaces: `` one two ``. ``spelled``
+    gets the words that were spelled out and are not plain letters."""
     if not text:
         return " "
     known = _FOLDED
     joined = " ".join(["", *filter(None, [known[w] for w in text.split()]), ""])
     joined = joined if len(joined) > 1 else " "
-    return _SPACED.sub(lambda m: m[0].replace(" ", ""), joined)
+
+    def whole(m: re.Match) -> str:
+        word = m[0].replace(" ", "")
+        if spelled is not None and not (word.isascii() and word.isalpha()):
+            spelled.append(word)
+        return word
+
+    return _SPACED.sub(whole, joined)
 
 
 @dataclass
@@ -176,13 +200,14 @@ class Matcher:
 
     def features(self, text: str | None) -> tuple[float, int, list[str]]:
         """Total weight of the hits, number of words, and the matched words."""
-        folded = fold(text)
+        spelled: list[str] = []
+        folded = fold(text, spelled)
         got = hits(folded, self.machine)
         weight = sum(w for _, _, w in got)
         words = [folded[s + 1 : folded.index(" ", s + 1)] for s, _, _ in got]
         if len(self.machine):
             known = self.disguised
-            for word in (text or "").split():
+            for word in (text or "").split() + spelled:
                 if word.isascii() and word.isalpha():
                     continue
                 if (w := known.get(word)) is None:
@@ -251,6 +276,7 @@ def learn(
     min_stem: int = 4,
     max_stem: int = 12,
     min_weight: float = 2.0,
+    max_phrases: int = 1_000,
 ) -> Lexicon:
     """Lexicon from the labelled rows outside the held-out fold."""
     sample = labelled_sample(docs, labels, label, folds, held_out, max_rows).select("text", "label")
@@ -315,6 +341,11 @@ def learn(
         .collect()
     )
     roots = [r.term for r in strong if _weight(r.p, r.n, pos, neg) >= min_weight]
+    # whole words that are toxic too often by chance, though not by their weight
+    torn = {r.term: (r.p, r.n) for r in strong if r.term.endswith(" ") and r.term not in set(roots) and r.p > 0}
+    torn = _without_phrases(sample, torn, max_phrases)
+    torn = {t: c for t, c in torn.items() if _weight(*c, pos, neg) >= min_weight}
+    roots += torn
     stems = [t for t in roots if not t.endswith(" ")]
     below = F.lit(False)
     for k in sorted({len(t) for t in stems}):
@@ -328,9 +359,10 @@ def learn(
         else []
     )
     chosen = set(roots)
-    counts = {r.term: (r.p, r.n) for r in family} | {r.term: (r.p, r.n) for r in strong if r.term in chosen}
+    counts = {r.term: (r.p, r.n) for r in family} | {r.term: (r.p, r.n) for r in strong if r.term in chosen} | torn
     lexicon = Lexicon(_weights(counts, pos, neg, min_weight))
-    lexicon.exceptions = _exceptions(_hit_contexts(sample, lexicon), lexicon)
+    if lexicon.terms:
+        lexicon.exceptions = tuple(_exceptions(_hit_contexts(sample, lexicon), max_phrases))
     return _calibrated(sample, lexicon)
 
 
@@ -387,21 +419,56 @@ def _hit_contexts(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
     return sample.mapInArrow(run, "term string, context string, before string, after string, doc boolean, label int")
 
 
-def _exceptions(contexts: DataFrame, lexicon: Lexicon, min_rows: int = 5, max_phrases: int = 1_000) -> tuple[str, ...]:
-    """Phrases of a hit and the word before or after it that stand in label-0
-    rows in at least ``min_rows`` contexts and in no label-1 row."""
-    if not lexicon.terms:
-        return ()
-    counted = (
-        contexts.select("context", "label", F.explode(F.array("before", "after")).alias("phrase"))
+def _exceptions(contexts: DataFrame, max_phrases: int, min_contexts: int = 5) -> list[str]:
+    """Phrases of a hit and the word before or after it that are harmless: in
+    no label-1 row, and in so many label-0 contexts (``min_contexts`` at least)
+    that, if the term were there as often toxic as elsewhere, this would happen
+    to one of a thousand phrases."""
+    phrases = (
+        contexts.select("term", "context", "label", F.explode(F.array("before", "after")).alias("phrase"))
         .filter(F.col("phrase").rlike(r"^ \S+ \S+ $"))
-        .groupBy("phrase")
+        .groupBy("term", "phrase")
         .agg(F.max("label").alias("toxic"), F.countDistinct("context").alias("contexts"))
-        .filter((F.col("toxic") == 0) & (F.col("contexts") >= min_rows))
+        .filter((F.col("toxic") == 0) & (F.col("contexts") >= min_contexts))
+    )
+    uses = contexts.groupBy("term").agg(
+        F.countDistinct(F.when(F.col("label") == 1, F.col("context"))).alias("p"),
+        F.countDistinct(F.when(F.col("label") != 1, F.col("context"))).alias("n"),
+    )
+    elsewhere = F.greatest(F.col("n") - F.col("contexts"), F.lit(0))
+    share = (F.col("p") + 0.5) / (F.col("p") + elsewhere + 1.0)
+    counted = (
+        phrases.join(uses, "term")
+        .filter(F.col("contexts") * -F.log(F.greatest(1.0 - share, F.lit(1e-9))) >= float(np.log(1000.0)))
+        .groupBy("phrase")
+        .agg(F.max("contexts").alias("contexts"))
         .orderBy(F.desc("contexts"), "phrase")
         .limit(max_phrases)
     )
-    return tuple(r.phrase for r in counted.collect())
+    return [r.phrase for r in counted.collect()]
+
+
+def _without_phrases(
+    sample: DataFrame, words: dict[str, tuple[float, float]], max_phrases: int
+) -> dict[str, tuple[float, float]]:
+    """The words that have exceptions, with their support outside of them."""
+    if not words:
+        return {}
+    contexts = staged(_hit_contexts(sample, Lexicon(dict.fromkeys(words, 1.0))), "torn")
+    phrases = _exceptions(contexts, max_phrases)
+    if not phrases:
+        return {}
+    outside = ~(F.col("before").isin(phrases) | F.col("after").isin(phrases))
+    touched = F.max(F.when(outside, 0).otherwise(1)) == 1
+    clear = F.when(outside & (F.col("label") != 1), F.col("context"))
+    left = (
+        contexts.groupBy("term")
+        .agg(touched.alias("touched"), F.countDistinct(clear).alias("contexts"))
+        .filter("touched")
+        .collect()
+    )
+    # at most ``max_terms`` words
+    return {r.term: (words[r.term][0], min(words[r.term][1], float(r.contexts))) for r in left if r.term in words}
 
 
 def _calibrated(sample: DataFrame, lexicon: Lexicon) -> Lexicon:

@@ -89,3 +89,45 @@ def test_fold_by_hand():
     assert tox.fold(None) == tox.fold("") == tox.fold("  ") == " "
     assert tox.fold("One, two!!  (three)") == " one two three "
     assert "loser" in tox.plain_forms("1o5er") and "idiot" in tox.plain_forms("1d10t!!")
+
+
+def test_combined_disguises(spark, lexicon):
+    filler = "kan tib lorema sen dit "
+    forms = ["b 4 d w 0 r d", "b.4.d.w.0.r.d", "b-а-d-w-о-r-d", "bad-word", "b4d_w0rd", "ｂ 4 ｄ ｗ 0 ｒ ｄ", "b.á.d.w.ö.r.d!!"]
+    got = score(spark, lexicon, *[filler + f for f in forms])
+    assert min(got) >= 0.3, dict(zip(forms, got))
+
+
+def test_words_of_any_length_are_matched(spark, lexicon):
+    long = "x" * 50_000
+    got = score(spark, lexicon, f"kan {long} badword {long}", f"kan {long} {long}")
+    assert got[0] >= 0.3 > got[1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_automaton_agrees_with_a_naive_scan(seed):
+    """Of the terms that begin at a word the longest decides, outside of
+    exception phrases; found by trying all terms at all places."""
+    rng = random.Random(seed)
+    for _ in range(300):
+        word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5)))
+        terms = {f" {word()}" + rng.choice(["", " "]): rng.choice([0.0, 1.0, 2.5]) for _ in range(8)}
+        exceptions = tuple({f" {word()} {word()} " for _ in range(3)})
+        lex = tox.Lexicon(terms, exceptions)
+        text = " " + " ".join(word() for _ in range(30)) + " "
+        spared = [(i, i + len(e)) for e in exceptions for i in range(len(text)) if text.startswith(e, i)]
+        want = []
+        for i in range(len(text)):
+            here = [t for t in terms if t not in exceptions and text.startswith(t, i)]
+            if here:
+                best = max(here, key=len)
+                if terms[best] > 0 and not any(a <= i and i + len(best) <= b for a, b in spared):
+                    want.append((i, i + len(best), terms[best]))
+        assert tox.hits(text, lex.matcher()) == want
+
+
+def test_empty_table(spark, lexicon):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert tox.without_toxic(empty, lexicon).collect() == []
+    none = tox.learn(empty, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert none.terms == {} and none.exceptions == ()
