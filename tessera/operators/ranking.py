@@ -2,25 +2,25 @@
 
 ``row_number() OVER (ORDER BY x)`` with no PARTITION BY runs in one task
 (Spark plans a ``SinglePartition`` exchange), and ``PARTITION BY k`` puts a hot
-key in one task. The helpers here number rows over a global sort instead:
-
-1. ``repartitionByRange`` samples the sort key and splits the data into range
-   partitions (a hot key is spread over several of them), each sorted locally;
-2. within a partition the local position is the row's offset in
-   ``monotonically_increasing_id`` (partition id in the upper 31 bits);
-3. per-partition row counts (one row per partition) are turned into prefix
-   offsets and broadcast - their size is the number of partitions, not data.
-
-Ranks, NTILE, PERCENT_RANK, per-group positions and exact percentiles are
-derived from that global row number with aggregations and equi-joins only.
-Group-level values ("first row number of a group") are computed with a
-partial aggregation and joined back; a hot group is then one side of a
-skewed equi-join against a single row, which AQE's skew-join handling splits.
-
-The plan is the same at every size. The range-partitioned rows are written to
-the session's shared checkpoint folder: the branch that counts them and the
-branch that numbers them must see the very same partitions, and a lost
-executor re-reads files.
+key in one task. What is needed instead:
+
+* RANK and PERCENT_RANK depend on how many rows come before a *value*. The
+  values are counted (map-side combine), the histogram is put in order by
+  ranges and summed up, and rows get their value's rank by an equi-join. Wide
+  rows are neither sorted nor written.
+* NTILE adds the order of rows within a value only where a tile's border cuts
+  it: the ids at the borders are found by selection (``selection.values_at``).
+* ROW_NUMBER alone needs all rows in order: ``repartitionByRange`` samples the
+  sort key and splits the data into range partitions (a hot key is spread over
+  several), a row's position in its partition is its offset in
+  ``monotonically_increasing_id`` and per-partition counts (one row per
+  partition) give the numbers before it. The ranged rows are written to the
+  session's shared checkpoint folder: the branch that counts them and the
+  branch that numbers them must see the very same partitions, and a lost
+  executor re-reads files.
+
+The plan is the same at every size; a hot value or group is one row of the
+histogram, joined to many rows, which AQE's skew-join handling splits.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import values_at
 from tessera.operators.staging import materialise
 from tessera.session import shuffle_partitions
 
@@ -98,10 +99,6 @@ def join_group_values(df: DataFrame, keys: Sequence[str], *aggs: Column) -> Data
     return df.join(groups, cond, "inner").drop(*renamed)
 
 
-def _first_in_group(df: DataFrame, rn: str, keys: Sequence[str], name: str) -> DataFrame:
-    return join_group_values(df, keys, F.min(rn).alias(name))
-
-
 def ntile_expr(rn: Column, total: Column, tiles: int) -> Column:
     """NTILE bucket for 1-based position ``rn`` among ``total`` rows.
 
@@ -117,10 +114,81 @@ def ntile_expr(rn: Column, total: Column, tiles: int) -> Column:
     )
 
 
-def global_ntile(df: DataFrame, order: Sequence[Column | str], tiles: int, name: str) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY order)`` over a global sort."""
-    numbered = global_row_number(df, order, name="__rn", total="__n")
-    return numbered.withColumn(name, ntile_expr(F.col("__rn"), F.col("__n"), tiles)).drop("__rn", "__n")
+def value_ranks(
+    df: DataFrame, partition_by: Sequence[str], value_order: Sequence[Column], value_cols: Sequence[str]
+) -> DataFrame:
+    """One row per (``partition_by``, ``value_cols``) of ``df``: ``__before``
+    (rows of the partition that come before the value), ``__count`` (rows that
+    have it) and ``__size`` (rows of the partition).
+
+    Only the histogram - distinct values and their counts, made with a map-side
+    combine - is put in order; it is written once, because the counts per range
+    partition and the numbering must see the same partitions."""
+    partition_by = list(partition_by)
+    keys = [*partition_by, *value_cols]
+    order = [F.col(c).asc_nulls_first() for c in partition_by] + list(value_order)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
+    ranged = materialise(counted.repartitionByRange(*order).withColumn(_PID, F.spark_partition_id()), "histogram")
+    totals = ranged.groupBy(_PID).agg(F.sum("__count").alias("__cnt"))
+    # one row per range partition
+    offsets = totals.select(
+        _PID,
+        (F.sum("__cnt").over(Window.orderBy(_PID)) - F.col("__cnt")).alias(_OFF),
+        F.sum("__cnt").over(Window.partitionBy()).alias("__size"),
+    )
+    inside = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        ranged.withColumn("__before", F.coalesce(F.sum("__count").over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), _PID)
+        .withColumn("__before", F.col("__before") + F.col(_OFF))
+        .drop(_PID, _OFF)
+    )
+    if not partition_by:
+        return placed
+    based = join_group_values(
+        placed.drop("__size"), partition_by, F.min("__before").alias("__base"), F.sum("__count").alias("__size")
+    )
+    return based.withColumn("__before", F.col("__before") - F.col("__base")).drop("__base")
+
+
+def join_null_safe(df: DataFrame, values: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` joined to ``values`` on equal columns, NULL equal to NULL; the
+    columns stay once."""
+    renamed = values.select(*[F.col(c).alias(f"__v_{c}") for c in on], *[c for c in values.columns if c not in on])
+    cond = F.lit(True)
+    for c in on:
+        cond &= F.col(c).eqNullSafe(F.col(f"__v_{c}"))
+    return df.join(renamed, cond).drop(*[f"__v_{c}" for c in on])
+
+
+def ntile_by_value(df: DataFrame, value: str, unique: str, tiles: int, name: str) -> DataFrame:
+    """``NTILE(tiles) OVER (ORDER BY value, unique)``, NULL values first.
+
+    The histogram of ``value`` says in which tile the rows of a value begin and
+    which of the ``tiles - 1`` borders cut it. Only for those few values the
+    order by ``unique`` (not NULL, no two equal within a value) matters, and
+    there only the ids at the borders are looked for, by selection."""
+    values = value_ranks(df.select(value), [], [F.col(value).asc_nulls_first()], [value])
+    n, first, count = F.col("__size"), F.col("__before"), F.col("__count")
+    q, extra = F.floor(n / F.lit(tiles)), n % tiles
+    ends = [q * i + F.least(F.lit(i), extra) for i in range(1, tiles)]  # rows up to tile i
+    cuts = F.filter(F.array(*ends), lambda e: (e > first) & (e < first + count)) if ends else F.array().cast("array<long>")
+    values = values.select(
+        value, ntile_expr(first + 1, n, tiles).alias("__tile"), F.transform(cuts, lambda e: e - first - 1).alias("__cuts")
+    )
+    cut = values.filter(F.size("__cuts") > 0).select(F.col(value).alias("__value"), "__cuts")
+    # at most tiles - 1 rows
+    within = df.select(value, unique).join(F.broadcast(cut), F.col(value).eqNullSafe(F.col("__value")))
+    ranks = [F.get(F.col("__cuts"), F.lit(i)) for i in range(tiles - 1)]
+    spread = [i / 16 for i in range(17)]
+    ids = values_at(within.drop("__value"), [value, "__cuts"], unique, spread, lambda _: ranks, accuracy=1_000) if ranks else None
+    placed = join_null_safe(df, values.drop("__cuts"), [value])
+    if ids is None:
+        return placed.withColumnRenamed("__tile", name)
+    last = ids.select(F.col(value).alias("__value"), F.col("at").alias("__last"))
+    after = F.coalesce(F.size(F.filter("__last", lambda x: x < F.col(unique))), F.lit(0))
+    out = placed.join(F.broadcast(last), F.col(value).eqNullSafe(F.col("__value")), "left")
+    return out.select(*df.columns, (F.col("__tile") + F.when(F.col("__last").isNull(), 0).otherwise(after)).cast("int").alias(name))
 
 
 def ranked(
@@ -136,64 +204,28 @@ def ranked(
     """RANK / PERCENT_RANK / ROW_NUMBER over (``partition_by``, ``value_order``).
 
     ``value_cols`` are the columns behind ``value_order`` (ties are rows equal
-    on them). ``tiebreak`` makes the row numbering total. Without
+    on them). Ranks come from the histogram of the values; only a row number
+    needs the rows themselves in order, by ``tiebreak`` within a value. Without
     ``partition_by`` the ranking is over the whole DataFrame.
     """
-    order = [F.col(c).asc_nulls_first() for c in partition_by] + list(value_order) + _cols(tiebreak)
-    out = global_row_number(df, order, name="__rn", total="__n")
-    keep = list(df.columns)
-    if partition_by:
-        out = join_group_values(
-            out, partition_by, F.min("__rn").alias("__grp_first"), F.count(F.lit(1)).alias("__grp_n")
-        )
-        base, size = F.col("__grp_first"), F.col("__grp_n")
-    else:
-        base, size = F.lit(1), F.col("__n")
-    extra = []
+    partition_by, keep = list(partition_by), list(df.columns)
+    out, extra = df, []
     if rank or percent_rank:
-        out = _first_in_group(out, "__rn", list(partition_by) + list(value_cols), "__tie_first")
-        rank_col = F.col("__tie_first") - base + 1
+        values = value_ranks(df, partition_by, value_order, value_cols)
+        out = join_null_safe(out, values, [*partition_by, *value_cols])
+        size, before = F.col("__size"), F.col("__before")
         if rank:
-            out = out.withColumn(rank, rank_col.cast("int"))
-            extra.append(rank)
+            extra.append((before + 1).cast("int").alias(rank))
         if percent_rank:
-            out = out.withColumn(
-                percent_rank,
-                F.when(size <= 1, F.lit(0.0)).otherwise((rank_col - 1).cast("double") / (size - 1)),
+            extra.append(
+                F.when(size <= 1, F.lit(0.0)).otherwise(before.cast("double") / (size - 1)).alias(percent_rank)
             )
-            extra.append(percent_rank)
+        out = out.select(*keep, *extra)
     if row_number:
-        out = out.withColumn(row_number, (F.col("__rn") - base + 1).cast("long"))
-        extra.append(row_number)
-    return out.select(*keep, *extra)
-
-
-def group_percentile_cont(df: DataFrame, group_by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """Exact ``PERCENTILE_CONT(value, q)`` per group (or overall).
-
-    No group's values are held in one buffer: rows are numbered within their
-    group over a global sort, and only the (at most two) rows around the
-    requested position are kept.
-    Returns one row per group with columns ``group_by + [name]``.
-    """
-    base = df.select(*group_by, value).filter(F.col(value).isNotNull())
-    order = [F.col(c).asc_nulls_first() for c in group_by] + [F.col(value).asc()]
-    numbered = global_row_number(base, order, name="__rn", total="__cnt")
-    if group_by:
-        numbered = join_group_values(
-            numbered.drop("__cnt"), group_by, F.min("__rn").alias("__first"), F.count(F.lit(1)).alias("__cnt")
-        )
-        pos = F.col("__rn") - F.col("__first")
-    else:
-        pos = F.col("__rn") - 1
-    exact = (F.col("__cnt") - 1) * F.lit(q)
-    lo, hi = F.floor(exact), F.ceil(exact)
-    picked = numbered.filter((pos == lo) | (pos == hi)).withColumn("__pos", pos).withColumn("__exact", exact)
-    agg = picked.groupBy(*group_by).agg(
-        F.max(F.when(F.col("__pos") == F.floor("__exact"), F.col(value))).alias("__lo"),
-        F.max(F.when(F.col("__pos") == F.ceil("__exact"), F.col(value))).alias("__hi"),
-        F.first("__exact").alias("__exact"),
-    )
-    frac = F.col("__exact") - F.floor("__exact")
-    lo_v, hi_v = F.col("__lo").cast("double"), F.col("__hi").cast("double")
-    return agg.select(*group_by, (lo_v + (hi_v - lo_v) * frac).alias(name))
+        order = [F.col(c).asc_nulls_first() for c in partition_by] + list(value_order) + _cols(tiebreak)
+        out = global_row_number(out, order, name="__rn")
+        if partition_by:
+            out = join_group_values(out, partition_by, F.min("__rn").alias("__base"))
+            out = out.withColumn("__rn", F.col("__rn") - F.col("__base") + 1).drop("__base")
+        out = out.withColumnRenamed("__rn", row_number)
+    return out

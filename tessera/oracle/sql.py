@@ -611,6 +611,34 @@ ORACLE_SQL: dict[str, str] = {
            FROM raw""",
     ),
     "purchase_sequence": _with(TX, C1_BASE + [("seq", SEQ)], "SELECT * FROM seq"),
+    # pages of PAGE consecutive elements of each user's ordered array
+    "purchase_pages": _with(
+        TX, C1_BASE,
+        f"""SELECT user_id, (position - 1) // {DEFAULT.page_size} AS page, min(position) AS first_position,
+                  cast(count(*) AS INTEGER) AS n_items,
+                  list(strftime(transaction_time, '%Y-%m-%d %H:%M:%S') ORDER BY position) AS transaction_times,
+                  list(transaction_id ORDER BY position) AS transaction_ids,
+                  list(product_id ORDER BY position) AS product_ids,
+                  list(product_category ORDER BY position) AS product_categories,
+                  list(cast(total_price AS DOUBLE) ORDER BY position) AS total_prices
+           FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+                             ORDER BY transaction_time, transaction_id, product_id, total_price) AS position FROM raw)
+           GROUP BY 1, 2""",
+    ),
+    # reading the pages back gives the rows of purchase_sequence
+    "purchase_sequence_unnested": _with(TX, C1_BASE + [("seq", SEQ)], "SELECT * FROM seq"),
+    "user_product_pages": _with(
+        TX, C1_PM,
+        f"""SELECT user_id, (position - 1) // {DEFAULT.page_size} AS page, min(position) AS first_position,
+                  list(product_id ORDER BY position) AS product_ids,
+                  list(product_category ORDER BY position) AS product_categories,
+                  list(total_quantity_sold ORDER BY position) AS quantities_sold,
+                  list(cast(total_revenue AS DOUBLE) ORDER BY position) AS revenues
+           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY product_id, product_category) AS position
+                 FROM (SELECT DISTINCT r.user_id, r.product_id, r.product_category, pm.total_quantity_sold, pm.total_revenue
+                       FROM raw r JOIN pm ON r.product_id = pm.product_id AND r.product_category = pm.product_category))
+           GROUP BY 1, 2""",
+    ),
     "purchase_patterns": _with(TX, C1_PATTERNS, "SELECT * FROM patterns"),
     "monthly_cohorts": _with(TX, C1_META + [("cohort_of", COHORT_OF), ("cohorts", COHORTS)], "SELECT * FROM cohorts"),
     "predictive_metrics": _with(

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules
 from tessera.operators.distinct import distinct_counts_of, with_distinct_counts
-from tessera.operators.ranking import group_percentile_cont
-from tessera.operators.sequence import lead_within, position_within
+from tessera.operators.pages import PAGE_SIZE, paged_arrays, unnest
+from tessera.operators.selection import percentile_cont
+from tessera.operators.slices import lead_by_slices, position_by_slices
 from tessera.operators.topvalue import top_values
 
 MONEY = "decimal(38,4)"
@@ -251,7 +252,7 @@ def category_metrics(pm: DataFrame) -> DataFrame:
         rules.round_half_up(F.avg("avg_revenue_per_transaction"), 6).alias("category_avg_revenue"),
         _ratio(F.sum("total_quantity_returned"), F.sum("total_quantity_sold")).alias("category_return_rate"),
     )
-    medians = group_percentile_cont(
+    medians = percentile_cont(
         pm, ["product_category"], "avg_revenue_per_transaction", 0.5, "median_revenue_per_transaction"
     ).withColumn("median_revenue_per_transaction", rules.round_half_up(F.col("median_revenue_per_transaction"), 6))
     return sums.join(medians, "product_category", "left")
@@ -260,9 +261,9 @@ def category_metrics(pm: DataFrame) -> DataFrame:
 def product_global_median(pm: DataFrame) -> DataFrame:
     """J7b: every product row plus the median over all products (``OVER ()``).
 
-    The median is one value computed by a distributed sort and attached as a
-    scalar subquery - not a window over a single partition."""
-    median = group_percentile_cont(pm, [], "avg_revenue_per_transaction", 0.5, "m")
+    The median is one value found by selection and attached as a scalar
+    subquery - not a window over a single partition."""
+    median = percentile_cont(pm, [], "avg_revenue_per_transaction", 0.5, "m")
     return pm.withColumn("median_revenue_per_transaction", rules.round_half_up(median.scalar(), 6))
 
 
@@ -287,7 +288,7 @@ def time_analysis(tx: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- J9
 def _purchase_day() -> Column:
-    """Buckets of a user's purchases: days since 1970."""
+    """Where a user's purchases can be cut: days since 1970."""
     return F.unix_date(F.to_date("transaction_time"))
 
 
@@ -298,7 +299,7 @@ def purchase_history(tx: DataFrame) -> DataFrame:
     Long form instead of one array per user: a user's history is unbounded,
     and a row per element keeps the work spread over tasks."""
     lines = tx.select("user_id", "transaction_time", "transaction_id", "product_id", "product_category", "total_price")
-    return position_within(lines, ["user_id"], PURCHASE_ORDER, _purchase_day(), "position")
+    return position_by_slices(lines, ["user_id"], PURCHASE_ORDER, _purchase_day(), "position")
 
 
 def purchase_sequence(tx: DataFrame) -> DataFrame:
@@ -307,7 +308,7 @@ def purchase_sequence(tx: DataFrame) -> DataFrame:
     sales = tx.filter(~F.col("is_return")).select(
         "user_id", "transaction_time", "transaction_id", "product_id", "product_category", "total_price"
     )
-    seq = lead_within(
+    seq = lead_by_slices(
         sales,
         ["user_id"],
         PURCHASE_ORDER,
@@ -326,6 +327,52 @@ def purchase_sequence(tx: DataFrame) -> DataFrame:
     )
 
 
+HISTORY_FIELDS = ("transaction_time", "transaction_id", "product_id", "product_category", "total_price")
+
+
+def purchase_pages(tx: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """J9a as ordered arrays: a user's purchases (returns included) as pages of
+    at most ``page_size`` elements, each page one array of structs."""
+    return paged_arrays(tx, ["user_id"], PURCHASE_ORDER, _purchase_day(), HISTORY_FIELDS, page_size)
+
+
+def page_columns(pages: DataFrame) -> DataFrame:
+    """``purchase_pages`` with one array per field, in plain types."""
+    field = lambda f: F.col(f"items.{f}")
+    return pages.select(
+        "user_id",
+        "page",
+        "first_position",
+        F.size("items").alias("n_items"),
+        F.transform(field("transaction_time"), lambda t: F.date_format(t, TIME_FORMAT)).alias("transaction_times"),
+        field("transaction_id").alias("transaction_ids"),
+        field("product_id").alias("product_ids"),
+        field("product_category").alias("product_categories"),
+        field("total_price").cast("array<double>").alias("total_prices"),
+    )
+
+
+def sequence_from_pages(tx: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """``purchase_sequence`` by way of arrays: the pages of the non-return
+    purchases, read as a relation with each element's successor."""
+    pages = purchase_pages(tx.filter(~F.col("is_return")), page_size)
+    steps = unnest(
+        pages,
+        ["user_id"],
+        {"step": "position", "current_category": "product_category", "current_purchase_time": "transaction_time"},
+        {"next_category": "product_category", "next_purchase_time": "transaction_time"},
+    )
+    return steps.select(
+        "user_id",
+        "step",
+        "next_category",
+        "current_category",
+        "next_purchase_time",
+        "current_purchase_time",
+        F.datediff(F.to_date("next_purchase_time"), F.to_date("current_purchase_time")).alias("days_to_next_purchase"),
+    )
+
+
 def purchase_patterns(seq: DataFrame, meta: DataFrame) -> DataFrame:
     """J9b: per user, mean calendar days between consecutive purchases and the
     most common next category (ties: lowest name). Users with no sequence -
@@ -429,6 +476,25 @@ def user_products(tx: DataFrame, pm: DataFrame) -> DataFrame:
     ).select("user_id", "product_id", "product_category", "total_quantity_sold", "total_revenue")
 
 
+def user_product_pages(tx: DataFrame, pm: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """J12 as arrays: a user's products by id, as pages. Ids are cut in
+    thousands, which never decrease along them."""
+    products = user_products(tx, pm)
+    fields = ("product_id", "product_category", "total_quantity_sold", "total_revenue")
+    pages = paged_arrays(
+        products, ["user_id"], fields[:2], F.floor(F.col("product_id") / 1000), fields, page_size
+    )
+    return pages.select(
+        "user_id",
+        "page",
+        "first_position",
+        F.col("items.product_id").alias("product_ids"),
+        F.col("items.product_category").alias("product_categories"),
+        F.col("items.total_quantity_sold").alias("quantities_sold"),
+        F.col("items.total_revenue").cast("array<double>").alias("revenues"),
+    )
+
+
 # --------------------------------------------------------------------- J13
 def primary_products(tx: DataFrame) -> DataFrame:
     """Each user's product with the most non-return spend (then lowest id); a

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tessera.functions import rules
 from tessera.operators.distinct import distinct_counts, with_distinct_counts
 from tessera.operators.lookback import lookback_distinct_count
-from tessera.operators.ranking import global_ntile, ranked
+from tessera.operators.ranking import join_null_safe, ntile_by_value, ranked
+from tessera.operators.staging import materialise
 
 MONEY2 = "decimal(38,2)"
 MONEY4 = "decimal(38,4)"
@@ -208,8 +209,11 @@ def customer_order_patterns(oh: DataFrame, oid: DataFrame, as_of: dt.date, tiles
         F.coalesce(F.col("unique_categories_purchased"), F.lit(0)).alias("unique_categories_purchased"),
         rules.recency_label(F.col("__days")).alias("recency_segment"),
     )
-    out = global_ntile(out, [F.col("total_spent").asc(), F.col("customer_id").asc()], tiles, "monetary_segment")
-    return global_ntile(out, [F.col("total_orders").asc(), F.col("customer_id").asc()], tiles, "frequency_segment")
+    # tiles of the narrow columns alone, joined on the key that both sides are grouped by
+    narrow = materialise(base.select("customer_id", "total_spent", "total_orders"), "tiled")
+    narrow = ntile_by_value(narrow, "total_spent", "customer_id", tiles, "monetary_segment")
+    narrow = ntile_by_value(narrow, "total_orders", "customer_id", tiles, "frequency_segment")
+    return out.join(narrow.select("customer_id", "monetary_segment", "frequency_segment"), "customer_id")
 
 
 # --------------------------------------------------------------------- J18
@@ -232,6 +236,7 @@ def product_performance(
         "product_id", "product_name", "category_id", "category_name", "subcategory_id", "subcategory_name",
         "brand_id", "brand_name", "supplier_id", "supplier_name",
     ]
+    ranks = ["category_revenue_rank", "overall_revenue_percentile"]
     sales = oid.groupBy(*keys).agg(
         F.sum("quantity").cast("long").alias("total_quantity_sold"),
         F.sum("gross_item_amount").cast(MONEY2).alias("gross_revenue"),
@@ -239,11 +244,17 @@ def product_performance(
         F.sum("item_profit").cast(MONEY4).alias("total_profit"),
         rules.round_half_up(F.avg("profit_margin_percentage"), 6).alias("average_profit_margin"),
     )
+    # ranks of the narrow columns alone
+    nets = materialise(sales.select(*keys, "net_revenue"), "nets")
+    desc = [F.col("net_revenue").desc()]
+    nets = ranked(nets, desc, ["net_revenue"], partition_by=["category_id"], rank="category_revenue_rank")
+    nets = ranked(nets, desc, ["net_revenue"], percent_rank="overall_revenue_percentile")
     sales = with_distinct_counts(
         sales, oid, keys, {"order_count": "order_id", "unique_customers": "order_customer_id"}
-    ).select(
+    )
+    sales = join_null_safe(sales, nets.drop("net_revenue"), keys).select(
         *keys, "order_count", "total_quantity_sold", "gross_revenue", "net_revenue", "total_profit",
-        "average_profit_margin", "unique_customers",
+        "average_profit_margin", "unique_customers", *ranks,
     )
     rated = (
         reviews.filter(_in_window("review_date", start, end))
@@ -265,12 +276,8 @@ def product_performance(
         .join(stock, "product_id", "left")
         .withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0)))
     )
-    desc = [F.col("net_revenue").desc()]
-    out = ranked(
-        joined, desc, ["net_revenue"], tiebreak=["product_id"], partition_by=["category_id"],
-        rank="category_revenue_rank",
-    )
-    return ranked(out, desc, ["net_revenue"], tiebreak=["product_id"], percent_rank="overall_revenue_percentile")
+    kept = [c for c in joined.columns if c not in ranks]
+    return joined.select(*kept, *ranks)
 
 
 # --------------------------------------------------------------------- J19

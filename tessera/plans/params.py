@@ -20,6 +20,8 @@ class Params:
     customer_segment_count: int = 5
     top_limit: int = 10000
     lookback_days: int = 30
+    # elements in one page of an ordered array, in the reported arrays
+    page_size: int = 32
     # declared by the original script, read by none of its queries
     min_purchase_threshold: Decimal = Decimal("10.00")
     high_value_customer_threshold: Decimal = Decimal("1000.00")
@@ -40,7 +42,7 @@ class Params:
     def key(self) -> tuple:
         return (
             self.as_of, self.tx_start, self.tx_end_exclusive, self.order_start, self.order_end,
-            self.customer_segment_count, self.lookback_days, self.top_limit,
+            self.customer_segment_count, self.lookback_days, self.top_limit, self.page_size,
         )
 
 

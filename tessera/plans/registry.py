@@ -188,10 +188,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_analysis": _q(lambda r: commerce.time_analysis(r.tx)),
     "purchase_history": _q(lambda r: commerce.purchase_history(r.tx)),
     "purchase_sequence": _q(lambda r: r.sequence),
+    "purchase_pages": _q(lambda r: commerce.page_columns(commerce.purchase_pages(r.tx, r.p.page_size))),
+    "purchase_sequence_unnested": _q(lambda r: commerce.sequence_from_pages(r.tx, r.p.page_size)),
     "purchase_patterns": _q(lambda r: r.patterns),
     "monthly_cohorts": _q(lambda r: r.cohorts),
     "predictive_metrics": _q(lambda r: r.predictive),
     "user_products": _q(lambda r: commerce.user_products(r.tx, r.pm)),
+    "user_product_pages": _q(lambda r: commerce.user_product_pages(r.tx, r.pm, r.p.page_size)),
     "customer_360": _q(lambda r: r.customer_360()),
     # order model
     "customer_base": _q(lambda r: r.customer_base),

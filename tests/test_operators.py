@@ -14,8 +14,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lookback import lookback_distinct_count
-from tessera.operators.ranking import global_ntile, global_row_number, group_percentile_cont, ranked
+from tessera.operators.pages import paged_arrays, unnest
+from tessera.operators.ranking import global_row_number, ntile_by_value, ranked
+from tessera.operators.selection import percentile_cont, values_at
 from tessera.operators.sequence import lead_within, position_within, running_sums
+from tessera.operators.slices import lead_by_slices, position_by_slices
 from tessera.operators.subquery import scalar_subquery_filter
 from tessera.operators.topvalue import top_values
 
@@ -43,14 +46,16 @@ def test_global_row_number_is_a_permutation(skewed):
 
 @pytest.mark.parametrize("tiles", [1, 3, 5, 7])
 def test_global_ntile_equals_builtin(skewed, tiles):
-    out = global_ntile(skewed, [F.col("v").asc(), F.col("id").asc()], tiles, "t")
-    expected = skewed.select("id", F.ntile(tiles).over(Window.orderBy("v", "id")).alias("t"))
-    assert rows(out, "id", "t") == rows(expected)
+    nulls = skewed.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v")))
+    for df in (skewed, nulls, nulls.withColumn("v", F.lit(3)), nulls.withColumn("v", F.col("v") % 3)):
+        out = ntile_by_value(df, "v", "id", tiles, "t")
+        expected = df.select("id", F.ntile(tiles).over(Window.orderBy("v", "id")).alias("t"))
+        assert rows(out, "id", "t") == rows(expected) and out.columns == [*df.columns, "t"]
 
 
 def test_ntile_on_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id long, v long")
-    out = global_ntile(df, [F.col("v").asc(), F.col("id").asc()], 5, "t")
+    out = ntile_by_value(df, "v", "id", 5, "t")
     assert rows(out, "id", "t") == [(1, 1), (2, 2), (3, 3)]
 
 
@@ -69,6 +74,18 @@ def test_ranked_equals_builtin_rank_and_percent_rank(skewed):
     assert rows(out, "id", "r", "rn", "pr") == rows(expected)
 
 
+def test_ranks_write_the_histogram_only(skewed, monkeypatch):
+    """What is put in order and written is (value, count), not the rows."""
+    from tessera.operators import ranking
+
+    written, real = [], ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, name: written.append(df) or real(df, name))
+    ranked(skewed, [F.col("v").desc()], ["v"], partition_by=["k"], rank="r", percent_rank="p").count()
+    (histogram,) = written
+    assert set(histogram.columns) == {"k", "v", "__count", "__pid"}
+    assert histogram.count() == skewed.select("k", "v").distinct().count()
+
+
 def test_percent_rank_single_row(spark):
     df = spark.createDataFrame([(1, 5)], "id long, v long")
     out = ranked(df, [F.col("v").desc()], ["v"], tiebreak=["id"], percent_rank="pr")
@@ -76,13 +93,13 @@ def test_percent_rank_single_row(spark):
 
 
 def test_group_percentile_equals_builtin(skewed):
-    got = group_percentile_cont(skewed, ["k"], "v", 0.5, "m")
+    got = percentile_cont(skewed, ["k"], "v", 0.5, "m")
     expected = skewed.groupBy("k").agg(F.percentile("v", 0.5).alias("m"))
     g = {k: m for k, m in rows(got)}
     e = {k: m for k, m in rows(expected)}
     assert g.keys() == e.keys()
     assert all(abs(g[k] - e[k]) < 1e-9 for k in g)
-    overall = group_percentile_cont(skewed, [], "v", 0.25, "m").first()["m"]
+    overall = percentile_cont(skewed, [], "v", 0.25, "m").first()["m"]
     assert abs(overall - skewed.agg(F.percentile("v", 0.25)).first()[0]) < 1e-9
 
 
@@ -104,6 +121,98 @@ def test_lead_and_position_equal_builtin(skewed, width):
     assert rows(pos, "id", "pos") == rows(expected.select("id", "pos"))
 
 
+@pytest.mark.parametrize("slice_rows", [1, 40, 10**6])
+def test_lead_by_slices_equals_builtin(skewed, slice_rows):
+    """Every key cut, the hot one alone, none; NULL keys and values too."""
+    nulls = skewed.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v"))).withColumn(
+        "k", F.when(F.col("id") % 13 != 0, F.col("k"))
+    )
+    bucket = F.floor(F.col("v") / 7)
+    out = lead_by_slices(nulls, ["k"], ["v", "id"], bucket, {"next_v": "v", "next_s": "s"}, "pos", slice_rows)
+    w = Window.partitionBy("k").orderBy("v", "id")
+    expected = nulls.select(
+        "id", F.lead("v").over(w).alias("next_v"), F.lead("s").over(w).alias("next_s"), F.row_number().over(w).alias("pos")
+    )
+    assert rows(out, "id", "next_v", "next_s", "pos") == rows(expected)
+    assert out.columns == [*nulls.columns, "next_v", "next_s", "pos"]
+    pos = position_by_slices(nulls, ["k"], ["v", "id"], bucket, "pos", slice_rows)
+    assert rows(pos, "id", "pos") == rows(expected.select("id", "pos"))
+
+
+def test_slices_shuffle_rows_once_and_spread_a_hot_key(skewed):
+    """Ordinary keys: one exchange of the rows. A hot key: its rows in several
+    partitions."""
+    plain = lead_by_slices(skewed, ["k"], ["v", "id"], F.col("v"), {"n": "v"}, "pos")
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    cut = lead_by_slices(skewed, ["k"], ["v", "id"], F.col("v"), {"n": "v"}, "pos", slice_rows=50)
+    parts = cut.filter("k = 0").withColumn("p", F.spark_partition_id()).select("p").distinct().count()
+    assert parts > 1
+
+
+@pytest.mark.parametrize("page_size,slice_rows", [(1, 10**6), (7, 40), (64, 10**6), (10**6, 10**6)])
+def test_pages_in_order_are_the_long_form(skewed, page_size, slice_rows):
+    pages = paged_arrays(skewed, ["k"], ["v", "id"], F.col("v"), ["id", "s"], page_size, slice_rows)
+    got = {}
+    for r in pages.orderBy("k", "page").collect():
+        mine = got.setdefault(r.k, [])
+        assert 1 <= len(r["items"]) <= page_size and r.first_position == len(mine) + 1
+        assert r.page == len(mine) // page_size
+        mine += [(i.position, i.id, i.s) for i in r["items"]]
+    w = Window.partitionBy("k").orderBy("v", "id")
+    want = {}
+    for r in skewed.select("k", F.row_number().over(w).alias("p"), "id", "s").orderBy("k", "p").collect():
+        want.setdefault(r.k, []).append((r.p, r.id, r.s))
+    assert got == want
+
+
+@pytest.mark.parametrize("page_size", [1, 7, 10**6])
+def test_unnest_leads_across_page_ends(skewed, page_size):
+    pages = paged_arrays(skewed, ["k"], ["v", "id"], F.col("v"), ["id", "v", "s"], page_size, 40)
+    got = unnest(pages, ["k"], {"at": "position", "id": "id", "v": "v"}, {"next_id": "id", "next_s": "s"})
+    w = Window.partitionBy("k").orderBy("v", "id")
+    want = skewed.select(
+        "k", F.row_number().over(w).alias("at"), "id", "v", F.lead("id").over(w).alias("next_id"),
+        F.lead("s").over(w).alias("next_s"),
+    )
+    assert rows(got) == rows(want)
+
+
+def test_pages_of_nothing_and_bad_size(spark):
+    empty = spark.createDataFrame([], "k long, v long")
+    assert paged_arrays(empty, ["k"], ["v"], F.col("v"), ["v"]).collect() == []
+    with pytest.raises(ValueError):
+        paged_arrays(empty, ["k"], ["v"], F.col("v"), ["v"], page_size=0)
+
+
+@pytest.mark.parametrize("accuracy", [2, 10, 10_000])
+def test_selection_is_exact_whatever_the_sketch(spark, accuracy):
+    """A coarse sketch, ties, NULLs, NULL groups, groups of one row."""
+    rnd = random.Random(accuracy)
+    data = [(rnd.choice([None, 1, 2, 3]), rnd.choice([None, float(rnd.randint(0, 9)), rnd.gauss(0, 1e6)])) for _ in range(3000)]
+    data += [(4, 5.0), (5, None), (6, -0.0), (6, 0.0)]
+    df = spark.createDataFrame(data, "g long, v double").repartition(6)
+    by = {}
+    for g, v in data:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    ranks = lambda n: [F.lit(0), F.floor(n / 3), F.floor(n / 2), n - 1]
+    got = {r.g: (r.n, list(r["at"])) for r in values_at(df, ["g"], "v", [0.0, 1 / 3, 0.5, 1.0], ranks, accuracy).collect()}
+    want = {}
+    for g, vs in by.items():
+        vs, n = sorted(vs), len(vs)
+        want[g] = (n, [vs[0], vs[n // 3], vs[n // 2], vs[-1]])
+    assert got == want
+    med = {r.g: r.m for r in percentile_cont(df, ["g"], "v", 0.5, "m", accuracy).collect()}
+    exact = {r.g: r.m for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect() if r.m is not None}
+    assert med.keys() == exact.keys() and all(med[g] == pytest.approx(exact[g], abs=1e-9) for g in exact)
+
+
+def test_selection_of_nothing(spark):
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert percentile_cont(empty, [], "v", 0.5, "m").first()["m"] is None
+    assert percentile_cont(empty.selectExpr("1 AS g", "v"), ["g"], "v", 0.5, "m").collect() == []
+
+
 def test_running_sums_equal_builtin(skewed):
     df = skewed.withColumn("w", F.when(F.col("s") == "a", F.lit(-1)).otherwise(F.lit(2))).withColumn(
         "b", F.floor(F.col("v") / 9)
