@@ -3,28 +3,39 @@
 Base spans are e-mail and IP addresses, card and phone numbers found by
 pattern and checked (number ranges, digit counts, check digit). Each value is
 a protected entity. From the corpus the operator then estimates how strongly a
-term reveals an entity: with M windows of ``2 * REACH`` words in the corpus,
-an entity seen in n_e different contexts, n_et of them with the term, and a
-term seen cf times in all texts,
+term reveals an entity. Everything is counted in documents: of M different
+texts n_e hold the entity, n_et of them with the term among the ``REACH`` words
+before or after it, and cf hold the term anywhere;
 
     PMI(e, t) = ln(n_et * M / (n_e * cf))     IC(e) = ln(M / n_e)
-
-and the share of the entity's information that the term gives away is
-PMI / IC: 1 for a term that stands only beside that entity, near 0 for a
-common word. Terms at or above the disclosure threshold (with enough different
-contexts, so that copies of one text prove nothing) are marked wherever they
-stand in a text that holds the entity; ``sanitize`` replaces base spans by
-their kind, generalises disclosing terms, and removes those above the higher
-threshold.
-
-Only DataFrame functions are used. Counts cover all texts. Contexts are
-deduplicated and counted by (entity, term), so that a frequent entity is
-spread over its terms. Texts are shuffled only where they hold a disclosing
-term; all other joins carry ids, hashes and spans.
+    disclosure = PMI / IC * n_et / (n_et + 1) * m / (m + 1),  m = min(n_e, cf)
+
+PMI / IC is the share of the entity's information that the term gives away: 1
+for a term that stands only beside that entity, near 0 for a common word. The
+last two factors discount what little support cannot prove: an exclusive term
+reaches 0.25 by one document, 0.44 by two, 0.56 by three, 0.69 by five. Terms
+of any length, numbers too, compete under the same ``threshold``; those at or
+above it are marked wherever they stand in a text that holds the entity.
+``sanitize`` replaces base spans by their kind, generalises disclosing terms,
+and removes those at ``removal`` or above.
+
+Copies prove nothing: equal texts are one text, and near copies are counted as
+one by sketches. Each of ``SKETCHES`` hash functions names a text by the
+smallest hash of its words, which edited copies mostly share; n_e and n_et are
+the smallest number of different names that any of the functions gives.
+
+Only DataFrame functions are used. Counts cover all texts. Pairs of entity and
+term are aggregated map-side, so that a frequent entity is spread over its
+terms; only terms beside one entity in two documents or more (fewer cannot
+reach a threshold above 0.25) are looked up in the corpus, where the words are
+thrown away before the shuffle if those terms, counted first, are at most
+``BROADCAST_ROWS``. Texts are shuffled only where they hold a disclosing term.
 
 Defined results: a null text is empty and has no span; rows with equal texts
-get equal spans; columns named like an output are replaced, others pass
-through; an empty table gives an empty result.
+get equal spans; of overlapping terms the longest that begins first is marked;
+a very long text is searched whole and a very long word is a word; columns
+named like an output are replaced, others pass through; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,9 +43,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, staged, word_count
+from tessera.llm.common import WORD, staged
 
 REACH = 5  # words of context on either side
+SKETCHES = 4
+BROADCAST_ROWS = 100_000
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -106,18 +119,44 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _context(text: Column, span: Column) -> Column:
-    """The ``REACH`` words before and after a span, as one string."""
-    reach = 40 * REACH
-    first = F.greatest(span["start"] - reach, F.lit(0))
-    left = F.regexp_extract_all(F.substring(text, first + 1, span["start"] - first), F.lit(WORD), F.lit(0))
-    right = F.regexp_extract_all(F.substring(text, span["end"] + 1, F.lit(reach)), F.lit(WORD), F.lit(0))
-    return F.concat_ws(" ", F.slice(F.reverse(left), 1, REACH), F.slice(right, 1, REACH))
+def _contexts(text: Column, spans: Column) -> Column:
+    """For each span its entity and the whole words beside it, up to ``REACH``
+    on either side; words that the span touches are left out."""
+
+    def around(words: Column) -> Column:
+        def one(s: Column) -> Column:
+            before = F.substring(text, F.lit(1), s["start"])
+            ended = before.rlike(r"(^|[\x20\x09-\x0D])$")
+            left = F.regexp_count(before, F.lit(WORD)) - F.when(ended, 0).otherwise(1)
+            right = F.regexp_count(F.substring(text, F.lit(1), s["end"]), F.lit(WORD))
+            begin = F.greatest(left - REACH, F.lit(0))
+            return F.struct(
+                _entity(s).alias("entity"),
+                F.concat(F.slice(words, begin + 1, left - begin), F.slice(words, right + 1, REACH)).alias("words"),
+            )
+
+        return F.transform(spans, one)
+
+    # an array of one, so that the words are made once for all spans
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.when(F.size(spans) > 0, F.transform(words, around)[0]).otherwise(
+        F.array().cast("array<struct<entity:string,words:array<string>>>")
+    )
+
+
+def _names(text: Column) -> Column:
+    """The names of a text: smallest word hash by each function."""
+
+    def smallest(words: Column) -> Column:
+        return F.array(*[F.array_min(F.transform(words, lambda w, i=i: F.xxhash64(w, F.lit(i)))) for i in range(SKETCHES)])
+
+    return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), smallest)[0]
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) as doc_id, text_key, spans and contexts, one
-    pass over the texts, staged once as three readers follow."""
+    """``docs`` (doc_id, text) as doc_id, text_key, spans, contexts and names
+    (of texts with a span), one pass over the texts, staged once as several
+    readers follow."""
     text = F.coalesce("text", F.lit(""))
     found = (
         docs.select("doc_id", text.alias("text"))
@@ -126,64 +165,56 @@ def find(docs: DataFrame) -> DataFrame:
             "doc_id",
             F.md5("text").alias("text_key"),
             "spans",
-            F.transform(
-                "spans",
-                lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s).alias("context")),
-            ).alias("contexts"),
-            word_count(F.col("text")).alias("n_words"),
+            _contexts(F.col("text"), F.col("spans")).alias("contexts"),
+            F.when(F.size("spans") > 0, _names(F.col("text"))).alias("names"),
         )
     )
     return staged(found, "pii")
 
 
-def disclosing_terms(
-    docs: DataFrame,
-    found: DataFrame,
-    threshold: float = 0.75,
-    removal: float = 0.9,
-    min_contexts: int = 3,
-    max_repeat: float = 0.7,
-) -> DataFrame:
-    """(entity, term, disclosure, removed) at or above ``threshold``.
-
-    An entity counts only if its contexts are not copies of each other: the
-    mean share of a context's terms that another of its contexts has, which is
-    nearly 1 for edited copies of one text, is at most ``max_repeat``."""
-    contexts = (
-        found.select(F.explode("contexts").alias("c"))
-        .select("c.entity", F.lower("c.context").alias("context"))
-        .distinct()
-        .filter(F.col("context") != "")
-    )
-    n_e = contexts.groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= min_contexts)
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _terms_of(words: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.regexp_extract_all(F.lower(w), F.lit(_TERM), F.lit(0)))))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.4, removal: float = 0.6) -> DataFrame:
+    """(entity, term, disclosure, removed) at or above ``threshold``."""
+    if threshold <= 0.25:
+        raise ValueError("threshold must be above what one document can reach, 0.25")
     beside = (
-        contexts.select(
-            "entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)))).alias("term")
-        )
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_et"))
-    )
-    # of n_e - 1 other contexts, n_et - 1 share the term
-    shared = F.sum(F.col("n_et") * (F.col("n_et") - 1)) / F.sum("n_et")
-    repeat = beside.groupBy(F.col("entity").alias("r")).agg(shared.alias("shared"))
-    varied = n_e.join(repeat, F.col("e") == F.col("r")).filter(F.col("shared") <= max_repeat * (F.col("n_e") - 1)).select("e", "n_e")
-    pairs = (
-        beside.filter((F.col("n_et") >= min_contexts) & (F.length("term") >= 3) & ~F.col("term").rlike("^[0-9]+$"))
-        .join(varied, F.col("entity") == F.col("e"))
+        found.select("names", F.explode("contexts").alias("c"))
+        .select("names", "c.entity", _terms_of(F.col("c.words")).alias("terms"))
+        .dropDuplicates(["entity", "names", "terms"])
     )
-    # one window per 2 * REACH words of the corpus
-    windows = found.agg((F.greatest(F.sum("n_words"), F.lit(1)) / F.lit(2.0 * REACH)).alias("m"))
+    # different names by each function; the least is counted
+    support = F.least(*[F.countDistinct(F.col("names")[i]) for i in range(SKETCHES)])
+    n_e = beside.groupBy(F.col("entity").alias("e")).agg(support.alias("n_e"))
+    n_et = beside.select("names", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(support.alias("n_et"))
+    pairs = staged(n_et.filter("n_et >= 2").join(n_e, F.col("entity") == F.col("e")).drop("e"), "pii-pairs")
+    sought = _bounded(pairs.select("term").distinct())
     frequency = (
-        docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_TERM), F.lit(0))).alias("t"))
-        .groupBy("t")
+        docs.select(F.coalesce("text", F.lit("")).alias("text"))
+        .select(
+            F.xxhash64("text").alias("of"),
+            F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"),
+        )
+        .join(sought, "term")
+        .distinct()
+        .groupBy("term")
         .agg(F.count(F.lit(1)).alias("cf"))
     )
-    m = windows.first()["m"] or 1.0  # one number
-    pmi = F.log(F.col("n_et") * F.lit(m) / (F.col("n_e") * F.col("cf")))
-    ic = F.log(F.greatest(F.lit(m) / F.col("n_e"), F.lit(1.0 + 1e-9)))
+    m = max(found.select("text_key").distinct().count(), 1)  # one number
+    pmi = F.log(F.col("n_et") * F.lit(float(m)) / (F.col("n_e") * F.col("cf")))
+    ic = F.log(F.greatest(F.lit(float(m)) / F.col("n_e"), F.lit(1.0 + 1e-9)))
+    least = F.least("n_e", "cf")
+    discount = F.col("n_et") / (F.col("n_et") + 1) * (least / (least + 1))
     return (
-        pairs.join(frequency, F.col("term") == F.col("t"))
-        .select("entity", "term", (pmi / ic).alias("disclosure"))
+        pairs.join(frequency, "term")
+        .select("entity", "term", (pmi / ic * discount).alias("disclosure"))
         .filter(F.col("disclosure") >= threshold)
         .withColumn("removed", F.col("disclosure") >= removal)
     )
@@ -206,7 +237,7 @@ def _term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
     texts = (
         docs.select(F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("__t_key", F.md5("text"))
-        .join(held, "__t_key")
+        .join(_bounded(held), "__t_key")
         .dropDuplicates(["__t_key"])
     )
     longest_first = F.array_sort("terms", lambda a, b: F.length(b) - F.length(a))
@@ -233,11 +264,11 @@ def detect(docs: DataFrame, **thresholds) -> DataFrame:
     of disclosing terms, each with ``removed``)."""
     rows = docs.select("doc_id", "text")
     found = find(rows)
-    marked = _term_spans(rows, found, disclosing_terms(rows, found, **thresholds))
+    marked = staged(_term_spans(rows, found, disclosing_terms(rows, found, **thresholds)), "pii-spans")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,removed:boolean>>")
     return (
         found.select("doc_id", "text_key", F.col("spans").alias("base"))
-        .join(marked, F.col("text_key") == F.col("__t_key"), "left")
+        .join(_bounded(marked), F.col("text_key") == F.col("__t_key"), "left")
         .select("doc_id", "text_key", "base", F.coalesce("__t_spans", none).alias("terms"))
     )
 
@@ -291,12 +322,13 @@ def sanitize(docs: DataFrame, **thresholds) -> DataFrame:
     ``n_chars`` is brought up to date where there is one."""
     rows = docs.select("doc_id", "text")
     found = find(rows)
-    marked = _term_spans(rows, found, disclosing_terms(rows, found, **thresholds))
+    marked = staged(_term_spans(rows, found, disclosing_terms(rows, found, **thresholds)), "pii-spans")
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,removed:boolean>>")
     # base spans are found again in the row's own text, so texts need no
     # shuffle; what is joined is as large as the texts with disclosing terms
-    out = docs.withColumn("__d_key", F.md5(text)).join(staged(marked, "pii-spans"), F.col("__d_key") == F.col("__t_key"), "left")
+    keyed = F.md5(text) == F.col("__t_key")
+    out = docs.join(_bounded(marked), keyed, "left")
     clean = F.when(F.col("text").isNotNull(), masked(text, base_spans(text), F.coalesce("__t_spans", none)))
     out = out.withColumn("text", clean)
     if "n_chars" in docs.columns:

@@ -95,3 +95,73 @@ def test_query_digest_and_empty_table(spark):
     assert pii.detect(empty).count() == 0 and pii.sanitize(empty).count() == 0
     got = detect(spark, ["mail a@b.c now"])[0]
     assert hashlib.sha256(b"email:5:10").hexdigest() and [tuple(s)[:3] for s in got.base] == [("email", 5, 10)]
+
+
+def plain_terms(texts, threshold=0.4):
+    """(entity, term) by brute force over different texts without near copies."""
+    import math
+
+    texts = sorted({t or "" for t in texts})
+    docs, beside = {}, {}
+    for n, t in enumerate(texts):
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        for k, a, b in brute(t):
+            entity = (k, re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower())
+            docs.setdefault(entity, set()).add(n)
+            near = [w for _, e, w in words if e <= a][-5:] + [w for s, _, w in words if s >= b][:5]
+            for term in {x for w in near for x in re.findall(r"[^\W_]+", w.lower())}:
+                beside.setdefault((entity, term), set()).add(n)
+    m = len(texts)
+    out = set()
+    for (entity, term), of in beside.items():
+        n_e, n_et = len(docs[entity]), len(of)
+        cf = sum(term in re.findall(r"[^\W_]+", t.lower()) for t in texts)
+        least = min(n_e, cf)
+        share = math.log(n_et * m / (n_e * cf)) / math.log(m / n_e) * n_et / (n_et + 1) * least / (least + 1)
+        if share >= threshold:
+            out.add((":".join(entity), term))
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    """Numeric, two-letter and very long terms; a fixed signature; one, two
+    and many documents."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    some = lambda n: " ".join(word() for _ in range(n))
+    long = "x" * 500
+    texts = [f"{some(40)}" for _ in range(200)]
+    texts += [f"{some(20)} 7741 li a.b@c.org {some(20)}" for _ in range(8)]
+    texts += [f"{some(20)} {long} +1 377 555 0271 {some(20)}" for _ in range(4)]
+    texts += [f"{some(20)} best wishes from our house 10.1.2.3 in the old town {some(20)}" for _ in range(5)]
+    texts += [f"{some(20)} once one@time.org {some(20)}", f"{some(9)} twin tw@in.org {some(9)}", f"{some(9)} twin tw@in.org {some(9)}"]
+    texts += [f"{some(9)} li {some(9)}" for _ in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:30]])], "doc_id long, text string")
+    found = pii.find(docs)
+    got = {(r.entity, r.term) for r in pii.disclosing_terms(docs, found).collect()}
+    assert got == plain_terms(texts)
+    assert {("email:a.b@c.org", "7741"), ("phone:13775550271", long), ("ip:10.1.2.3", "town"), ("email:tw@in.org", "twin")} <= got
+    assert not any(e == "email:one@time.org" for e, _ in got)
+
+
+def test_copies_prove_nothing_but_hide_nothing(spark):
+    """An entity in many edited copies of one text: no term of theirs. The
+    same entity in ten real texts too: the term beside it there is found."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(word() for _ in range(60)) for _ in range(400)]
+    for _ in range(40):
+        edited = list(base)
+        for _ in range(3):
+            edited[rng.randrange(300)] = word()
+        texts.append(" ".join([*edited[:150], "copied", "me@here.org", *edited[150:]]))
+    plain = {(r.entity, r.term) for r in _terms(spark, texts)}
+    assert plain == set()
+    texts += [f"{' '.join(word() for _ in range(30))} realname me@here.org {' '.join(word() for _ in range(30))}" for _ in range(10)]
+    assert {r.term for r in _terms(spark, texts)} == {"realname"}
+
+
+def _terms(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return pii.disclosing_terms(docs, pii.find(docs)).collect()
