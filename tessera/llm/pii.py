@@ -14,8 +14,10 @@ PMI / IC is the share of the entity's information that the term gives away: 1
 for a term that stands only beside that entity, near 0 for a common word. The
 last two factors discount what little support cannot prove: an exclusive term
 reaches 0.25 by one document, 0.44 by two, 0.56 by three, 0.69 by five. Terms
-of any length, numbers too, compete under the same ``threshold``; those at or
-above it are marked wherever they stand in a text that holds the entity.
+of any length, numbers too, compete under the same ``threshold``: 0.4 asks for
+proof by two documents, 0.25 is the strict policy under which a word that the
+whole corpus holds only beside that entity is disclosing, seen once or often.
+Terms at or above it are marked wherever they stand in a text that holds the entity.
 ``sanitize`` replaces base spans by their kind, generalises disclosing terms,
 and removes those at ``removal`` or above.
 
@@ -26,10 +28,10 @@ the smallest number of different names that any of the functions gives.
 
 Only DataFrame functions are used. Counts cover all texts. Pairs of entity and
 term are aggregated map-side, so that a frequent entity is spread over its
-terms; only terms beside one entity in two documents or more (fewer cannot
-reach a threshold above 0.25) are looked up in the corpus, where the words are
-thrown away before the shuffle if those terms, counted first, are at most
-``BROADCAST_ROWS``. Texts are shuffled only where they hold a disclosing term.
+terms; only terms with enough documents beside one entity to reach the
+threshold at all (two for the default of 0.4) are looked up in the corpus, where
+the other words are thrown away before the shuffle if those terms, counted
+first, are at most ``BROADCAST_ROWS``. Texts are shuffled only where they hold a disclosing term.
 
 Defined results: a null text is empty and has no span; rows with equal texts
 get equal spans; of overlapping terms the longest that begins first is marked;
@@ -183,8 +185,8 @@ def _terms_of(words: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.4, removal: float = 0.6) -> DataFrame:
     """(entity, term, disclosure, removed) at or above ``threshold``."""
-    if threshold <= 0.25:
-        raise ValueError("threshold must be above what one document can reach, 0.25")
+    # the fewest documents beside the entity that can reach the threshold
+    fewest = next((n for n in range(1, 1000) if (n / (n + 1)) ** 2 >= threshold), 1000)
     beside = (
         found.select("names", F.explode("contexts").alias("c"))
         .select("names", "c.entity", _terms_of(F.col("c.words")).alias("terms"))
@@ -194,7 +196,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.4,
     support = F.least(*[F.countDistinct(F.col("names")[i]) for i in range(SKETCHES)])
     n_e = beside.groupBy(F.col("entity").alias("e")).agg(support.alias("n_e"))
     n_et = beside.select("names", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(support.alias("n_et"))
-    pairs = staged(n_et.filter("n_et >= 2").join(n_e, F.col("entity") == F.col("e")).drop("e"), "pii-pairs")
+    pairs = staged(n_et.filter(F.col("n_et") >= fewest).join(n_e, F.col("entity") == F.col("e")).drop("e"), "pii-pairs")
     sought = _bounded(pairs.select("term").distinct())
     frequency = (
         docs.select(F.coalesce("text", F.lit("")).alias("text"))

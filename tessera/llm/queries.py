@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import sys
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, bpe, lloyd, lm, mixing, order_minhash, pii, quality, repair, rules, simhash, toxicity, urlfilter
 from tessera.llm.common import fold_of, read, staged
 
-# Place of the tokenizer vocabularies (never copied into the repository).
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+# Place of the tokenizer vocabulary (never copied into the repository).
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 # The rules of the URL query.
 URL_RULES = [
@@ -80,7 +81,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.detect(read(spark, sf_dir, "documents"))
+    # strict: a word found nowhere in the corpus but beside an entity discloses it
+    found = pii.detect(read(spark, sf_dir, "documents"), threshold=0.25)
     base, terms = pii.span_list(F.col("base")), pii.span_list(F.col("terms"))
     both = F.array(base, terms)
     return found.select(

@@ -140,6 +140,8 @@ def test_terms_against_brute_force(spark):
     found = pii.find(docs)
     got = {(r.entity, r.term) for r in pii.disclosing_terms(docs, found).collect()}
     assert got == plain_terms(texts)
+    strict = {(r.entity, r.term) for r in pii.disclosing_terms(docs, found, threshold=0.25).collect()}
+    assert strict == plain_terms(texts, 0.25) and ("email:one@time.org", "once") in strict
     assert {("email:a.b@c.org", "7741"), ("phone:13775550271", long), ("ip:10.1.2.3", "town"), ("email:tw@in.org", "twin")} <= got
     assert not any(e == "email:one@time.org" for e, _ in got)
 
