@@ -12,7 +12,9 @@ Both directions are maps over rows: no shuffle, memory bounded by one batch.
 
 Defined results: a null text is the empty text (no ids, decoded to ''); extra
 columns pass through ``encode`` untouched, except that columns named like its
-outputs are replaced; repeated rows give repeated results.
+outputs are replaced; repeated rows give repeated results; a very long text is
+encoded whole; of merges of one rank the leftmost goes first; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,10 @@ Only DataFrame functions are used. Defined results: a null or empty text has
 size 0 and is never taken; a null source is a source of its own, last in
 order; a null id is the empty text in the key; repeated rows count as rows of
 their own; extra columns are dropped, so their names cannot clash; with no
-tokens at all every target is 0; an empty table gives an empty result.
+tokens at all every target is 0; an empty table gives an empty result; a very
+long text is one document, taken in part where the cut falls; rows of one key
+are ordered by size and by the text's digest. Sources must be few: their totals
+pass through one task.
 """
 
 from __future__ import annotations

@@ -39,7 +39,11 @@ on a popular text, hub or class are of many narrow rows with one.
 Defined results: a null text is a class of its own; texts without a word are
 equal only to the same text; repeated rows share a class; a null id never
 names a class that has another id; columns other than doc_id and text are
-dropped by ``classes`` and kept by ``keep_one``, whatever their names.
+dropped by ``classes`` and kept by ``keep_one``, whatever their names; a very
+long text is sketched in pieces and aligned whole; the smallest id names a
+class, so there is no tie; an empty table gives an empty result. ``n_links``
+counts the pairs that hubs met, which join all similar texts but need not be
+all similar pairs.
 """
 
 from __future__ import annotations

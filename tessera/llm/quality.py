@@ -16,7 +16,10 @@ rows, and needs the weights of the n-grams that occurred in the fit only.
 Defined results: null and empty texts have no n-gram and get the score of the
 model's bias; without labelled rows of both classes every score is the share
 of label 1 (0 without labels); repeated rows score alike; extra columns pass
-through and one named ``score`` is replaced.
+through and one named ``score`` is replaced; an empty table gives an empty result; a
+very long text is read whole, except that a single word's shape is that of its
+first 64 characters (the word itself is hashed whole); there are no ties to
+break, as rows are scored one by one.
 """
 
 from __future__ import annotations

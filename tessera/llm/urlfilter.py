@@ -23,7 +23,8 @@ Only DataFrame functions are used. Defined results: null or a text without
 ``://`` has an empty host and path and takes the default verdict, as every URL
 that no rule fits; an empty rule table leaves all URLs to the default; of
 rules repeated with several verdicts block wins; extra columns pass through,
-and columns named like an output are replaced.
+and columns named like an output are replaced; a very long URL is compared
+whole; an empty table of pages gives an empty result.
 """
 
 from __future__ import annotations
