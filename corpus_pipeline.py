@@ -4,7 +4,8 @@ Five stages, each over all that its predecessor kept, each written as Parquet
 and read again by the next: toxic documents go; of each group of near copies
 one document stays; personal data is masked; sources are mixed to their target
 weights (whole documents, repeated by epochs); texts are encoded and checked
-by decoding. All but the last return the columns of ``documents``.
+by decoding. All but the last return the columns of ``documents``. Very long
+texts, repeated rows and empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -27,26 +28,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near copies."""
+    """The document of the smallest id of each class of near copies; documents
+    without a text all stay, as does an empty table."""
     apply_defaults(spark)
     return order_minhash.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; a null text
+    stays null. Terms need two documents to prove that they disclose."""
     apply_defaults(spark)
     return pii.sanitize(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each source up to its target, in whole copies."""
+    """Documents of each source up to its target, in whole copies; texts
+    without a word are never taken, ties go by key, size and text digest."""
     apply_defaults(spark)
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed) and whether they decode to
-    the text."""
+    the text; a null text is the empty text."""
     apply_defaults(spark)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
     decoded = bpe.decode(encoded, TOKENIZER)
