@@ -9,11 +9,19 @@ Spark output.
 Thresholds, labels and output names in ``SCORED``, ``SEG``, ``CB``, ``C360``
 and ``CRFM`` are fixed values that must equal the original queries'.
 
-``LEAF``, ``OH``, ``PREDICTIVE`` and the top names of ``GEO`` are joins and
-groupings where the original has correlated subqueries, which is close to how
-the jobs compute them; no technical reason was recorded when they were
-written so. ``tests/test_brute_force.py`` therefore checks those four pair by
-pair in plain Python, in no shared form.
+Each statement has the form that says most plainly what the job means:
+
+* ``OH`` counts an order's sessions by a subquery on that order, because the
+  number is defined per order;
+* ``PREDICTIVE`` numbers a user's purchases from the last one, because "the
+  category of the last purchase" is a first row of an order, ties included;
+* ``LEAF`` names the finest level of a (date, country) first and then takes the
+  rows of that level, because these are the two sentences of the job;
+* ``GEO`` ranks names by revenue once per kind, because category and brand are
+  the same question.
+
+``tests/test_brute_force.py`` checks these four pair by pair in plain Python, in
+no shared form.
 """
 
 from __future__ import annotations
@@ -351,17 +359,11 @@ SELECT o.order_id, o.customer_id, o.order_date, o.total_amount, o.discount_amoun
   CASE WHEN o.order_status = 'Cancelled' THEN 1 ELSE 0 END AS is_cancelled,
   CASE WHEN o.order_status = 'Returned' THEN 1 ELSE 0 END AS is_returned,
   date_sub('minute', o.cart_creation_timestamp, o.order_timestamp) AS decision_time_minutes,
-  coalesce(recent.n, 0) AS sessions_before_purchase
+  (SELECT count(DISTINCT se.session_id) FROM ref_user_sessions se
+   WHERE se.customer_id = o.customer_id
+     AND se.session_timestamp BETWEEN o.order_timestamp - INTERVAL {LOOKBACK} DAY AND o.order_timestamp
+  ) AS sessions_before_purchase
 FROM ref_orders o
-LEFT JOIN (
-  SELECT w.order_id, count(DISTINCT se.session_id) AS n
-  FROM ref_orders w
-  JOIN ref_user_sessions se
-    ON se.customer_id = w.customer_id
-   AND se.session_timestamp >= w.order_timestamp - INTERVAL {LOOKBACK} DAY
-   AND se.session_timestamp <= w.order_timestamp
-  GROUP BY w.order_id
-) recent ON recent.order_id = o.order_id
 WHERE o.order_date BETWEEN {O_START} AND {O_END}
 """
 

@@ -16,6 +16,7 @@ on the order of summation.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -136,24 +137,49 @@ def customer_metadata(tx: DataFrame) -> DataFrame:
     )
 
 
+# Values that a top-count sketch tracks; see ``mode_error``.
+TRACKED = 10_000
+
+
+def mode_sketches(tx: DataFrame, by: Sequence[str] = ("user_id",), tracked: int = TRACKED) -> DataFrame:
+    """J4b, storable: per group of ``by`` one bounded top-count sketch per mode
+    column and the number of rows ``n`` that it saw, in one aggregation.
+    Sketches of parts of a group (of each month, say) can be kept and merged."""
+    made = [F.expr(f"approx_top_k_accumulate({c}, {int(tracked)})").alias(name) for name, c in MODES.items()]
+    return tx.groupBy(*by).agg(*made, F.count(F.lit(1)).alias("n"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = ("user_id",), tracked: int = TRACKED) -> DataFrame:
+    """Sketches of the groups of ``by`` from stored sketches of finer groups."""
+    merged = [F.expr(f"approx_top_k_combine({name}, {int(tracked)})").alias(name) for name in MODES]
+    return sketches.groupBy(*by).agg(*merged, F.sum("n").alias("n"))
+
+
+def mode_error(n: Column, tracked: int = TRACKED) -> Column:
+    """Bound of a sketch's error: the counts of ``n`` rows are off by at most
+    3.5 n / (size of its table: the power of two at or above tracked / 0.75).
+    They are exact as long as a group has at most ``tracked`` values."""
+    table = 1
+    while table * 0.75 < tracked:
+        table *= 2
+    return F.lit(3.5) * n / table
+
+
+def modes_of(sketches: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
+    """The modes and how often each occurs (``<mode>_count``), as estimated."""
+    top = {name: F.expr(f"approx_top_k_estimate({name}, 1)")[0] for name in MODES}
+    return sketches.select(
+        *by,
+        *[t["item"].alias(name) for name, t in top.items()],
+        *[t["count"].alias(f"{name}_count") for name, t in top.items()],
+        "n",
+    )
+
+
 def customer_modes_approx(tx: DataFrame) -> DataFrame:
-    """J4b: the three modes with Spark's bounded-memory ``approx_top_k`` sketch."""
-    chosen = [F.expr(f"approx_top_k({c}, 1)")[0]["item"].alias(name) for name, c in MODES.items()]
-    return tx.groupBy("user_id").agg(*chosen)
-
-
-def approx_mode_counts(tx: DataFrame) -> DataFrame:
-    """J4b with what makes it checkable: how often each chosen value occurs.
-    A right choice has the top count, whichever of tied values it is."""
-    out = customer_modes_approx(tx)
-    for name, column in MODES.items():
-        counts = tx.groupBy(F.col("user_id").alias("__user"), F.col(column).alias("__value")).agg(
-            F.count(F.lit(1)).alias(f"{name}_count")
-        )
-        out = out.join(
-            counts, F.col("user_id").eqNullSafe(F.col("__user")) & F.col(name).eqNullSafe(F.col("__value")), "left"
-        ).drop("__user", "__value")
-    return out
+    """J4b: the three modes of a user by sketches, in one aggregation. Of tied
+    values any may be chosen; the count is the same."""
+    return modes_of(mode_sketches(tx)).drop("n")
 
 
 # --------------------------------------------------------------------- J5

@@ -178,7 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_transactions": _q(lambda r: r.tx),
     "customer_metadata": _q(lambda r: r.meta),
     "customer_modes_approx": _q(
-        lambda r: commerce.approx_mode_counts(r.tx).select("user_id", *[f"{m}_count" for m in commerce.MODES])
+        lambda r: commerce.customer_modes_approx(r.tx).select("user_id", *[f"{m}_count" for m in commerce.MODES])
     ),
     "rfm_scores": _q(lambda r: commerce.rfm_scores(r.meta, r.p.as_of)),
     "customer_segments": _q(lambda r: r.segments),
