@@ -5,7 +5,7 @@ pattern and checked (number ranges, digit counts, check digit). Each value is
 a protected entity. From the corpus the operator then estimates how strongly a
 term reveals an entity. Everything is counted in documents: of M different
 texts n_e hold the entity, n_et of them with the term among the ``REACH`` words
-before or after it, and cf hold the term anywhere;
+before or after it, and cf rows hold the term anywhere;
 
     PMI(e, t) = ln(n_et * M / (n_e * cf))     IC(e) = ln(M / n_e)
     disclosure = PMI / IC * n_et / (n_et + 1) * m / (m + 1),  m = min(n_e, cf)
@@ -21,17 +21,16 @@ Terms at or above it are marked wherever they stand in a text that holds the ent
 ``sanitize`` replaces base spans by their kind, generalises disclosing terms,
 and removes those at ``removal`` or above.
 
-Copies prove nothing: equal texts are one text, and near copies are counted as
-one by sketches. Each of ``SKETCHES`` hash functions names a text by the
+Copies prove nothing: texts with an entity that are equal or near copies count
+as one, by sketches, in n_e, n_et and in the part of cf beside an entity. Each of ``SKETCHES`` hash functions names a text by the
 smallest hash of its words, which edited copies mostly share; n_e and n_et are
 the smallest number of different names that any of the functions gives.
 
 Only DataFrame functions are used. Counts cover all texts. Pairs of entity and
 term are aggregated map-side, so that a frequent entity is spread over its
 terms; only terms with enough documents beside one entity to reach the
-threshold at all (two for the default of 0.4) are looked up in the corpus, where
-the other words are thrown away before the shuffle if those terms, counted
-first, are at most ``BROADCAST_ROWS``. Texts are shuffled only where they hold a disclosing term.
+threshold at all (two for the default of 0.4) are looked up in the corpus's
+word counts, which are combined map-side. Texts are shuffled only where they hold a disclosing term.
 
 Defined results: a null text is empty and has no span; rows with equal texts
 get equal spans; of overlapping terms the longest that begins first is marked;
@@ -197,17 +196,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.4,
     n_e = beside.groupBy(F.col("entity").alias("e")).agg(support.alias("n_e"))
     n_et = beside.select("names", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(support.alias("n_et"))
     pairs = staged(n_et.filter(F.col("n_et") >= fewest).join(n_e, F.col("entity") == F.col("e")).drop("e"), "pii-pairs")
-    sought = _bounded(pairs.select("term").distinct())
-    frequency = (
-        docs.select(F.coalesce("text", F.lit("")).alias("text"))
-        .select(
-            F.xxhash64("text").alias("of"),
-            F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"),
-        )
-        .join(sought, "term")
-        .distinct()
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("cf"))
+    # rows that hold a term, counted map-side; of those beside an entity, copies count once
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_TERM), F.lit(0))
+    rows_of = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    near = F.array_distinct(F.flatten(F.transform("contexts", lambda c: _terms_of(c["words"]))))
+    copies = (
+        found.filter(F.size("contexts") > 0)
+        .select("names", F.explode(near).alias("near"))
+        .groupBy("near")
+        .agg((F.count(F.lit(1)) - support).alias("copies"))
+    )
+    frequency = rows_of.join(copies, F.col("term") == F.col("near")).select(
+        "term", (F.col("rows") - F.col("copies")).alias("cf")
     )
     m = max(found.select("text_key").distinct().count(), 1)  # one number
     pmi = F.log(F.col("n_et") * F.lit(float(m)) / (F.col("n_e") * F.col("cf")))
