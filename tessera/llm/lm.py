@@ -1,35 +1,43 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is an interpolated n-gram model over words. Its states are the
-contexts seen in the training texts; a state has an arc for each word seen
-after it, and a failure arc to the next shorter context. A text is scored by
-one walk from left to right that carries the state and adds up log10
-probabilities:
-
-    p(w | h) = keep * c(h w) / c(h) + (1 - keep) * p(w | shorter h)
-    p(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))
-
-with the failure arc's weight 1 - keep from a state that was seen, and 1 from
-a context that was not (the walk falls through). An end counts as a word, a
-text begins in the context "start".
+The model is an n-gram model over words with Dirichlet smoothing. Its states
+are the contexts (up to ``order - 1`` words) seen in the training texts, and
+one for no context. A state h that was seen c(h) times has an arc for each word
+seen after it and a failure arc to the context without its oldest word:
+
+    arc w of h        p(w | h) = (c(h w) + mass * p(w | shorter h)) / (c(h) + mass)
+    failure arc of h  mass / (c(h) + mass)
+    no context        p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+
+so that a state's failure weight is its own: near 1 for a context seen once,
+near 0 for one seen a million times, and the words' probabilities in a state
+add up to 1. A text is scored by one walk from left to right. It carries the
+state, the longest context seen; a word without an arc there takes failure arcs
+until it has one, and log10 weights add up. An end counts as a word; a text
+begins in the state "start".
 
 Neither the counts nor the automaton fit one machine, so both are cut up.
 Texts are dealt into chunks of about ``CHUNK_BYTES`` by a hash. A chunk sends
-each distinct n-gram's 64-bit hash once, with the number of times it stands in
-the chunk's training texts, to the range of hashes it belongs to; each range
-adds up what the chunks sent and answers every chunk in the order it asked.
-A chunk's answers are all of the automaton that its texts can reach, and its
-texts walk it together, position by position in vector operations. What moves
-is proportional to the distinct n-grams of the chunks; a hot word or n-gram is
-one row per chunk.
-
-All training texts count, whole; there is no cap. N-grams are told apart by
-64-bit hashes (at 10^10 distinct n-grams about three pairs collide).
+each distinct n-gram's hash once, with the number of times it stands in the
+chunk's training texts, to the range of hashes it belongs to; each range adds
+up what the chunks sent and answers every chunk in the order it asked. A
+chunk's answers are all of the automaton that its texts can reach, as a
+context's count is that of the n-gram that ended a word before. The state
+depends on the last ``order - 1`` words only, so the chunk's texts take their
+steps together, in vector operations. Hot words or n-grams are one number per
+chunk. Chunks and ranges have a partition each, so tasks do not grow with the
+input; messages between them grow with the square of their number.
+
+All training texts count, whole; there is no cap. Words are told apart by 62
+bits. Longer n-grams have keys 18 bits wider than the corpus has bytes (at most
+62 bits): one has the key of another with a probability of about 2**-18.
 
 Defined results: a null text is empty: no word, only the end; without training
 texts N = V = 0 and every word has the base model's even share; repeated rows
-score alike; columns other than doc_id and text are dropped, so their names
-cannot clash; an empty table gives an empty result.
+score alike (those of one id and text share a chunk); a very long text is one
+chunk's work, in vector operations; there are no ties to break; columns other
+than doc_id and text are dropped, so their names cannot clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +52,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Buffer, fold_of, mix64, slices
 
 CHUNK_BYTES = 8 << 20
+WORD_BITS = 62
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,105 +91,133 @@ def grams(tok: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def contexts(tok: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 2..order the hash of the context of the n-gram that ends at
-    each position, as ``grams`` would name it where it ended itself."""
-    first = np.cumsum(counts) - counts
-    place = np.arange(len(tok)) - np.repeat(first, counts)
-    ended = grams(tok, counts, order - 1)
-    out = []
-    for n in range(2, order + 1):
-        c = np.concatenate(([np.uint64(0)], ended[n - 2][:-1]))
-        at_start = _start(n - 1)
-        c[place == 0] = at_start
-        out.append(c)
-    return out
-
-
-def _start(length: int) -> np.uint64:
-    """Name of the context of ``length`` starts."""
-    return mix64(np.array([START], np.uint64) + np.uint64(length))[0]
-
-
-def _asked(texts: list[str | None], train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram hashes of a chunk and their training counts.
-    Contexts of starts are counted with them, once a text."""
-    tok, counts = tokens(texts)
+def _arcs(tok: np.ndarray, counts: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """At each position the key of the word, and those of the longer n-grams."""
     named = grams(tok, counts, order)
-    training = np.repeat(train, counts)
-    keys = np.concatenate([*named, *[np.full(len(texts), _start(k), np.uint64) for k in range(1, order)]])
-    flags = np.concatenate([training] * order + [train] * (order - 1))
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(inverse, weights=flags, minlength=len(distinct)).astype(np.uint32)
+    return named[0] >> np.uint64(64 - WORD_BITS), [g >> np.uint64(64 - bits) for g in named[1:]]
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def _counted(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the number of flagged occurrences of each. The
+    flag is sorted as the key's lowest bit, which is faster than an argsort."""
+    both = np.sort((keys << np.uint64(1)) | flags.astype(np.uint64))
+    key = both >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    flagged = np.concatenate(([0], np.cumsum(both & np.uint64(1), dtype=np.int64)))
+    return key[first], np.diff(flagged[np.concatenate((first, [len(key)]))])
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray, bits: int) -> np.ndarray:
+    """Places of ``wanted``, all of which are among the sorted distinct
+    ``keys``. Keys are evenly spread hashes: their leading bits give the place
+    but for a few steps."""
+    lead = min(bits, max(1, len(keys)).bit_length())
+    shift = np.uint64(bits - lead)
+    begins = np.searchsorted(keys, np.arange(1 << lead, dtype=np.uint64) << shift)
+    at = begins[wanted >> shift]
+    late = np.flatnonzero(keys[at] != wanted) if len(wanted) else at
+    while len(late):
+        at[late] += 1
+        late = late[keys[at[late]] != wanted[late]]
+    return at
+
+
+def _asked(texts: list[str | None], train: np.ndarray, order: int, bits: int):
+    """Sorted distinct keys of a chunk's words and their training counts, and
+    the same of its longer n-grams."""
+    tok, counts = tokens(texts)
+    training = np.repeat(train.astype(bool), counts)
+    word, arcs = _arcs(tok, counts, order, bits)
+    longer = np.concatenate(arcs) if arcs else np.zeros(0, np.uint64)
+    return *_counted(word, training), *_counted(longer, np.concatenate([training] * len(arcs)) if arcs else training[:0])
 
 
-def _walk(texts: list[str | None], keys: np.ndarray, count: np.ndarray, order: int, keep: float, z: float):
-    """tokens, known tokens, base score and model score of each text, given
-    the counts of the chunk's n-grams (``keys`` sorted)."""
+def _walk(texts: list[str | None], totals, order: int, bits: int, mass: float, z: float, n_texts: int):
+    """tokens, known tokens, base score and model score of each text.
+    ``totals`` gives the training counts of the chunk's distinct words and
+    longer n-grams in the order of their keys."""
     tok, n = tokens(texts)
-    at = lambda names: count[np.searchsorted(keys, names)].astype(np.float64)
-    named = grams(tok, n, order)
-    c = at(named[0])
-    p = (c + 0.5) / z
-    known, base = c > 0, np.log10(p)
-    for arc, state in zip(named[1:], contexts(tok, n, order)):
-        of_state = at(state)
-        seen = of_state > 0
-        p = np.where(seen, keep * at(arc) / np.maximum(of_state, 1) + (1 - keep) * p, p)
-    bounds = np.cumsum(n) - n
-    total = lambda v: np.add.reduceat(v, bounds) if len(n) else np.zeros(0)
-    return n, total(known.astype(np.int64)), total(base), total(np.log10(p))
+    word, arcs = _arcs(tok, n, order, bits)
+    first = np.cumsum(n) - n
+    count = totals[0][_find(_distinct(word), word, WORD_BITS)].astype(np.float64)
+    p = (count + 0.5) / z
+    weight = base = np.log10(p)
+    known = count > 0
+    keys = _distinct(np.concatenate(arcs)) if arcs else word[:0]
+    for key in arcs:
+        # the state's count: its n-gram ended one word before
+        state = np.concatenate(([0.0], count[:-1]))
+        state[first] = n_texts
+        count = totals[1][_find(keys, key, bits)].astype(np.float64)
+        failure = mass / (state + mass)
+        p = count / (state + mass) + failure * p
+        weight = np.where(count > 0, np.log10(p), np.log10(failure) + weight)
+    total = lambda v: np.add.reduceat(v, first) if len(n) else np.zeros(0)
+    return n, total(known.astype(np.int64)), total(base), total(weight)
 
 
 def score(
     docs: DataFrame,
     folds: int = 5,
     held_out: int = 1,
-    order: int = 2,
-    keep: float = 0.25,
+    order: int = 3,
+    mass: float = 10.0,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose fold is ``held_out`` are scored but not learned from."""
-    spark = docs.sparkSession
     rows = docs.select(
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
         (fold_of(F.col("doc_id"), folds) != held_out).alias("train"),
     )
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, -(-size // chunk_bytes))
+    # an end counts as a byte, so that texts without a word make chunks too
+    size, n_texts = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if("train")).first()
+    n_chunks = max(1, -(-(size or 0) // chunk_bytes))
+    bits = min(WORD_BITS, int(size or 0).bit_length() + 18)
     # as many ranges of hashes as chunks: a range holds a chunk's worth of n-grams
     ranges = n_chunks
     n_train, vocabulary = _training_size(rows, ranges)
     z = n_train + 0.5 * (vocabulary + 1)
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
+    # a partition a chunk: tasks stay as they are however many chunks there are
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))).repartition(n_chunks, "chunk")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys, count = _asked(table["text"].to_pylist(), np.asarray(table["train"]), order)
-        return _messages(key[0].as_py(), keys, count, ranges)
-
-    def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
-        counts = [_unpacked(x) for x in table["counts"].to_pylist()]
-        every = np.concatenate(keys)
-        distinct, inverse = np.unique(every, return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts)).astype("<u8")
-        ends = np.cumsum([len(k) for k in keys])
-        back = [_packed(total[inverse[e - len(k) : e]]) for k, e in zip(keys, ends)]
-        return pa.table(
-            {"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array(back, pa.binary())}
-        )
+        words, word_counts, arcs, arc_counts = _asked(table["text"].to_pylist(), np.asarray(table["train"]), order, bits)
+        sent = [(_cut(words, ranges, WORD_BITS), words, word_counts), (_cut(arcs, ranges, bits), arcs, arc_counts)]
+        used = [r for r in range(ranges) if any(c[r] < c[r + 1] for c, _, _ in sent)]
+        columns = {"chunk": pa.array([key[0].as_py()] * len(used), pa.int64()), "bucket": pa.array(used, pa.int64())}
+        for name, (c, keys, counts) in zip(("words", "arcs"), sent):
+            columns[name] = pa.array([_packed_keys(keys[c[r] : c[r + 1]]) for r in used], pa.binary())
+            columns[f"{name[:-1]}_counts"] = pa.array([_packed(counts[c[r] : c[r + 1]]) for r in used], pa.binary())
+        return pa.table(columns)
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        out = {"chunk": table["chunk"], "bucket": table["bucket"]}
+        for name in ("word", "arc"):
+            keys = [_unpacked_keys(x) for x in table[f"{name}s"].to_pylist()]
+            counts = np.concatenate([_unpacked(x) for x in table[f"{name}_counts"].to_pylist()])
+            every = np.concatenate(keys)
+            distinct = _distinct(every)
+            place = np.searchsorted(distinct, every)
+            total = np.bincount(place, weights=counts, minlength=len(distinct)).astype("<u8")[place]
+            ends = np.cumsum([len(k) for k in keys])
+            out[f"{name}_totals"] = pa.array([_packed(total[e - len(k) : e]) for k, e in zip(keys, ends)], pa.binary())
+        return pa.table(out)
 
     def walk(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left["text"].to_pylist()
         if not texts:
             return pa.table({c: pa.array([], t) for c, t in _OUT.items()})
-        keys, _ = _asked(texts, np.zeros(len(texts)), order)
-        came = sorted(zip(right["bucket"].to_pylist(), right["totals"].to_pylist()), key=lambda x: x[0])
-        count = np.concatenate([_unpacked(x) for _, x in came])
-        n, known, base, model = _walk(texts, keys, count, order, keep, z)
+        came = right.sort_by("bucket")
+        totals = [np.concatenate([_unpacked(x) for x in came[c].to_pylist()]) for c in ("word_totals", "arc_totals")]
+        n, known, base, model = _walk(texts, totals, order, bits, mass, z, n_texts)
         return pa.table(
             {
                 "doc_id": left["doc_id"].cast(pa.string()),
@@ -192,8 +229,8 @@ def score(
             }
         )
 
-    asked = chunked.groupBy("chunk").applyInArrow(ask, _MESSAGE)
-    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary")
+    asked = chunked.groupBy("chunk").applyInArrow(ask, _MESSAGE).repartition(ranges, "bucket")
+    answered = asked.groupBy("bucket").applyInArrow(answer, _ANSWER).repartition(n_chunks, "chunk")
     scored = (
         chunked.groupBy("chunk")
         .cogroup(answered.groupBy("chunk"))
@@ -210,7 +247,8 @@ def score(
     )
 
 
-_MESSAGE = "chunk long, bucket long, keys binary, counts binary"
+_MESSAGE = "chunk long, bucket long, words binary, word_counts binary, arcs binary, arc_counts binary"
+_ANSWER = "chunk long, bucket long, word_totals binary, arc_totals binary"
 _OUT = {
     "doc_id": pa.string(),
     "held_out": pa.bool_(),
@@ -222,29 +260,40 @@ _OUT = {
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts in eight bytes each, compressed: nearly all are small."""
-    raw = counts.astype("<u8").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Counts in as many bytes each as the largest needs, compressed."""
+    width = np.min_scalar_type(int(counts.max()) if len(counts) else 0)
+    raw = counts.astype(width.newbyteorder("<")).tobytes()
+    return bytes([width.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    size = int.from_bytes(packed[:8], "little")
-    return np.frombuffer(pa.decompress(packed[8:], size, codec="zstd", asbytes=True), "<u8")
-
-
-def _messages(chunk: int, keys: np.ndarray, count: np.ndarray, ranges: int) -> pa.Table:
-    """A chunk's sorted keys cut at the bounds of the hash ranges."""
-    bounds = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=np.uint64)
-    cuts = np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
-    used = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
-    return pa.table(
-        {
-            "chunk": pa.array([chunk] * len(used), pa.int64()),
-            "bucket": pa.array(used, pa.int64()),
-            "keys": pa.array([keys[cuts[r] : cuts[r + 1]].astype("<u8").tobytes() for r in used], pa.binary()),
-            "counts": pa.array([_packed(count[cuts[r] : cuts[r + 1]]) for r in used], pa.binary()),
-        }
-    )
+    size = int.from_bytes(packed[1:9], "little")
+    raw = pa.decompress(packed[9:], size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{packed[0]}").astype(np.uint64)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps; the first bytes of all steps, then the second
+    ones, and so on, so that the nearly empty high bytes compress well."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    planes = steps.view(np.uint8).reshape(-1, 8).T.copy()
+    raw = planes[: planes.any(axis=1).nonzero()[0].max(initial=0) + 1].tobytes()
+    return len(keys).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked_keys(packed: bytes) -> np.ndarray:
+    n, size = (int.from_bytes(packed[i : i + 8], "little") for i in (0, 8))
+    planes = np.zeros((8, n), np.uint8)
+    if n:
+        raw = pa.decompress(packed[16:], size, codec="zstd", asbytes=True)
+        planes[: size // n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _cut(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """Sorted keys of ``bits`` bits cut at the bounds of the hash ranges."""
+    bounds = np.array([(r << bits) // ranges for r in range(1, ranges)], dtype=np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
 
 def _training_size(rows: DataFrame, ranges: int) -> tuple[int, int]:
@@ -268,19 +317,30 @@ def _training_size(rows: DataFrame, ranges: int) -> tuple[int, int]:
 
     def send(keys: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
         keys = np.unique(mix64(keys))
-        table = _messages(total, keys, np.zeros(0), ranges).select(["chunk", "bucket", "keys"])
-        first = [True] + [False] * (table.num_rows - 1)
-        tokens_ = pa.array([total if f else 0 for f in first], pa.int64())
-        yield from table.set_column(0, "tokens", tokens_).to_batches()
+        cuts = _cut(keys, ranges, 64)
+        used = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
+        yield from pa.table(
+            {
+                "tokens": pa.array([total] + [0] * (len(used) - 1), pa.int64()),
+                "bucket": pa.array(used, pa.int64()),
+                "keys": pa.array([_packed_keys(keys[cuts[r] : cuts[r + 1]]) for r in used], pa.binary()),
+            }
+        ).to_batches()
 
     def distinct(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()])
-        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "words": pa.array([len(np.unique(keys))], pa.int64())})
+        keys = np.concatenate([_unpacked_keys(x) for x in table["keys"].to_pylist()])
+        return pa.table(
+            {
+                "tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()),
+                "words": pa.array([len(_distinct(keys))], pa.int64()),
+            }
+        )
 
     got = (
         rows.filter("train")
         .select("text")
         .mapInArrow(words, "tokens long, bucket long, keys binary")
+        .repartition(ranges, "bucket")
         .groupBy("bucket")
         .applyInArrow(distinct, "tokens long, words long")
         .agg(F.sum("tokens"), F.sum("words"))
