@@ -9,9 +9,9 @@ seen after it and a failure arc to the context without its oldest word:
     failure arc of h  mass / (c(h) + mass)
     no context        p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-so that a state's failure weight is its own: near 1 for a context seen once,
-near 0 for one seen a million times, and the words' probabilities in a state
-add up to 1. A text is scored by one walk from left to right. It carries the
+with a mass for each length of h. A state's failure weight is its own: near 1
+for a context seen once, near 0 for one seen a million times; the words'
+probabilities in a state add up to 1. A text is scored by one walk from left to right. It carries the
 state, the longest context seen; a word without an arc there takes failure arcs
 until it has one, and log10 weights add up. An end counts as a word; a text
 begins in the state "start".
@@ -53,6 +53,7 @@ from tessera.llm.common import Buffer, fold_of, mix64, slices
 
 CHUNK_BYTES = 8 << 20
 WORD_BITS = 62
+MASSES = (3000.0, 10.0)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,19 +138,19 @@ def _asked(texts: list[str | None], train: np.ndarray, order: int, bits: int):
     return *_counted(word, training), *_counted(longer, np.concatenate([training] * len(arcs)) if arcs else training[:0])
 
 
-def _walk(texts: list[str | None], totals, order: int, bits: int, mass: float, z: float, n_texts: int):
+def _walk(texts: list[str | None], totals, masses: tuple[float, ...], bits: int, z: float, n_texts: int):
     """tokens, known tokens, base score and model score of each text.
     ``totals`` gives the training counts of the chunk's distinct words and
     longer n-grams in the order of their keys."""
     tok, n = tokens(texts)
-    word, arcs = _arcs(tok, n, order, bits)
+    word, arcs = _arcs(tok, n, len(masses) + 1, bits)
     first = np.cumsum(n) - n
     count = totals[0][_find(_distinct(word), word, WORD_BITS)].astype(np.float64)
     p = (count + 0.5) / z
     weight = base = np.log10(p)
     known = count > 0
     keys = _distinct(np.concatenate(arcs)) if arcs else word[:0]
-    for key in arcs:
+    for key, mass in zip(arcs, masses):
         # the state's count: its n-gram ended one word before
         state = np.concatenate(([0.0], count[:-1]))
         state[first] = n_texts
@@ -165,13 +166,15 @@ def score(
     docs: DataFrame,
     folds: int = 5,
     held_out: int = 1,
-    order: int = 3,
-    mass: float = 10.0,
+    masses: tuple[float, ...] = MASSES,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Rows whose fold is ``held_out`` are scored but not learned from."""
+    Rows whose fold is ``held_out`` are scored but not learned from. ``masses``
+    has the mass of the states of one word, of two, and so on; the order is
+    their number and one."""
+    order = len(masses) + 1
     rows = docs.select(
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
@@ -217,7 +220,7 @@ def score(
             return pa.table({c: pa.array([], t) for c, t in _OUT.items()})
         came = right.sort_by("bucket")
         totals = [np.concatenate([_unpacked(x) for x in came[c].to_pylist()]) for c in ("word_totals", "arc_totals")]
-        n, known, base, model = _walk(texts, totals, order, bits, mass, z, n_texts)
+        n, known, base, model = _walk(texts, totals, masses, bits, z, n_texts)
         return pa.table(
             {
                 "doc_id": left["doc_id"].cast(pa.string()),

@@ -17,8 +17,9 @@ def words(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), "</s>"]
 
 
-def brute(rows, order, mass):
+def brute(rows, masses):
     """Counts in dictionaries; a walk that carries the state through arcs and failure arcs."""
+    order = len(masses) + 1
     held = [crc32(str(i if i is not None else "").encode()) % FOLDS == HELD for i, _ in rows]
     count = Counter()
     for (_, t), h in zip(rows, held):
@@ -37,6 +38,7 @@ def brute(rows, order, mass):
         """Arc weight of w in the state h, failure arcs included."""
         if not h:
             return p1(w)
+        mass = masses[len(h) - 1]
         if not count[h + (w,)]:
             return mass / (count[h] + mass) * weight(w, h[1:])
         return (count[h + (w,)] + mass * weight(w, h[1:])) / (count[h] + mass)
@@ -63,18 +65,18 @@ def brute(rows, order, mass):
     return sorted(out)
 
 
-@pytest.mark.parametrize("order, chunk", [(1, 1 << 20), (2, 700), (3, 1 << 20), (3, 1500), (4, 3000)])
-def test_scores_match_brute_force(spark, order, chunk):
-    rng = random.Random(order)
+@pytest.mark.parametrize("masses, chunk", [((), 1 << 20), ((3.0,), 700), ((9.0, 2.0), 1 << 20), ((9.0, 2.0), 1500), ((3.0, 2.0, 1.0), 3000)])
+def test_scores_match_brute_force(spark, masses, chunk):
+    rng = random.Random(len(masses))
     vocab = ["a", "B", "b", "É", "é", "xx", "yy,", "日本", "\u0085"]
     rows = [(i, rng.choice([" ", "\n"]).join(rng.choice(vocab) for _ in range(rng.randrange(25)))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, " \t"), (None, "a b"), (3, rows[3][1]), (3, rows[3][1]), (600, "a b " * 3000)]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
     got = sorted(
         (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)
-        for r in lm.score(docs, order=order, mass=3.0, chunk_bytes=chunk).collect()
+        for r in lm.score(docs, masses=masses, chunk_bytes=chunk).collect()
     )
-    want = brute(rows, order, 3.0)
+    want = brute(rows, masses)
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
@@ -105,6 +107,6 @@ def test_a_failure_weight_belongs_to_its_state(spark):
     held = [i for i in range(400) if crc32(str(i).encode()) % FOLDS == HELD]
     rows = [(i, "rare x" if k == 0 else "often y") for k, i in enumerate(train)]
     rows += [(held[0], "rare z"), (held[1], "often z"), (held[2], "z rare q"), (held[3], "z often q")]
-    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), masses=(10.0,)).collect()}
     lost = lambda i: got[i].score - got[i].base_score
     assert lost(held[3]) - lost(held[2]) < -1  # log10 (mass / (mass + c))
