@@ -20,13 +20,16 @@ few rows: the threshold is the 2k-th best of those in the query's probed
 lists, so that at least k of them are found there even if some are abandoned.
 What survives is scored exactly on the original vectors, in double precision,
 and the k best of all groups are the result. A query probes further lists
-while those it has hold fewer than k others.
+while those it has hold fewer than k others. The test may abandon too much, as
+equal vectors are abandoned together: a query left with fewer than k rows is
+searched again, in all lists and without abandoning.
 
 Defined results: null or zero vectors, vectors holding null or non-finite
 components, and vectors that have not the most common number of dimensions
-take no part; a query never meets rows of its own id; a repeated row is one
-vector (of several vectors under one id all are candidates, and the smallest
-is the query); ties go to the smaller id; columns other than the id and the
+take no part; a query never meets rows of its own id; a repeated row is scanned
+once and is an answer as often as it occurs (of several vectors under one id
+all are candidates, and the smallest is the query); ties go to the smaller id;
+columns other than the id and the
 vector are dropped; an empty table gives an empty result.
 """
 
@@ -37,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +53,17 @@ Z = 3.0
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): valid vectors of the most common dimension, as doubles."""
+    """(vec_id, v, copies): distinct valid vectors of the most common
+    dimension, as doubles, and how often the row occurs."""
     v = F.col(embedding).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite_and_some(F.col(embedding), finite)
     )
     common = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.filter(F.size("v") == (common["n"] if common else 0)).distinct()
+    return (
+        rows.filter(F.size("v") == (common["n"] if common else 0)).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    )
 
 
 def finite_and_some(v: Column, finite: Column) -> Column:
@@ -183,10 +190,8 @@ def search(
     spark = base.sparkSession
     vectors = staged(usable(base, vec_id, embedding), "ann-vectors")
     index = fit(vectors, max_fit)
-    result = "query_id long, vec_id long, score double"
     if index is None:
-        none = spark.createDataFrame([], result)
-        return none.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(index)
     lists = len(index.centroids)
     probes = max(1, int(np.ceil(probe * lists)))
@@ -196,9 +201,9 @@ def search(
         for batch in batches:
             if batch.num_rows:
                 near = nearest(_matrix(batch.column(1)) @ known.rotation, known.centroids)[:, 0]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int64())], names=["vec_id", "v", "list"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int64())], names=[*batch.schema.names, "list"])
 
-    filed = staged(vectors.mapInArrow(file_under, "vec_id long, v array<double>, list long"), "ann-lists")
+    filed = staged(vectors.mapInArrow(file_under, "vec_id long, v array<double>, copies long, list long"), "ann-lists")
     asked = usable(queries, vec_id, embedding).filter(F.size("v") == index.rotation.shape[0])
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -230,7 +235,7 @@ def search(
                     first = np.full(len(q), -np.inf)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *batch.columns,
+                        *batch.columns[:2],
                         pa.array(first),
                         pa.array([n[:d] for n, d in zip(near, depth)], pa.list_(pa.int64())),
                     ],
@@ -240,6 +245,36 @@ def search(
     probing = staged(
         asked.mapInArrow(probe_lists, "query_id long, q array<double>, tau double, lists array<long>"), "ann-queries"
     )
+    # a query has at most k rows per group
+    best = staged(_best(_scan_lists(filed, probing, vectors_of, sent, lists, k, Z), k), "ann-found")
+    full = best.filter(F.col("rank") == k).select("query_id")
+    short = probing.join(full, "query_id", "left_anti").select(
+        "query_id",
+        "q",
+        F.lit(float("-inf")).alias("tau"),
+        F.array(*[F.lit(i).cast("long") for i in range(lists)]).alias("lists"),
+    )
+    again = _best(_scan_lists(filed, staged(short, "ann-again"), vectors_of, sent, lists, k, np.inf), k)
+    return best.join(full, "query_id", "left_semi").unionByName(again)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ``k`` best found; a row that
+    occurs several times takes as many ranks."""
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
+    return (
+        each.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
+        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    )
+
+
+def _scan_lists(
+    filed: DataFrame, probing: DataFrame, vectors_of: dict[int, int], sent: Broadcast, lists: int, k: int, z: float
+) -> DataFrame:
+    """(query_id, vec_id, score, copies): at most ``k`` rows of each pair of
+    blocks of a probed list."""
     queries_of = {
         r["list"]: r["n"]
         for r in probing.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -257,6 +292,7 @@ def search(
         F.explode(F.sequence(F.lit(0).cast("long"), number(query_blocks, "list") - 1)).alias("query_block"),
         "vec_id",
         "v",
+        "copies",
     )
     theirs = (
         probing.select("query_id", "q", "tau", F.explode("lists").alias("list"))
@@ -267,19 +303,16 @@ def search(
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            types = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64(), "copies": pa.int64()}
+            return pa.table({c: pa.array([], t) for c, t in types.items()})
         qid, xid = np.asarray(right["query_id"]), np.asarray(left["vec_id"])
         rows, cols, score = scan(
-            qid, _matrix(right["q"]), np.asarray(right["tau"]), xid, _matrix(left["v"]), sent.value.rotation, k
+            qid, _matrix(right["q"]), np.asarray(right["tau"]), xid, _matrix(left["v"]), sent.value.rotation, k, z
+        )
+        return pa.table(
+            {"query_id": qid[rows], "vec_id": xid[cols], "score": score, "copies": np.asarray(left["copies"])[cols]}
         )
-        return pa.table({"query_id": pa.array(qid[rows]), "vec_id": pa.array(xid[cols]), "score": pa.array(score)})
 
     keys = ("list", "block", "query_block")
-    found = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(group, result)
-    # a query has at most k rows per group
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    result = "query_id long, vec_id long, score double, copies long"
+    return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(group, result)
