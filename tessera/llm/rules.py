@@ -8,18 +8,22 @@ splits isolate an odd document after few steps, so a short mean path length
 means an anomaly. A document is kept if the base rules pass and its anomaly
 score is at most the threshold.
 
-Forest and threshold come from at most ``max_rows`` labelled rows, chosen by a
-hash of the id (the bound of the fit): trees grow on the rows of label 1, and
-the threshold is the one that tells the labels apart best while losing at most
-``max_loss`` of the label-1 rows that pass the base rules. All counts are
-taken over whole texts of all rows, a map without a shuffle.
+Forest and threshold are learnt from all labelled rows that pass the base
+rules. Trees split the range of all of them; where a tree goes on to split is
+decided by ``sample`` rows of label 1 of its own, as an isolation forest does,
+and the path lengths by how many of all label-1 rows lie in each leaf. The
+threshold is the one that tells the labels of all rows apart best while losing
+at most ``max_loss`` of label 1. All counts are taken over whole texts of all
+rows, a map without a shuffle; of the labelled rows only labels and figures
+are shuffled and staged.
 
 Defined results: null and empty texts have no word, all counts 0, and fail
 the base rules; without labelled rows no document is an anomaly; repeated rows
 give repeated results; columns other than doc_id and text are dropped, so
 their names cannot clash; a very long text is counted whole; an empty table
-gives an empty result; equal scores are judged alike by one threshold. The
-threshold is set on the labelled rows that the trees grew on.
+gives an empty result; equal scores are judged alike by one threshold; an id
+labelled several times counts with its highest label. The threshold is set on
+the labelled rows that the forest is learnt from.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Buffer, labelled_sample, mix64, slices
+from tessera.llm.common import Buffer, mix64, slices, staged
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -41,6 +45,9 @@ MAX_REPEATED = 30  # per cent of the words
 # words equal to the one before, on a log scale that begins at these values.
 SCALE = np.array([0.005, 0.05, 0.1, 0.05, 0.02])
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+TREES, SAMPLE = 200, 256
+# Scores are cut into so many bins; sums run along the bins, then inside each.
+BINS = 1 << 16
 
 
 def _members(chars: str) -> np.ndarray:
@@ -133,28 +140,30 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 
 def _expected(n: np.ndarray | float) -> np.ndarray:
-    """Mean path length of an unsuccessful search in a tree of n points."""
+    """Mean path length of an unsuccessful search in a tree of n points; n may
+    be a mean, so it is linear between 1, 2 and 3 points."""
     n = np.maximum(np.asarray(n, dtype=float), 1.0)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
+    path = lambda m: 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+    return np.where(n >= 3, path(np.maximum(n, 3.0)), np.interp(n, [1.0, 2.0, 3.0], [0.0, 1.0, path(3.0)]))
 
 
 @dataclass
 class Forest:
     """Trees as arrays: split feature (-1 at a leaf), split value, children,
-    and at leaves the path length."""
+    and at leaves the path length; ``depth`` of each node."""
 
     feature: np.ndarray
     value: np.ndarray
     child: np.ndarray
     path: np.ndarray
+    depth: np.ndarray
     sample: int
     threshold: float = float("inf")
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score in (0, 1]: 2 to the minus mean path length, scaled."""
-        total = np.zeros(len(x))
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree the leaf of every row."""
         rows = np.arange(len(x))
-        for feature, value, child, path in zip(self.feature, self.value, self.child, self.path):
+        for feature, value, child in zip(self.feature, self.value, self.child):
             node = np.zeros(len(x), np.int64)
             while True:
                 f = feature[node]
@@ -163,12 +172,26 @@ class Forest:
                     break
                 right = (x[rows, np.maximum(f, 0)] >= value[node]).astype(np.int64)
                 node = np.where(inner, child[node] + right, node)
+            yield node
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Anomaly score in (0, 1]: 2 to the minus mean path length, scaled."""
+        total = np.zeros(len(x))
+        for path, node in zip(self.path, self.leaves(x)):
             total += path[node]
         return 2.0 ** (-total / max(1, len(self.feature)) / max(1e-9, float(_expected(self.sample))))
 
+    def masses(self, x: np.ndarray) -> np.ndarray:
+        """How many of the rows lie in each leaf: trees x nodes."""
+        return np.stack([np.bincount(node, minlength=self.feature.shape[1]) for node in self.leaves(x)])
+
+    def weigh(self, masses: np.ndarray, rows: int) -> None:
+        """Path lengths by the share of ``rows`` rows in each leaf."""
+        self.path = self.depth + _expected(masses * (self.sample / rows))
+
 
 def grow(
-    x: np.ndarray, space: np.ndarray | None = None, trees: int = 200, sample: int = 256, depth_limit: int = 14, seed: int = 11
+    x: np.ndarray, space: np.ndarray | None = None, trees: int = TREES, sample: int = SAMPLE, depth_limit: int = 14, seed: int = 11
 ) -> Forest:
     """Isolation trees, each on ``sample`` random rows of ``x``. Splits are
     drawn over the box that the node covers, which at the root is the range of
@@ -179,81 +202,120 @@ def grow(
     space = x if space is None or not len(space) else space
     built = []
     for _ in range(trees):
-        nodes: list[tuple[int, float, int, float]] = [(-1, 0.0, 0, 0.0)]
+        nodes: list[tuple[int, float, int, float, int]] = [(-1, 0.0, 0, 0.0, 0)]
         start = (0, x[rng.choice(len(x), sample, replace=False)], 0, space.min(0), space.max(0))
         stack = [start]
         while stack:
             node, part, depth, low, high = stack.pop()
             open_ = np.flatnonzero(high > low)
             if depth >= depth_limit or len(part) <= 1 or not len(open_):
-                nodes[node] = (-1, 0.0, 0, depth + float(_expected(len(part))))
+                nodes[node] = (-1, 0.0, 0, depth + float(_expected(len(part))), depth)
                 continue
             f = int(rng.choice(open_))
             cut = rng.uniform(low[f], high[f])
-            nodes[node] = (f, cut, len(nodes), 0.0)
+            nodes[node] = (f, cut, len(nodes), 0.0, depth)
             right = part[:, f] >= cut
             for k, side in enumerate((part[~right], part[right])):
                 box = low.copy(), high.copy()
                 box[1 - k][f] = cut
                 stack.append((len(nodes), side, depth + 1, *box))
-                nodes.append((-1, 0.0, 0, depth + 1.0))
+                nodes.append((-1, 0.0, 0, depth + 1.0, depth + 1))
         built.append(nodes)
     size = max(map(len, built))
-    padded = [n + [(-1, 0.0, 0, 0.0)] * (size - len(n)) for n in built]
-    columns = [np.array([[node[k] for node in n] for n in padded]) for k in range(4)]
-    return Forest(columns[0].astype(np.int64), columns[1], columns[2].astype(np.int64), columns[3], sample)
+    padded = [n + [(-1, 0.0, 0, 0.0, 0)] * (size - len(n)) for n in built]
+    columns = [np.array([[node[k] for node in n] for n in padded]) for k in range(5)]
+    return Forest(columns[0].astype(np.int64), columns[1], columns[2].astype(np.int64), columns[3], columns[4], sample)
 
 
-def threshold(score: np.ndarray, label: np.ndarray, max_loss: float) -> float:
+def threshold(scored: DataFrame, max_loss: float) -> float:
     """Score above which a row is an anomaly: best difference of the two
-    labels' shares above it, losing at most ``max_loss`` of label 1."""
-    good, bad = np.sort(score[label > 0]), np.sort(score[label <= 0])
-    if not len(good) or not len(bad):
+    labels' shares above it, losing at most ``max_loss`` of label 1. Exact over
+    all rows of ``scored`` (score, good), which are counted by score; running
+    counts go along the bins of the scores and inside each bin."""
+    tally = scored.groupBy("score").agg(
+        F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"), F.floor(F.col("score") * BINS).alias("bin")
+    )
+    tally = staged(tally, "scores")
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over at most BINS + 1 rows
+    bins = tally.groupBy("bin").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    good, bad = bins.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    if not good or not bad:
         return float("inf")
-    cuts = np.unique(score)
-    lost = 1 - np.searchsorted(good, cuts, side="right") / len(good)
-    caught = 1 - np.searchsorted(bad, cuts, side="right") / len(bad)
-    fine = lost <= max_loss
-    best = int(np.argmax(np.where(fine, caught - lost, -np.inf)))
-    above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
-    return float((cuts[best] + above) / 2)
-
-
-def learn(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 10_000, max_loss: float = 0.002
-) -> Forest | None:
-    """Forest and threshold from at most ``max_rows`` labelled rows (only
-    their figures reach the driver); None without label-1 rows."""
-    sample = labelled_sample(docs, labels, label, 1, -1, max_rows).select("doc_id", "text", "label")
+    before = bins.select("bin", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in "gb"])
+    inside = Window.partitionBy("bin").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda c, n: (F.col(f"{c}_before") + F.sum(c).over(inside)) / F.lit(float(n))
+    cuts = tally.join(F.broadcast(before), "bin").select("score", (1 - share("g", good)).alias("lost"), (1 - share("b", bad)).alias("caught"))
+    best = cuts.filter(F.col("lost") <= max_loss).agg(F.min(F.struct((F.col("lost") - F.col("caught")).alias("gain"), "score"))["score"]).first()[0]
+    above = tally.filter(F.col("score") > best).agg(F.min("score")).first()[0]
+    return best if above is None else (best + above) / 2
+
+
+def labelled_figures(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, good, ratios) of every labelled row that passes the base rules,
+    staged. Figures are taken before the join, so that no text is shuffled."""
+    known = (
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+        .groupBy("doc_id")
+        .agg((F.max("label") > 0).alias("good"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, ratios = figures(batch.column(1).to_pylist())
+            passed = np.flatnonzero(~base_failed(counts))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array(base_failed(counts)),
-                    pa.array(list(ratios), pa.list_(pa.float64())),
-                ],
-                names=["doc_id", "label", "failed", "ratios"],
+                [batch.column(0).take(pa.array(passed)), pa.array(list(ratios[passed]), pa.list_(pa.float64()))],
+                names=["doc_id", "ratios"],
             )
 
-    rows = (
-        sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
-        .mapInArrow(run, "doc_id long, label int, failed boolean, ratios array<double>")
-        .filter(~F.col("failed"))
-        .toArrow()
-    )
-    if not rows.num_rows:
-        return None
-    order = np.argsort(np.asarray(rows.column(0)), kind="stable")
-    x = np.array(rows.column(3).to_pylist(), dtype=float)[order]
-    y = np.asarray(rows.column(1))[order]
-    if not (y > 0).any():
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    passing = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, f"doc_id {id_type}, ratios array<double>")
+    return staged(passing.join(known, "doc_id").select("doc_id", "good", "ratios"), "figures")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), len(SCALE))
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_loss: float = 0.002) -> Forest | None:
+    """Forest and threshold from all labelled rows; None without label-1 rows.
+    The driver gets each tree's ``SAMPLE`` rows (their figures), the ranges and
+    the masses of the leaves."""
+    rows = labelled_figures(docs, labels, label)
+    of = [F.col("ratios")[k] for k in range(len(SCALE))]
+    n, *ends = rows.agg(F.count_if("good"), *map(F.min, of), *map(F.max, of)).first()
+    if not n:
         return None
-    forest = grow(x[y > 0], x)
-    forest.threshold = threshold(forest.score(x), y, max_loss)
+    drawn = TREES * SAMPLE
+    by = F.xxhash64(F.col("doc_id").cast("string"), F.lit(label))
+    near = rows.filter("good").filter(F.pmod(by, F.lit(1 << 40)) < int(min(1.0, 2 * drawn / n) * (1 << 40)))
+    grown_on = near.orderBy(by, "doc_id", "ratios").limit(drawn).select("ratios").toArrow().combine_chunks()
+    x = _matrix(grown_on.column(0).combine_chunks()) if grown_on.num_rows else np.zeros((0, len(SCALE)))
+    forest = grow(x, np.array(ends).reshape(2, -1))
+    trees, nodes = forest.feature.shape
+    sent = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masses = np.zeros((trees, nodes), np.int64)
+        for batch in batches:
+            masses += sent.value.masses(_matrix(batch.column(0)))
+        held = np.flatnonzero(masses)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(masses.ravel()[held])], names=["leaf", "mass"])
+
+    held = rows.filter("good").select("ratios").mapInArrow(weigh, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).toArrow()
+    masses = np.zeros(trees * nodes)
+    masses[np.asarray(held.column(0))] = np.asarray(held.column(1))
+    forest.weigh(masses.reshape(trees, nodes), n)
+    weighed = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(weighed.value.score(_matrix(batch.column(0)))), batch.column(1)], names=["score", "good"]
+            )
+
+    forest.threshold = threshold(rows.select("ratios", "good").mapInArrow(score, "score double, good boolean"), max_loss)
     return forest
 
 
