@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from tessera.operators.staging import stage
+from tessera.operators.staging import stage, stage_by
 from tessera.plans import commerce, lookup, orders, region
 from tessera.plans.params import DEFAULT, Params
+from tessera.session import shuffle_partitions
 from tessera.sources import adapters
-from tessera.sources.tables import fingerprint
+from tessera.sources.tables import fingerprint, table_bytes
+
+# Input of one bucket of the cleaned transactions, up to as many buckets as
+# shuffle partitions (then the last join's shuffle writes the buckets).
+BUCKET_BYTES = 1 << 20
 
 _RUNS: dict[tuple, "Run"] = {}
 
@@ -51,7 +56,10 @@ class Run:
         return adapters.load(self.spark, self.sf_dir, name)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, (name, self.sf_dir, self.p.key(), self.inputs), enabled=self.staged)
+        return stage(df, self._key(name), enabled=self.staged)
+
+    def _key(self, name: str) -> tuple:
+        return (name, self.sf_dir, self.p.key(), self.inputs)
 
     # -- regional table -----------------------------------------------------
     @cached_property
@@ -62,7 +70,9 @@ class Run:
     @cached_property
     def tx(self) -> DataFrame:
         cleaned = commerce.clean_transactions(self.table("transactions"), self.p.tx_start, self.p.tx_end_exclusive)
-        return self._stage(cleaned, "tx")
+        size = sum(table_bytes(self.spark, self.sf_dir, t) for t in ("lineitem", "orders"))
+        buckets = min(shuffle_partitions(self.spark), 1 + size // BUCKET_BYTES)
+        return stage_by(cleaned, self._key("tx"), "user_id", buckets, enabled=self.staged)
 
     @cached_property
     def meta(self) -> DataFrame:

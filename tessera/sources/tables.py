@@ -39,5 +39,11 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Size of a table's files (one file or a folder)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def read_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, DataFrame]:
     return {name: read_table(spark, sf_dir, name) for name in names}

@@ -391,3 +391,43 @@ def test_conditional_distinct_counts_equal_builtin(skewed):
         F.countDistinct(F.when(F.col("s") != "b", F.col("v"))).alias("nb"),
     )
     assert rows(got, "k", "all", "a", "nb") == rows(expected, "k", "all", "a", "nb")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_staged_by_a_key_are_not_shuffled_again(spark):
+    from tessera.operators.staging import stage_by
+
+    df = spark.createDataFrame([(i % 7 if i % 7 else None, i) for i in range(100)], "u long, v long")
+    per_key = lambda t: t.groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("u").agg(F.sum("n"), F.max("v"))
+    staged = stage_by(df, ("by-test",), "u", 3)
+    assert staged is stage_by(df, ("by-test",), "u", 3) and staged.schema == df.schema
+    assert rows(staged) == rows(df) and rows(per_key(staged)) == rows(per_key(df))
+    assert "Exchange" not in _plan(per_key(staged)) and "Exchange" in _plan(per_key(df))
+    # a value with more rows than one task should read: plain files, combined map-side
+    hot = stage_by(df, ("by-test-hot",), "u", 3, hot_rows=14)
+    assert rows(hot) == rows(df) and rows(per_key(hot)) == rows(per_key(df))
+    assert "Exchange" in _plan(per_key(hot))
+    assert stage_by(df.limit(0), ("by-test-empty",), "u", 3).count() == 0
+
+
+def test_jobs_per_user_do_not_shuffle_the_transactions(spark):
+    from tessera.plans import commerce
+    from tessera.plans.registry import Run
+
+    tx = Run.get(spark, "/root/testdata/sf0.001").tx
+    for df in (commerce.purchase_sequence(tx), commerce.latest_category(tx), commerce.primary_products(tx)):
+        assert "Exchange" not in _plan(df)
+
+
+def test_release_drops_the_tables_of_buckets(spark):
+    from tessera.operators.staging import _TABLES, stage_by
+    from tessera.plans.registry import Run
+
+    stage_by(spark.range(10), ("drop-test",), "id", 2)
+    tables = list(_TABLES.values())
+    assert tables and all(map(spark.catalog.tableExists, tables))
+    Run.release(spark)
+    assert not any(map(spark.catalog.tableExists, tables)) and not _TABLES
