@@ -50,9 +50,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed) and whether they decode to
-    the text; a null text is the empty text."""
+    the text; a null text is the empty text.
+
+    Encoded rows are staged: in one job, each task would have a Python worker
+    to encode and another to decode, and the executors keep both for all that
+    follows."""
     apply_defaults(spark)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
+    encoded = staged(bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER), "encoded")
     decoded = bpe.decode(encoded, TOKENIZER)
     return decoded.select(
         "doc_id",

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hold
+
 # The split pattern of the byte-level vocabularies (white space
 # spelled out as the Unicode property).
 PIECES = (
@@ -139,8 +141,14 @@ class ByteBPE:
 _LOADED: dict[int, ByteBPE] = {}
 
 
+def _unload() -> None:
+    _LOADED.clear()
+
+
 def _codec(spec) -> ByteBPE:
-    """One codec per Python worker and vocabulary."""
+    """One codec per Python worker and vocabulary, until another operator runs
+    in the worker."""
+    hold(_unload)
     if spec.id not in _LOADED:
         _LOADED.clear()
         _LOADED[spec.id] = ByteBPE(spec.value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, f"llm-{name}")
 
 
+_HELD: list[Callable[[], None]] = []  # empties the tables that this Python worker keeps
+
+
+def hold(empty: Callable[[], None] | None = None) -> None:
+    """Called by a task before it fills tables that the operator's next task in
+    this Python worker uses again; ``empty`` empties them, none if it has none.
+    Those of another operator are emptied first: a worker lives as long as its
+    executor, and would keep the tables of all operators that it ever ran."""
+    for other in _HELD:
+        if other is not empty:
+            other()
+    _HELD[:] = [empty] if empty else []
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int
 ) -> DataFrame:

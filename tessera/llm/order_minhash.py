@@ -58,7 +58,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Buffer, mix64, slices, staged
+from tessera.llm.common import Buffer, hold, mix64, slices, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -254,6 +254,7 @@ def _sketched(rows: DataFrame) -> DataFrame:
     """(tid, n, buckets) of all texts with a word, n shingles each, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             done = 0
             tids = batch.column(0)
@@ -288,6 +289,7 @@ def _word_sequences(rows: DataFrame, needed: DataFrame) -> DataFrame:
     each, and the number of labelled shingles by cell, one byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             done = 0
             for words, n in _word_rows(batch.column(1).to_pylist()):
@@ -320,6 +322,7 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             got = [
                 similarity(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), least)
@@ -361,6 +364,8 @@ def _possible(met: DataFrame, words: DataFrame, least: float) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+
         def columns(x: pa.ListScalar) -> list[np.ndarray]:
             v = x.values
             flat = np.frombuffer(b"".join(v.field("profile").to_pylist()), np.uint8).reshape(-1, CELLS)

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import labelled_sample, staged
+from tessera.llm.common import hold, labelled_sample, staged
 
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = {
@@ -124,6 +124,10 @@ class _Folded(dict):
 _FOLDED = _Folded()
 
 
+def _unfold() -> None:
+    _FOLDED.clear()
+
+
 def fold(text: str | None, spelled: list[str] | None = None) -> str:
     """Folded words, each between single spaces: `` one two ``. ``spelled``
     gets the words that were spelled out and are not plain letters."""
@@ -282,6 +286,7 @@ def learn(
     sample = labelled_sample(docs, labels, label, folds, held_out, max_rows).select("text", "label")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_unfold)
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1)):
                 words = fold(text.as_py()).split()
@@ -397,6 +402,7 @@ def _hit_contexts(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
     hits, each once per document; ``doc`` marks a term's first row there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_unfold)
         machine = lexicon.matcher()
         for batch in batches:
             out = []
@@ -489,6 +495,7 @@ def scored_inputs(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_unfold)
         matcher = Matcher(sent.value)
         for batch in batches:
             got = [matcher.features(x.as_py()) for x in batch.column(at)]
@@ -530,6 +537,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) ->
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_unfold)
         known = sent.value
         matcher = Matcher(known)
         for batch in batches:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -101,3 +102,36 @@ def test_the_toxicity_stage_rejects_what_op3_calls_toxic(spark, tables, monkeypa
     docs = spark.createDataFrame([(1, "one vileword here"), (2, "none here"), (3, None)], "doc_id long, text string")
     assert 0.3 <= corpus_pipeline.toxicity.score_texts(docs, lexicon).filter("doc_id = 1").first().score < 0.5
     assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, tables[0]).collect()) == [2, 3]
+
+
+def test_encoding_and_decoding_are_not_tasks_of_one_job(spark, tables):
+    """Else each task has two Python workers, which the executors keep."""
+    docs = spark.createDataFrame([(1, "en", "a", "some text")], "doc_id long, lang string, source string, text string")
+    made = corpus_pipeline.encode(spark, docs, tables[0])
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert made.first().round_trip
+
+
+def test_a_python_worker_keeps_the_tables_of_one_operator(spark, monkeypatch):
+    """The functions that tasks run, all in this process."""
+    docs = spark.createDataFrame([], "id long, text string")
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": ["some harmless text of a few words"]})
+    lexicon = corpus_pipeline.toxicity.Lexicon({" vileword ": 1.0}, (), (-3.0, 3.75, 0.0))
+    bpe, toxicity, order_minhash = corpus_pipeline.bpe, corpus_pipeline.toxicity, corpus_pipeline.order_minhash
+    sent, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: sent.append(f) or plain(df, f, schema))
+    bpe.encode(docs, TOKENIZER)
+    toxicity.without_toxic(docs, lexicon)
+    order_minhash._sketched(docs.withColumnRenamed("id", "tid"))
+    encode, reject, sketch = (lambda f=f: list(f(iter([batch]))) for f in sent)
+    for _ in range(2):  # a second task finds the first one's tables
+        encode()
+        assert bpe._LOADED and not toxicity._FOLDED
+    codec = next(iter(bpe._LOADED.values()))
+    encode()
+    assert next(iter(bpe._LOADED.values())) is codec
+    for _ in range(2):
+        reject()
+        assert toxicity._FOLDED and not bpe._LOADED
+    sketch()
+    assert not toxicity._FOLDED and not bpe._LOADED
